@@ -13,6 +13,7 @@ from __future__ import annotations
 import html as htmllib
 import re
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|template|svg)\b.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>|<![^>]*>", re.S | re.I)
 _NAME = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -94,12 +95,22 @@ def parse(source: str) -> Node:
     return root
 
 
-def _measure(node: Node, in_link: bool) -> None:
+@lru_cache(maxsize=20_000)
+def _names_furniture(name: str) -> bool:
+    return _FURNITURE_NAME.search(name) is not None
+
+
+@lru_cache(maxsize=20_000)
+def _names_body(name: str) -> bool:
+    return _BODY_NAME.search(name) is not None
+
+
+def measure(node: Node) -> None:
     """Text and link lengths, furniture marks and points, bottom up; the walk keeps its own stack."""
-    order, stack = [], [(node, in_link, False)]
+    order, stack = [], [(node, False, False)]
     while stack:
         n, linked, hidden = stack.pop()
-        hidden = hidden or n.tag in _FURNITURE_TAGS or bool(n.name and _FURNITURE_NAME.search(n.name))
+        hidden = hidden or n.tag in _FURNITURE_TAGS or (n.name != "" and _names_furniture(n.name))
         n.furniture = hidden
         order.append((n, linked))
         for c in n.children:
@@ -133,14 +144,14 @@ def _measure(node: Node, in_link: bool) -> None:
 
 def _worth(n: Node) -> float:
     base = n.points * (1 - n.linked / max(n.text, 1))
-    if n.tag in ("article", "main") or (n.name and _BODY_NAME.search(n.name)):
+    if n.tag in ("article", "main") or (n.name != "" and _names_body(n.name)):
         base *= 1.25
     return 0.0 if n.furniture else base
 
 
 def body_nodes(root: Node) -> list[Node | str]:
     """The best container with its good siblings, or nothing."""
-    _measure(root, False)
+    measure(root)
     best, top, stack = None, 0.0, [root]
     while stack:
         n = stack.pop()
@@ -173,7 +184,7 @@ def block_texts(nodes: list[Node | str], furniture: bool = False) -> list[str]:
         if run:
             joined = htmllib.unescape("".join(run))
             for line in joined.split("\n"):
-                line = _SPACE.sub(" ", line).strip()
+                line = " ".join(line.split())
                 if line:
                     out.append(line)
             run.clear()
@@ -184,7 +195,7 @@ def block_texts(nodes: list[Node | str], furniture: bool = False) -> list[str]:
         if n is None:
             flush()
         elif type(n) is str:
-            run.append(n if n == "\n" else _SPACE.sub(" ", n))
+            run.append(n if n == "\n" or "\n" not in n else n.replace("\n", " "))
         elif n.tag == "#pre":
             run.append(n.name)
         elif (n.furniture and not furniture) or n.tag in ("head", "title"):
@@ -235,6 +246,7 @@ def _strings(n: Node) -> list[str]:
 _LINK = re.compile(r"!?\[([^\]]*)\]\([^)]*\)")
 _LEAD = re.compile(r"^\s*(?:#{1,6}\s+|[-*+•]\s+|\d+[.)]\s+|>\s?)*")
 _RULE = re.compile(r"^[\s|:\-=_*`~]+(?:\w+)?$")
+_HAS_MARK = re.compile(r"[*_`|\\#>~-]")
 _INLINE_MARKS = re.compile(r"[*_`|\\#>~]+|(?<!\w)-(?!\w)")
 
 
@@ -242,8 +254,14 @@ def plain(line: str) -> str:
     """A line of markdown or html text without marks, for comparison."""
     if "](" in line:
         line = _LINK.sub(r"\1", line)
-    line = _LEAD.sub("", line)
-    return _SPACE.sub(" ", _INLINE_MARKS.sub(" ", htmllib.unescape(line))).strip().casefold()
+    line = line.strip()
+    if not line[:1].isalpha():
+        line = _LEAD.sub("", line)
+    if "&" in line:
+        line = htmllib.unescape(line)
+    if _HAS_MARK.search(line):
+        line = _INLINE_MARKS.sub(" ", line)
+    return " ".join(line.split()).casefold()
 
 
 # Wording of page furniture in the four languages of the pages (lines without marks, in lower case).
@@ -268,6 +286,8 @@ startseite, archiv, ratgeber, karriere, produkte, presse, forum, hilfe, über un
 inicio, archivo, guías, empleo, productos, prensa, comunidad, foro, ayuda, quiénes somos, precios, contacto, iniciar sesión, condiciones de uso, accesibilidad, aviso legal, privacidad, aceptar todo, rechazar, configurar, aceptar, solo lo necesario,
 accueil, archives, recrutement, produits, communauté, aide, à propos, tarifs, connexion, conditions d'utilisation, accessibilité, mentions légales, confidentialité, tout accepter, refuser, paramétrer, plan du site, nur das nötige, verstanden
 """.replace("\n", " ").split(","))
+_LABELS_BY_LENGTH = sorted(_LABELS, key=len, reverse=True)
+_LABEL_STARTS = frozenset(x.split(" ", 1)[0] for x in _LABELS)
 _RELATED = re.compile(
     r"^(?:related articles?|you may also like|more from this section|most read(?: today)?|das könnte sie auch interessieren|ähnliche artikel|meistgelesen.*|mehr aus .*|artículos relacionados|también le puede (?:gustar|interesar)|más de .*|lo más leído.*"
     r"|sur le même sujet|à lire aussi|articles (?:liés|similaires)|les plus lus.*|plus dans cette rubrique)$"
@@ -281,16 +301,27 @@ def furniture_line(line: str) -> bool:
     text = plain(line)
     if not text:
         return False
-    if _LINE_FURNITURE.match(text) or text in _LABELS:
-        return True
-    labels = [x.strip(" [-").casefold() for x in _SPLIT_LABELS.split(line.strip()) if x.strip(" [-")]
+    return text in _LABELS or _furniture_text(text) or _furniture_labels(line.strip(), text)
+
+
+@lru_cache(maxsize=50_000)
+def _furniture_text(text: str) -> bool:
+    return len(text) <= 200 and _LINE_FURNITURE.match(text) is not None
+
+
+def _furniture_labels(line: str, text: str) -> bool:
+    """True for rows of labels, however they are set apart."""
+    if len(text) > 400 or not any(w in _LABEL_STARTS for w in (text.split(" ", 1)[0],)):
+        return False
+    labels = [x.strip(" [-").casefold() for x in _SPLIT_LABELS.split(line) if x.strip(" [-")]
     if len(labels) > 1 and sum(x in _LABELS for x in labels) * 2 > len(labels):
         return True
     words = text
-    for label in sorted(_LABELS, key=len, reverse=True):
-        if label in words and len(words) < 90:
-            words = words.replace(label, " ")
-    return not words.strip() and bool(text)
+    if len(words) < 90:
+        for label in _LABELS_BY_LENGTH:
+            if label in words:
+                words = words.replace(label, " ")
+    return not words.strip()
 
 
 def markdown_tree(lines: list[str]) -> tuple[Node, dict[int, Node]]:
@@ -369,7 +400,7 @@ def _as_node(text: str, parent: Node) -> Node:
 def markdown_body(lines: list[str]) -> list[int]:
     """Positions of the body's lines where only the markdown is there."""
     root, owner = markdown_tree(lines)
-    _measure(root, False)
+    measure(root)
     best = max((s for s in root.children if type(s) is Node), key=_worth, default=None)
     if best is None or not best.points:
         return []
@@ -383,13 +414,13 @@ def markdown_lines(html: str | None, markdown: str | None) -> list[int]:
         return []
     lines = markdown.split("\n")
     if html and html.strip():
-        return [i + 1 for i in match_lines(body_nodes(parse(html)), lines)]
+        return [i + 1 for i in match_lines(block_texts(body_nodes(parse(html))), lines)]
     return [i + 1 for i in markdown_body(lines)]
 
 
-def match_lines(nodes: list[Node | str], lines: list[str]) -> list[int]:
+def match_lines(texts: list[str], lines: list[str]) -> list[int]:
     """Positions of the lines whose text is a kept block; fences and table rules stay with their neighbours."""
-    kept = {plain(t) for t in block_texts(nodes)}
+    kept = {plain(t) for t in texts}
     kept.discard("")
     found: list[int] = []
     held: list[int] = []
