@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm import canonical_values, residue
+from tarnlight.llm import canonical_values, contamination, mixing, residue, subjects
 from tarnlight.runtime import table
 
 
@@ -42,8 +42,54 @@ def p7_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.filter("entry_id = 0").groupBy("brand").agg(F.count("*").alias("n_rows"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share and number of passages of every leak."""
+    found = contamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select("doc_id", "item_id", "share", F.size("passages").alias("n_passages"))
+
+
+def p8_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus without leaked passages."""
+    documents = table(spark, sf_dir, "documents")
+    found = contamination.leaks(documents, table(spark, sf_dir, "eval_items"))
+    return contamination.remove_spans(documents, found).select("doc_id", "text")
+
+
+def _subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subject_areas(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
+
+
+def _main_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).filter("rank = 1").select("doc_id", "subject")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target and actual shares of the mix."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), _main_subjects(spark, sf_dir))[1]
+
+
+def p9_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mix with their copies."""
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), _main_subjects(spark, sf_dir))[0]
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _subjects(spark, sf_dir).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Make-up of the corpus by subject: documents and weighted share."""
+    return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("n_documents"), F.sum("share").alias("weight"))
+
+
 def queries() -> dict:
-    return {"p3_found": p3_found, "p5_found": p5_found, "p5_kinds": p5_kinds, "p7_found": p7_found, "p7_unmatched": p7_unmatched}
+    return {
+        "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_sample": p9_sample, "p10_found": p10_found, "p10_composition": p10_composition,
+        "p3_found": p3_found, "p5_found": p5_found, "p5_kinds": p5_kinds, "p7_found": p7_found, "p7_unmatched": p7_unmatched}
 
 
 def oracle_sql() -> dict[str, str]:
