@@ -151,7 +151,7 @@ def mix(documents: DataFrame, targets: DataFrame, topics: DataFrame | None = Non
     drawn = counted.filter("n_tokens > 0").join(F.broadcast(table), ["source", "lang", "topic"])
     unit = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     sure = F.floor(F.col("weight") + 1e-9)
-    drawn = drawn.withColumn("whole", sure).withColumn("part", F.greatest(F.col("weight") - sure, F.lit(0.0))).withColumn("draw", unit / F.col("part"))
+    drawn = drawn.withColumn("whole", sure).withColumn("part", F.greatest(F.col("weight") - sure, F.lit(0.0))).withColumn("draw", F.try_divide(unit, F.col("part")))
     # The cut of the draws is 1 in expectation; per source it is moved to where the tokens meet the target.
     bins = drawn.groupBy("source", F.least(F.floor(F.when(F.col("part") > 1e-12, F.col("draw") * (BINS / 4)).otherwise(F.lit(BINS))), F.lit(BINS)).alias("b")).agg(
         F.sum("n_tokens").alias("tokens"), F.sum(F.col("whole") * F.col("n_tokens")).alias("sure")
@@ -177,6 +177,6 @@ def mix(documents: DataFrame, targets: DataFrame, topics: DataFrame | None = Non
     report = all_.crossJoin(F.broadcast(grand)).select(
         "source", "target_share", "max_repeats", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("source_tokens", F.lit(0)).alias("source_tokens"),
         F.coalesce("n_used", F.lit(0)).alias("n_used"), F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
-        F.coalesce(F.col("mixed_tokens") / F.col("grand"), F.lit(0.0)).alias("actual_share"),
+        F.coalesce(F.try_divide("mixed_tokens", "grand"), F.lit(0.0)).alias("actual_share"),
     )
     return sample, report
