@@ -125,20 +125,34 @@ def key_quantity(key: str) -> str | None:
     return next((q for q, words in KEY_WORDS.items() if any(w in key for w in words)), None)
 
 
-def _amount(match: re.Match, quantity: str | None) -> tuple[str, Fraction] | None:
+def half_step(text: str, factor: Fraction = Fraction(1)) -> Fraction:
+    """Half of the last place of a number as typed: how far a rounded amount may be off.
+
+    Whole numbers of a large unit count as given to one decimal place, as trailing zeros are left out.
+    """
+    if "/" in text:
+        return Fraction(1, 16)
+    value, tail = number(text), re.search(r"[.,](\d+)\s*$", text)
+    if tail and value is not None and value.denominator == 1 and len(tail[1]) == 3:
+        tail = None  # a group of thousands
+    return Fraction(1, 2 * 10 ** (len(tail[1]) if tail else int(factor >= 25)))
+
+
+def amount_of(match: re.Match, quantity: str | None) -> tuple[str, Fraction, Fraction] | None:
+    """(quantity, amount, half of the last place) of a match of the amount pattern."""
     unit, value = unit_of(match[2], quantity), number(match[1])
     if unit is None or value is None:
         return None
-    total = value * unit[1]
+    total, step = value * unit[1], half_step(match[1], unit[1]) * unit[1]
     if match[3]:
         second, more = unit_of(match[4]), number(match[3])
         if second and more is not None and second[0] == unit[0] and second[1] < unit[1]:
-            total += more * second[1]
-    return unit[0], total
+            total, step = total + more * second[1], half_step(match[3]) * second[1]
+    return unit[0], total, step
 
 
-def stated(key: str, value: str | None) -> list[tuple[str, Fraction]]:
-    """(quantity, amount in the common unit) of one specification entry; the unit stands in the value or the key."""
+def stated(key: str, value: str | None) -> list[tuple[str, Fraction, Fraction]]:
+    """(quantity, amount in the common unit, half of its last place) of one specification entry; the unit stands in the value or the key."""
     if not value or not value.strip():
         return []
     lowered = key.lower()
@@ -148,17 +162,17 @@ def stated(key: str, value: str | None) -> list[tuple[str, Fraction]]:
     text = _AFTER.sub("", _ABOUT.sub("", value))
     whole = _AMOUNT.fullmatch(text.strip())
     if whole:
-        found = _amount(whole, quantity)
+        found = amount_of(whole, quantity)
         return [found] if found else []
     bare = _BARE.fullmatch(text)
     if bare:
         named = _KEY_UNIT.search(key)
         unit = unit_of(named[1] or named[2], quantity) if named else None
         value_ = number(bare[1])
-        return [(unit[0], value_ * unit[1])] if unit and value_ is not None else []
+        return [(unit[0], value_ * unit[1], half_step(bare[1], unit[1]) * unit[1])] if unit and value_ is not None else []
     if not _PROSE.search(text):
         return []
-    found = (_amount(m, quantity) for m in _AMOUNT.finditer(text))
+    found = (amount_of(m, quantity) for m in _AMOUNT.finditer(text))
     return [x for x in found if x]
 
 
@@ -235,7 +249,7 @@ def extract(products: DataFrame, rates: DataFrame) -> DataFrame:
                 for key, value in zip(keys or (), values or ()):
                     entry = seen.get((key, value))
                     if entry is None:
-                        entry = [(q, float(a), nearest(a), True) for q, a in stated(key, value)]
+                        entry = [(q, float(a), nearest(a), True) for q, a, _ in stated(key, value)]
                         bare = None if entry else unstated(key, value)
                         if bare:
                             entry = [(bare[0], bare[1], None, False)]

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,10 +47,34 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and read it back: the lineage ends here and the
-    result survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """df as a table written to the shared checkpoint folder and read back.
+
+    The lineage ends here, the result survives the loss of executors, and later plans see its true
+    size. The tables of a session are removed when the driver's process ends.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    path = f"{folder}/tarnlight-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if not _written:
+        atexit.register(_remove_written, spark)
+    _written.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_written: list[str] = []
+
+
+def _remove_written(spark: SparkSession) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _written:
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(conf).delete(target, True)
+    except Exception:  # the session may have ended first
+        pass
 
 
 def estimated_bytes(df: DataFrame) -> int:
