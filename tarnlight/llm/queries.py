@@ -5,10 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnlight.llm import canonical_values, contamination, mixing, residue, subjects
+from tarnlight.llm import canonical_values, contamination, mixing, product_linkage, residue, subjects
 from tarnlight.runtime import table
 
 
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of every listing with the size of the class."""
+    classes = product_linkage.same_products(table(spark, sf_dir, "products"), table(spark, sf_dir, "brand_reference"))
+    sizes = classes.groupBy("class_id").agg(F.count("*").alias("n_listings"), F.min("listing_id").alias("first_listing"))
+    return classes.join(sizes, "class_id").select("listing_id", "first_listing", "n_listings")
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return product_linkage.pairs_of(product_linkage.same_products(table(spark, sf_dir, "products"), table(spark, sf_dir, "brand_reference")))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return residue.main_bodies(pages, residue.collect_verdicts(pages))
@@ -88,7 +99,7 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
-        "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_sample": p9_sample, "p10_found": p10_found, "p10_composition": p10_composition,
+        "p1_found": p1_found, "p1_classes": p1_classes, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_sample": p9_sample, "p10_found": p10_found, "p10_composition": p10_composition,
         "p3_found": p3_found, "p5_found": p5_found, "p5_kinds": p5_kinds, "p7_found": p7_found, "p7_unmatched": p7_unmatched}
 
 
