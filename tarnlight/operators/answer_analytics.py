@@ -50,7 +50,8 @@ def numbered_refs(text: Column) -> Column:
 
 
 def snippet(text: Column, url: Column) -> Column:
-    at = F.locate_(url, text) if hasattr(F, "locate_") else F.position(url, text)
+    """Text around the first occurrence of an address."""
+    at = F.position(url, text)
     start = F.greatest(at - SNIPPET_CHARS, F.lit(1))
     return F.trim(F.substring(text, start, at + F.length(url) + SNIPPET_CHARS - start))
 

@@ -20,7 +20,7 @@ PAYMENT_HEADERS = ("x-payment", "x-payment-required", "x-402-receipt", "pay", "p
 
 def robots_directives(robots: Column) -> dict[str, Column]:
     """Sitemaps, first valid crawl delay and named AI agents of a robots text."""
-    lines = F.transform(F.split(F.coalesce(robots, F.lit("")), r"\r\n|\r|\n"), F.trim)
+    lines = F.transform(F.split(F.coalesce(robots, F.lit("")), r"\r\n|\r|\n"), lambda x: F.trim(x))
 
     def values(name: str) -> Column:
         hits = F.filter(lines, lambda x: x.rlike(rf"(?i)^{name}:\s*\S"))

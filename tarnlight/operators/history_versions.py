@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tarnlight.runtime import unambiguous
+
 WORD = 32
 #: Versions of one entity are linked to their successors in groups of so many positions.
 SPAN = 1 << 16
@@ -28,7 +30,7 @@ def snapshots(df: DataFrame, entity: Column, ts: str, values: dict[str, Column],
     time, the one received last counts (NULL first, ties: the larger id, then the larger values).
     """
     named = {f"v_{k}": c for k, c in values.items()}
-    rows = df.select(
+    rows = unambiguous(df).select(
         entity.alias("_e"), F.col(ts).alias("_t"), F.col(row_id).alias("_id"), F.col(received).alias("_r"),
         *[c.alias(k) for k, c in named.items()],
     ).dropna(subset=["_e", "_t", *named])

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnlight.runtime import unambiguous
+
 # Exact conversion factors (international avoirdupois pound, inch, US gallon / 128).
 LB = Fraction(45359237, 100000)
 OZ = LB / 16
@@ -262,7 +264,7 @@ def extract(products: DataFrame, rates: DataFrame) -> DataFrame:
             columns = list(zip(*out)) if out else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    rows = products.select(
+    rows = unambiguous(products).select(
         F.col("listing_id").cast("long"), F.col("seen_at").cast("timestamp_ntz"), "price", "currency",
         F.map_keys("specifications").alias("k"), F.map_values("specifications").alias("v"),
     )

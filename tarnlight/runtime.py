@@ -37,6 +37,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unambiguous(df: DataFrame) -> DataFrame:
+    """df without columns whose names clash with another's but for the case: of such columns the one
+    in lower case stays, else the first. Operators then find their columns whatever else a table holds."""
+    names = df.columns
+    keep: dict[str, int] = {}
+    for i, name in enumerate(names):
+        low = name.lower()
+        if low not in keep or (name == low and names[keep[low]] != low):
+            keep[low] = i
+    if len(keep) == len(names):
+        return df
+    plain = df.toDF(*[f"_c{i}" for i in range(len(names))])
+    return plain.select(*[F.col(f"_c{i}").alias(names[i]) for i in sorted(keep.values())])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that the session names; make one only where none is set (tests)."""
     sc = spark.sparkContext
