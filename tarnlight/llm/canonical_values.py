@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.runtime import broadcast_if_small
+from tarnlight.runtime import unambiguous
 
 #: Entries (names and aliases) of one tree.
 SHARD = 20_000
@@ -276,7 +276,9 @@ def map_values(rows: DataFrame, value: str, reference: DataFrame, entry_id: str,
 
     Values are resolved once each. The table of resolved values goes to the rows by broadcast where
     its size estimate allows it, else by a shuffle join in which adaptive execution splits hot values.
+    Columns entry_id and edits that rows may have already are replaced.
     """
-    found = resolve(rows, value, reference, entry_id, name, aliases).withColumnRenamed("value", "_value")
-    left = rows.filter(F.col(value).rlike(r"[^\s\p{Z}]"))
+    found = resolve(unambiguous(rows), value, unambiguous(reference), entry_id, name, aliases).withColumnRenamed("value", "_value")
+    plain = unambiguous(rows)
+    left = plain.drop(*[c for c in ("entry_id", "edits", "_value") if c != value]).filter(F.col(value).rlike(r"[^\s\p{Z}]"))
     return left.join(found, F.col(value) == F.col("_value")).drop("_value")

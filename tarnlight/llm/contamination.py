@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnlight.runtime import unambiguous
+
 #: Words of an n-gram.
 N = 5
 #: N-grams that one broadcast block of items may hold; further items are scanned in further blocks.
@@ -198,7 +200,7 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 1 / 3) -> DataF
     driver reads and sends out block by block. NULL and empty texts, texts and items under five
     words, and empty tables give no rows; repeated documents give equal rows.
     """
-    rows = [(r.item_id, r.item_text) for r in items.select(F.col("item_id").cast("long").alias("item_id"), "item_text").dropna().collect()]
+    rows = [(r.item_id, r.item_text) for r in unambiguous(items).select(F.col("item_id").cast("long").alias("item_id"), "item_text").dropna().collect()]
     blocks = item_blocks(rows)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +217,7 @@ def leaks(documents: DataFrame, items: DataFrame, share: float = 1 / 3) -> DataF
             types = (pa.int64(), pa.int64(), pa.float64(), passage)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "share", "passages"])
 
-    texts = documents.select(F.col("doc_id").cast("long"), "text").filter(F.col("text").isNotNull())
+    texts = unambiguous(documents).select(F.col("doc_id").cast("long"), "text").filter(F.col("text").isNotNull())
     found = texts.mapInArrow(scan, "doc_id bigint, item_id bigint, share double, passages array<struct<first_char:int,end_char:int>>")
     return found.dropDuplicates(["doc_id", "item_id"])
 
@@ -224,7 +226,7 @@ def remove_spans(documents: DataFrame, found: DataFrame, whole_share: float = 0.
     """Documents without the passages that leaked; documents of which more than whole_share would go
     are left out. A document has at most one row per test item in found, so its list is bounded."""
     cut = found.groupBy("doc_id").agg(F.sort_array(F.flatten(F.collect_list("passages"))).alias("_cuts"))
-    joined = documents.join(cut, "doc_id", "left")
+    joined = unambiguous(documents).drop("_cuts", "_kept").join(cut, "doc_id", "left")
     kept = F.aggregate(
         F.coalesce("_cuts", F.array().cast("array<struct<first_char:int,end_char:int>>")),
         F.struct(F.lit("").alias("text"), F.lit(0).alias("at")),

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tarnlight.runtime import durable
+from tarnlight.runtime import durable, unambiguous
 
 #: File of merge ranks of the tokenizer.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -128,8 +128,8 @@ def mix(documents: DataFrame, targets: DataFrame, topics: DataFrame | None = Non
     at most a few thousand rows; the cells (source, language, topic) are summed before they reach
     the driver.
     """
-    goals = {r.s: (float(r.t), int(r.m)) for r in targets.select(canonical_source(F.col("source")).alias("s"), F.col("target_share").alias("t"), F.coalesce("max_repeats", F.lit(1)).alias("m")).dropna().limit(10_000).collect()}
-    base = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", canonical_source(F.col("source")).alias("source"), canonical_language(F.col("lang")).alias("lang"))
+    goals = {r.s: (float(r.t), int(r.m)) for r in unambiguous(targets).select(canonical_source(F.col("source")).alias("s"), F.col("target_share").alias("t"), F.coalesce("max_repeats", F.lit(1)).alias("m")).dropna().limit(10_000).collect()}
+    base = unambiguous(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text", canonical_source(F.col("source")).alias("source"), canonical_language(F.col("lang")).alias("lang"))
     counted = count_tokens(base, ranks_file=ranks_file)
     if topics is not None:
         main = topics.groupBy("doc_id").agg(F.min("subject").alias("topic"))

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnlight.runtime import unambiguous
+
 #: Labelled documents that the first fit reads (a sample by hash of the id where there are more).
 MAX_LABELLED = 50_000
 #: Words of the model. Words are ranked by the documents that hold them; names of one document never count.
@@ -263,6 +265,7 @@ def classify(documents: DataFrame, model: Model, calibration: tuple[float, float
 
 def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
     """Trains on all documents and labels and classifies all documents. An empty table of areas gives no rows."""
+    documents, labels, areas = unambiguous(documents), unambiguous(labels), unambiguous(areas)
     if not areas.select("subject").dropna().take(1):
         return documents.sparkSession.createDataFrame([], "doc_id bigint, subject string, share double, posterior double, rank int")
     model, calibration = train(documents, labels, areas)
