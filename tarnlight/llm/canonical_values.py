@@ -249,7 +249,10 @@ def resolve(values: DataFrame, value: str, reference: DataFrame, entry_id: str,
                     names=["value", "entry_id", "edits"],
                 )
 
-        return distinct.mapInArrow(look_up, "value string, entry_id bigint, edits int")
+        # Few bytes but much work: adaptive execution must not merge the values into few tasks.
+        spark = values.sparkSession
+        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+        return distinct.repartition(tasks, "value").mapInArrow(look_up, "value string, entry_id bigint, edits int")
 
     shards = -(-total // SHARD)
     grouped = names.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
@@ -274,8 +277,8 @@ def resolve(values: DataFrame, value: str, reference: DataFrame, entry_id: str,
 def map_values(rows: DataFrame, value: str, reference: DataFrame, entry_id: str, name: str, aliases: str) -> DataFrame:
     """rows with entry_id and edits for every row whose value is neither NULL nor blank.
 
-    Values are resolved once each. The table of resolved values goes to the rows by broadcast where
-    its size estimate allows it, else by a shuffle join in which adaptive execution splits hot values.
+    Values are resolved once each and joined back to the rows; Spark broadcasts the resolved values
+    only below its own size limit, else adaptive execution splits the hot values of the shuffle join.
     Columns entry_id and edits that rows may have already are replaced.
     """
     found = resolve(unambiguous(rows), value, unambiguous(reference), entry_id, name, aliases).withColumnRenamed("value", "_value")
