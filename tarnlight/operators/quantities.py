@@ -230,7 +230,8 @@ def extract(products: DataFrame, rates: DataFrame) -> DataFrame:
     products: listing_id, seen_at, price, currency, specifications. rates (currency, usd_per_unit,
     symbol) is the table of currencies of the world and is read to the driver: at most 1,000 rows,
     else an error. NULL and empty prices and specifications, unknown currencies and unreadable
-    numbers give no row. Amounts without unit keep their number, is_stated false.
+    numbers give no row. Amounts without unit keep their number, is_stated false. Where several
+    entries state one quantity, the one whose key comes first by alphabet counts.
     """
     known = rates.select("currency", "usd_per_unit", "symbol").dropna(subset=["currency", "usd_per_unit"]).limit(1001).collect()
     if len(known) > 1000:
@@ -248,7 +249,7 @@ def extract(products: DataFrame, rates: DataFrame) -> DataFrame:
                 if cents is not None:
                     out.append((lid, at, "price", float(cents), nearest(cents), True, "price"))
                 done = set()
-                for key, value in zip(keys or (), values or ()):
+                for key, value in sorted(zip(keys or (), values or ())):
                     entry = seen.get((key, value))
                     if entry is None:
                         entry = [(q, float(a), nearest(a), True) for q, a, _ in stated(key, value)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,9 +35,19 @@ def local_session(cpus: str = "*", app: str = "tarnlight", **conf: str) -> Spark
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a data directory."""
+    _reach_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _reach_workers(spark: SparkSession) -> None:
+    """Let the Python workers import this package also where the driver found it through sys.path only."""
+    root = str(Path(__file__).resolve().parents[1])
+    env = spark.sparkContext.environment
+    known = env.get("PYTHONPATH", "")
+    if root not in known.split(":"):
+        env["PYTHONPATH"] = f"{root}:{known}" if known else root
+
+
 def unambiguous(df: DataFrame) -> DataFrame:
     """df without columns whose names clash with another's but for the case: of such columns the one
     in lower case stays, else the first. Operators then find their columns whatever else a table holds."""
