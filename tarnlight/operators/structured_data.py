@@ -44,7 +44,7 @@ def blocks_of_texts(df: DataFrame, key: str, texts: str) -> DataFrame:
 def declares_endpoint(texts: Column) -> Column:
     """True where a block is, or has an action, of a natural-language endpoint."""
     objects = F.flatten(F.transform(texts, _objects))
-    return F.exists(objects, lambda o: object_type(o).isin(*ENDPOINT_TYPES) | F.get_json_object(o, "$.potentialAction['@type']").isin(*ENDPOINT_ACTIONS))
+    return F.exists(objects, lambda o: object_type(o).isin(*ENDPOINT_TYPES) | F.coalesce(F.get_json_object(o, "$.potentialAction['@type']").isin(*ENDPOINT_ACTIONS), F.lit(False)))
 
 
 def product_object(texts: Column) -> Column:
