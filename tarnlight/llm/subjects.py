@@ -28,6 +28,10 @@ VOCABULARY = 200_000
 MIN_DOCUMENTS = 2
 ALPHA = 0.05
 ROUNDS = 2
+#: Least posterior of a sentence by its own words, whatever its document is about.
+OWN = 0.6
+#: Least weight in some area for a word to count; weaker words only add up to noise.
+TELLING = 0.5
 
 _ADDRESS = re.compile(r"https?://\S+|\]\([^)]*\)|\[[^\]\s]{1,8}\]:?")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
@@ -62,6 +66,11 @@ class Model:
         rest = np.log((total[:, None] - counts + ALPHA * max(k - 1, 1)) / np.maximum(n - by_area, 1e-9))
         self.weights = (base[:, None] - rest).astype(np.float32)
 
+    def only_telling(self) -> Model:
+        """Leaves out words that tell no area: in the refined model they only add up to noise."""
+        self.weights[self.weights.max(1, initial=0.0) < TELLING] = 0
+        return self
+
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word ids, sentence offsets and document offsets (in sentences); sentences without a known word are kept, empty."""
         get = self.ids.get
@@ -108,7 +117,7 @@ class Model:
         best = post[:, :k].argmax(1)
         at = np.arange(len(lik))
         own = lik[at, best] / (1 + lik.sum(1))
-        decided = (post[at, best] >= 0.5) & (own > 0.6)
+        decided = (post[at, best] >= 0.5) & (own > OWN)
         of = np.repeat(np.arange(n), np.diff(docs))
         sums = np.zeros((n, k))
         np.add.at(sums, (of[decided], best[decided]), 1.0)
@@ -171,6 +180,7 @@ def train(documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int
     by_doc = {d: ls for d, _, ls in labelled}
     for _ in range(rounds):
         model = Model(names, words, _expected_counts(documents, model, by_doc))
+    model = model.only_telling()
     return model, _calibrate(model, labelled)
 
 
@@ -193,7 +203,8 @@ def _expected_counts(documents: DataFrame, model: Model, labelled: dict[int, lis
                     prior[i] = 0.02
                     prior[i, [by.areas.index(a) for a in known[d]]] = 1 / len(known[d])
                     prior[i, k] = 0.3
-            post, _ = by.posteriors(by.likelihoods(words, starts), docs, prior)
+            lik = by.likelihoods(words, starts)
+            post, _ = by.posteriors(lik, docs, prior)
             each = post[:, :k] + post[:, k:] / k
             of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
             for j in range(k):
