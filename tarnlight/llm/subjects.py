@@ -2,7 +2,9 @@
 
 Complement naive Bayes is trained on labelled documents; expectation-maximisation refines it over
 all documents: every document is a mixture of areas and of text about no area, its sentences get
-posteriors under that mixture, and the posteriors give new word counts. A document's share of an
+posteriors under that mixture, and the posteriors give new word counts. Words count within the
+language of their sentence: labels are unevenly spread over languages, and without that every
+function word of a language would lean to the areas that have its labels. A document's share of an
 area is the share of its decided sentences; a logistic curve per share, fitted on the labelled
 documents, calibrates independent posteriors of the areas.
 """
@@ -38,32 +40,68 @@ _SENTENCE = re.compile(r"(?<=[.!?…])\s+|\n+")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 
-def sentences(text: str | None) -> list[list[str]]:
-    """Sentences, headings and list items as distinct words in lower case, without addresses and numbers."""
+# Function words that belong to one of the corpus's languages only.
+_FUNCTION_WORDS = {
+    "en": "the of to and is was with by from it that this which are were be at as an has its most more they you how what when who why for or their there than soon after before between",
+    "de": "der die das dem ein eine und oder nicht mit von zu im auf aus bei für ist auch es wer ohne seit oft sich den diese dieser sind zur zum als wie mehr manchmal über",
+    "es": "el los las una unas del y con por para es desde hace sin quien más también esta este su sus debería al son muy unos",
+    "fr": "le les des du et ou ne pas avec pour dans est sont qui cette au aux sans depuis une ces mais aussi plus sur ans par",
+}
+_LANGUAGE = {w: lang for lang, ws in _FUNCTION_WORDS.items() for w in ws.split()}
+_JOIN = "\x1f"
+
+
+def _lead(words: list[str]) -> str | None:
+    """The language with most function words among the words, None without any or in a tie."""
+    count: dict[str, int] = {}
+    for w in words:
+        lang = _LANGUAGE.get(w)
+        if lang is not None:
+            count[lang] = count.get(lang, 0) + 1
+    if not count:
+        return None
+    top = max(count.values())
+    best = [x for x, n in count.items() if n == top]
+    return best[0] if len(best) == 1 else None
+
+
+def sentences(text: str | None) -> list[tuple[str, list[str]]]:
+    """Sentences, headings and list items: (language, distinct words in lower case), without addresses and numbers.
+
+    A sentence without function words has the language of its document ("xx" where that has none).
+    """
     if not text:
         return []
     if "]" in text or "http" in text:
         text = _ADDRESS.sub(" ", text)
-    out = []
-    for s in _SENTENCE.split(text):
-        ws = _WORD.findall(s.casefold())
-        if ws:
-            out.append(list(dict.fromkeys(ws)))
-    return out
+    found = [ws for ws in (_WORD.findall(s.casefold()) for s in _SENTENCE.split(text)) if ws]
+    langs = [_lead(ws) for ws in found]
+    known = [x for x in langs if x]
+    main = max(sorted(set(known)), key=known.count) if known else "xx"
+    return [(lang or main, list(dict.fromkeys(ws))) for lang, ws in zip(langs, found)]
 
 
 class Model:
-    """Word weights by area: the log of a word's share of all text over its share of the area's complement."""
+    """Word weights by area: the log of a word's share of its language's text over its share of the area's complement.
+
+    words are language and word, joined by _JOIN.
+    """
 
     def __init__(self, areas: list[str], words: list[str], counts: np.ndarray):
-        self.areas = areas
-        self.ids = {w: i for i, w in enumerate(words)}
+        self.areas, self.words = areas, words
+        self.ids: dict[str, dict[str, int]] = {}
+        for i, w in enumerate(words):
+            lang, _, word = w.partition(_JOIN)
+            self.ids.setdefault(lang, {})[word] = i
         k = len(areas)
         total = counts.sum(1)
-        by_area = counts.sum(0)
-        n = max(by_area.sum(), 1e-9)
-        base = np.log((total + ALPHA * k) / n)
-        rest = np.log((total[:, None] - counts + ALPHA * max(k - 1, 1)) / np.maximum(n - by_area, 1e-9))
+        names = sorted(self.ids)
+        of = np.array([names.index(w.partition(_JOIN)[0]) for w in words], np.int64)
+        by_area = np.zeros((max(len(names), 1), k))
+        np.add.at(by_area, of, counts)
+        n = np.maximum(by_area.sum(1), 1e-9)
+        base = np.log((total + ALPHA * k) / n[of])
+        rest = np.log((total[:, None] - counts + ALPHA * max(k - 1, 1)) / np.maximum((n[:, None] - by_area)[of], 1e-9))
         self.weights = (base[:, None] - rest).astype(np.float32)
 
     def only_telling(self) -> Model:
@@ -73,13 +111,13 @@ class Model:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word ids, sentence offsets and document offsets (in sentences); sentences without a known word are kept, empty."""
-        get = self.ids.get
+        none: dict[str, int] = {}
         words: list[int] = []
         starts: list[int] = [0]
         docs: list[int] = [0]
         for text in texts:
-            for s in sentences(text):
-                words.extend(i for i in map(get, s) if i is not None)
+            for lang, s in sentences(text):
+                words.extend(i for i in map(self.ids.get(lang, none).get, s) if i is not None)
                 starts.append(len(words))
             docs.append(len(starts) - 1)
         return np.array(words, np.int64), np.array(starts, np.int64), np.array(docs, np.int64)
@@ -135,7 +173,7 @@ def _label_map(documents: DataFrame, labels: DataFrame) -> list[tuple[int, str,
 
 
 def vocabulary(documents: DataFrame) -> list[str]:
-    """The words held by most documents, counted over all of them: each task counts, sums are shuffled."""
+    """The words (with their language) held by most documents, counted over all of them: each task counts, sums are shuffled."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
@@ -145,7 +183,7 @@ def vocabulary(documents: DataFrame) -> list[str]:
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update({w for s in sentences(text) for w in s})
+                seen.update({lang + _JOIN + w for lang, s in sentences(text) for w in s})
             if len(seen) > 500_000:
                 yield drain()
                 seen.clear()
@@ -167,7 +205,7 @@ def train(documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int
     counts = np.zeros((len(words), len(names)))
     holders: Counter = Counter()
     for _, text, ls in labelled:
-        found = sentences(text)
+        found = [[lang + _JOIN + w for w in s] for lang, s in sentences(text)]
         holders.update({w for s in found for w in s})
         for s in found:
             at = [ids[w] for w in s if w in ids]
@@ -191,7 +229,7 @@ def _expected_counts(documents: DataFrame, model: Model, labelled: dict[int, lis
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by, known = shared.value
-        sums = np.zeros((len(by.ids), k))
+        sums = np.zeros((len(by.words), k))
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             words, starts, docs = by.encode(texts)
@@ -208,7 +246,7 @@ def _expected_counts(documents: DataFrame, model: Model, labelled: dict[int, lis
             each = post[:, :k] + post[:, k:] / k
             of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
             for j in range(k):
-                sums[:, j] += np.bincount(words, each[of, j], len(by.ids))
+                sums[:, j] += np.bincount(words, each[of, j], len(by.words))
         at = np.flatnonzero(sums.sum(1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(at, pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(sums[at].ravel(), pa.float64()), k).cast(pa.list_(pa.float64()))], names=["w", "c"]
@@ -217,7 +255,7 @@ def _expected_counts(documents: DataFrame, model: Model, labelled: dict[int, lis
     partial = documents.select(F.col("doc_id").cast("long"), "text").filter(F.col("text").isNotNull()).mapInArrow(expect, "w int, c array<double>")
     columns = [F.sum(F.col("c")[j]).alias(f"c{j}") for j in range(k)]
     rows = partial.groupBy("w").agg(*columns).toPandas()
-    counts = np.zeros((len(model.ids), k))
+    counts = np.zeros((len(model.words), k))
     if len(rows):
         counts[rows["w"].to_numpy()] = rows[[f"c{j}" for j in range(k)]].to_numpy()
     shared.unpersist()
@@ -225,25 +263,53 @@ def _expected_counts(documents: DataFrame, model: Model, labelled: dict[int, lis
 
 
 def _calibrate(model: Model, labelled: list[tuple[int, str, list[str]]]) -> tuple[float, float]:
-    """Intercept and slope of P(area | share), by Newton's method on all (document, area) of the labelled documents."""
+    """Intercept and slope of P(area | share), fitted on all (document, area) of the labelled documents.
+
+    Where the curve crosses one half is the cut that agrees with most labels of the second areas,
+    the middle of the best interval; wrong labels shift a plain logistic fit, but hardly this cut.
+    The slope is fitted by Newton's method around it.
+    """
     if not labelled:
         return -5.0, 20.0
     shares, _ = model.shares([t for _, t, _ in labelled])
     y = np.zeros_like(shares)
     for i, (_, _, ls) in enumerate(labelled):
         y[i, [model.areas.index(a) for a in ls]] = 1
-    x, y = np.minimum(shares.ravel(), 0.5), y.ravel()
-    beta = np.array([-4.0, 16.0])
-    design = np.stack([np.ones_like(x), x], 1)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        grad = design.T @ (y - p) - np.array([0, 1e-3]) * beta
-        hess = (design * (p * (1 - p))[:, None]).T @ design + np.eye(2) * 1e-3
-        step = np.linalg.solve(hess, grad)
-        beta += np.clip(step, -5, 5)
-        if abs(step).max() < 1e-8:
+    cut = 1 / 3
+    if shares.shape[1] > 1:
+        order = np.argsort(-shares, axis=1, kind="stable")[:, 1]
+        rows = np.arange(len(shares))
+        cut = best_cut(shares[rows, order], y[rows, order])
+    x, t = (np.minimum(shares, 0.5) - cut).ravel(), y.ravel()
+    slope = 16.0
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(slope * x, -30, 30)))
+        step = ((t - p) @ x - 1e-3 * slope) / ((p * (1 - p)) @ (x * x) + 1e-3)
+        slope += float(np.clip(step, -5, 5))
+        if abs(step) < 1e-8:
             break
-    return float(beta[0]), float(max(beta[1], 1e-3))
+    slope = float(min(max(slope, 5.0), 200.0))
+    return -slope * cut, slope
+
+
+def best_cut(share: np.ndarray, label: np.ndarray, low: float = 0.1, high: float = 0.4) -> float:
+    """The middle of the longest stretch of cuts in [low, high] at which nearly as many labels agree with share >= cut as at the best."""
+    edges = np.unique(np.concatenate([[low], share[(share > low) & (share < high)], [high]]))
+    if len(edges) < 2 or not label.any():
+        return 1 / 3
+    middles = (edges[1:] + edges[:-1]) / 2
+    wrong = np.array([np.sum((share >= c) != (label > 0)) for c in middles])
+    good = wrong <= wrong.min() + max(1, len(share) // 500)
+    # The longest stretch of good cuts; one more wrong label than at the best cut is within the noise.
+    longest, cut, start = 0.0, float(middles[wrong.argmin()]), None
+    for i in range(len(good) + 1):
+        if i < len(good) and good[i]:
+            start = i if start is None else start
+        elif start is not None:
+            if edges[i] - edges[start] > longest:
+                longest, cut = edges[i] - edges[start], float((edges[i] + edges[start]) / 2)
+            start = None
+    return cut
 
 
 def classify(documents: DataFrame, model: Model, calibration: tuple[float, float], most: int = 2) -> DataFrame:

@@ -73,6 +73,6 @@ def test_words_are_counted_over_all_documents(spark):
     words = S.vocabulary(spark.createDataFrame(docs, "doc_id long, text string"))
     plain = {}
     for _, t in docs:
-        for w in {w for s in S.sentences(t) for w in s}:
+        for w in {lang + S._JOIN + w for lang, s in S.sentences(t) for w in s}:
             plain[w] = plain.get(w, 0) + 1
     assert set(words) == {w for w, n in plain.items() if n >= S.MIN_DOCUMENTS}
