@@ -35,12 +35,15 @@ def site_files(pages: DataFrame, key: str, url: str, source: str) -> DataFrame:
     return convert(pages, key, source).join(pages.select(key, url), key).select(urls.markdown_path(F.col(url)).alias("path"), "markdown")
 
 
-def llms_txt(pages: DataFrame, site: str, url: str, source: str) -> DataFrame:
-    """(site, llms_txt): a title line and one link per page, by address.
+def llms_txt(pages: DataFrame, site: str, url: str, source: str, most: int = 5000) -> DataFrame:
+    """(site, part, llms_txt): a title line and one link per page, by address.
 
-    Text of one site is one value; the links of a site are bounded by what one file can hold.
+    Sites of more than `most` pages get several numbered files of about that many links, pages
+    spread by a hash of their address, so that no file and no task holds a whole large site.
     """
-    rows = pages.select(site, F.col(url).alias("u"), F.coalesce(html.title(F.col(source)), F.col(url)).alias("t")).dropna(subset=["u"]).distinct()
-    lines = rows.groupBy(site).agg(F.sort_array(F.collect_list(F.struct("u", "t"))).alias("p"))
+    rows = pages.select(site, F.col(url).alias("u"), F.coalesce(html.title(F.col(source)), F.col(url)).alias("t")).dropna(subset=["u", site]).distinct()
+    parts = rows.groupBy(site).agg(F.ceil(F.count("*") / most).alias("parts"))
+    spread = rows.join(parts, site).withColumn("part", F.pmod(F.xxhash64("u"), F.col("parts")))
+    lines = spread.groupBy(site, "part").agg(F.sort_array(F.collect_list(F.struct("u", "t"))).alias("p"))
     body = F.array_join(F.transform("p", lambda p: F.concat(F.lit("- ["), p["t"], F.lit("]("), p["u"], F.lit(")"))), "\n")
-    return lines.select(site, F.concat(F.lit("# "), F.col(site), F.lit("\n\n## Pages\n"), body).alias("llms_txt"))
+    return lines.select(site, "part", F.concat(F.lit("# "), F.col(site), F.lit("\n\n## Pages\n"), body).alias("llms_txt"))

@@ -7,10 +7,20 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def with_previous(history: DataFrame, key: str, order: list[str], scores: list[str]) -> DataFrame:
-    """Adds prev_<score> of the row before, per key."""
-    w = W.partitionBy(key).orderBy(*order)
-    return history.withColumns({f"prev_{s}": F.lag(s).over(w) for s in scores})
+def with_previous(history: DataFrame, key: str, order: list[str], scores: list[str], bucket: Column | None = None) -> DataFrame:
+    """Adds prev_<score> of the row before, per key and in the given order (time first).
+
+    Rows are compared within (key, bucket), the day by default; the first row of a bucket gets the
+    last row of the key's bucket before. No task sorts a whole key, however many rows it has.
+    """
+    rows = history.withColumn("_b", F.to_date(order[0]) if bucket is None else bucket)
+    inner = W.partitionBy(key, "_b").orderBy(*order)
+    rows = rows.withColumns({"_first": F.row_number().over(inner) == 1} | {f"_in_{s}": F.lag(s).over(inner) for s in scores})
+    ends = rows.groupBy(key, "_b").agg(F.max_by(F.struct(*scores), F.struct(*order)).alias("_last"))
+    before = ends.select(key, "_b", F.lag("_last").over(W.partitionBy(key).orderBy("_b")).alias("_before"))
+    joined = rows.join(before, [key, "_b"])
+    previous = {f"prev_{s}": F.when(F.col("_first"), F.col(f"_before.{s}")).otherwise(F.col(f"_in_{s}")) for s in scores}
+    return joined.withColumns(previous).drop("_b", "_first", "_before", *[f"_in_{s}" for s in scores])
 
 
 def regressions(history: DataFrame, key: str, order: list[str], score: str, pillars: list[str], threshold: float = 5.0) -> DataFrame:

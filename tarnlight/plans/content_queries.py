@@ -226,8 +226,8 @@ def llms_txt_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLMS_TXT_SQL = r"""
-with a as (select distinct site, url as u, coalesce(nullif(trim(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)), ''), url) as t from pages where url is not null)
-select site, '# ' || site || chr(10) || chr(10) || '## Pages' || chr(10) || string_agg('- [' || t || '](' || u || ')', chr(10) order by u, t) as llms_txt from a group by site"""
+with a as (select distinct site, url as u, coalesce(nullif(trim(regexp_extract(coalesce(html, ''), '(?is)<title[^>]*>(.*?)</title>', 1)), ''), url) as t from pages where url is not null and site is not null)
+select site, 0::bigint as part, '# ' || site || chr(10) || chr(10) || '## Pages' || chr(10) || string_agg('- [' || t || '](' || u || ')', chr(10) order by u, t) as llms_txt from a group by site"""
 
 
 def queries() -> dict:

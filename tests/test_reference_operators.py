@@ -191,6 +191,24 @@ def test_changes(spark):
     assert {r.winner for r in score_changes.pairwise(now, base, "url", ["overall"]).collect()} == {"b"}
 
 
+def test_previous_rows_across_days(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [("hot" if i % 3 else "u", i, t + dt.timedelta(hours=7 * (i // 2)), float(i * 37 % 101) if i % 5 else None) for i in range(200)]
+    got = score_changes.with_previous(spark.createDataFrame(rows, "url string, id int, ts timestamp_ntz, s double"), "url", ["ts", "id"], ["s"]).collect()
+    last, want = {}, {}
+    for url, i, _, s in sorted(rows, key=lambda r: (r[2], r[1])):
+        want[i] = last.get(url)
+        last[url] = s
+    assert {r.id: r.prev_s for r in got} == want
+
+
+def test_large_sites_get_several_files(spark):
+    pages = spark.createDataFrame([("s", f"https://s/{i}", f"<title>T{i}</title>") for i in range(250)] + [("t", "https://t/", None), (None, "x", ""), ("u", None, "")], "site string, url string, html string")
+    got = page_markdown.llms_txt(pages, "site", "url", "html", 100).collect()
+    assert sum(r.llms_txt.count("- [") for r in got if r.site == "s") == 250 and len([r for r in got if r.site == "s"]) == 3
+    assert [r.llms_txt for r in got if r.site == "t"] == ["# t\n\n## Pages\n- [https://t/](https://t/)"]
+
+
 def test_ranks_are_total_and_gapless(spark):
     df = spark.createDataFrame([(f"s{i:03}", float(i % 7) if i % 5 else None) for i in range(300)], "site string, waste_pct double").repartition(7)
     got = site_marts.leaderboard(df).collect()
