@@ -84,6 +84,11 @@ def directory_name(url: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(raw, r"[^a-zA-Z0-9.\-]", "_"), "_+", "_"), "^_+|_+$", "")
 
 
+def report_slug(url: Column) -> Column:
+    """A file name for a report on a URL: no scheme, slashes as underscores."""
+    return F.replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.\-]*://", ""), F.lit("/"), F.lit("_"))
+
+
 def is_valid(url: Column) -> Column:
     return url.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+")
 

@@ -135,3 +135,14 @@ def diverse_sample(df: DataFrame, site: str, url: str, most: int, order: str) ->
     seg = urls.first_segment(F.col(url))
     turn = df.withColumn("segment", seg).withColumn("turn", F.row_number().over(W.partitionBy(site, "segment").orderBy(order))).filter(F.col("turn") <= most)
     return turn.withColumn("place", F.row_number().over(W.partitionBy(site).orderBy("turn", "segment"))).filter(F.col("place") <= most)
+
+
+def discovered(fetches: DataFrame, pages: DataFrame, most: int = 500) -> DataFrame:
+    """(site, url, method): the sitemap's pages of a site, or where it has none, the links of its pages.
+
+    fetches: site, url, body of sitemap files; pages: site, url, html.
+    """
+    listed = sitemap_pages(fetches, most).withColumn("method", F.lit("sitemap"))
+    without = pages.join(listed.select("site").distinct(), "site", "left_anti")
+    links = internal_links(without, "url", "html").join(without.select("site", "url").distinct(), "url").select("site", F.col("link").alias("url")).distinct()
+    return listed.unionByName(links.withColumn("method", F.lit("links"))).distinct()

@@ -84,3 +84,30 @@ def site_checks(fetches: DataFrame) -> DataFrame:
     return out.withColumns({
         "allows_training": usage_flag(F.col("usage_header"), "training"), "allows_search": usage_flag(F.col("usage_header"), "search"), "agent_score": F.least(F.lit(20.0), score),
     })
+
+
+# Headers that belong to one connection and are not passed on.
+HOP_BY_HOP = ("connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailers", "transfer-encoding", "upgrade")
+
+
+def forwarded_headers(headers: Column) -> Column:
+    """A map of headers without those of one connection."""
+    return F.map_filter(headers, lambda k, v: ~F.lower(k).isin(*HOP_BY_HOP))
+
+
+def wants_markdown(accept: Column) -> Column:
+    return F.coalesce(F.lower(accept).contains("text/markdown"), F.lit(False))
+
+
+def is_html(content_type: Column) -> Column:
+    return F.coalesce(F.lower(content_type).contains("text/html"), F.lit(False))
+
+
+def check_totals(checks: DataFrame) -> DataFrame:
+    """Sites that pass each agent check, as number and percentage: (check, n, pct); unpivoted before the sums."""
+    flags = {
+        "agents_md": F.col("agents_path").isNotNull(), "markdown_accept": F.col("markdown_accept"), "mcp": F.col("mcp_score").isNotNull(), "llms_txt": F.col("llms_path").isNotNull(),
+        "x402": F.col("has_402") | F.col("has_payment_header"), "nlweb": F.col("nlweb"),
+    }
+    long = checks.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check"), F.coalesce(v, F.lit(False)).alias("ok")) for k, v in flags.items()])))
+    return long.groupBy("check").agg(F.count_if("ok").alias("n"), F.bround(100 * F.count_if("ok") / F.count("*"), 1).alias("pct"))

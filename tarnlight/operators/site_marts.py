@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnlight.functions import urls
+from tarnlight.runtime import durable
 
 
 def aggregate_sites(pages: DataFrame, site: str = "site") -> DataFrame:
@@ -41,8 +42,6 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
     in their partition and shifted by the sizes of the partitions before."""
     parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
     local = parts.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    from tarnlight.runtime import durable
-
     local = durable(local)  # the partition numbers must not be computed anew
     sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))
     before = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_off")
@@ -76,3 +75,26 @@ def split_means(df: DataFrame, flag: str, score: str) -> DataFrame:
 def cross_tab(df: DataFrame, row: str, column: str, value: str, columns: list[str]) -> DataFrame:
     """Rows by fixed columns: true where any value is true. The columns are given, so nothing is collected to find them."""
     return df.groupBy(row).pivot(column, columns).agg(F.bool_or(value))
+
+
+def insights(df: DataFrame, score: str, key: str, adoption: list[str]) -> DataFrame:
+    """One row over all sites: mean, extremes with their key, and the number of sites with each property."""
+    return df.agg(
+        F.count("*").alias("n"), F.bround(F.avg(score), 1).alias("avg_score"), F.max(score).alias("best_score"), F.max_by(key, F.struct(score, key)).alias("best"),
+        F.min(score).alias("worst_score"), F.min_by(key, F.struct(score, key)).alias("worst"), *[F.count_if(F.coalesce(F.col(a), F.lit(False))).alias(f"n_{a}") for a in adoption],
+    )
+
+
+def lookup_by_suffix(df: DataFrame, domain: str, dimension: DataFrame, key: str, value: str, default: str) -> DataFrame:
+    """Adds the value of the longest suffix of a domain that the dimension lists, else the default.
+
+    Distinct domains are resolved once: suffixes are exploded, met by an equi join and the longest
+    kept; so neither a theta join nor a hot domain costs anything.
+    """
+    names = df.select(F.col(domain).alias("_d")).dropna().distinct()
+    labels = F.split(F.lower("_d"), r"\.")
+    n = F.size(labels)
+    suffixes = names.select("_d", F.posexplode(F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(labels, i, n), "."))).alias("_i", "_s"))
+    known = dimension.select(F.lower(key).alias("_s"), F.col(value).alias("_v")).dropna().groupBy("_s").agg(F.min("_v").alias("_v"))
+    found = suffixes.join(known, "_s").groupBy("_d").agg(F.min_by("_v", "_i").alias("_v"))
+    return df.join(found, F.col(domain) == F.col("_d"), "left").withColumn(value, F.coalesce("_v", F.lit(default))).drop("_d", "_v")

@@ -11,7 +11,7 @@ from tarnlight.functions import html as H
 from tarnlight.functions import markdown as M
 from tarnlight.functions import readiness
 from tarnlight.functions import urls as U
-from tarnlight.operators import answer_analytics, discovery, endpoints, score_changes, site_marts
+from tarnlight.operators import answer_analytics, discovery, endpoints, generated_texts, score_changes, site_marts
 from tarnlight.plans.content_queries import _QUIET, _VISIBLE, _WS, _metrics_sql
 from tarnlight.runtime import durable, table
 
@@ -420,14 +420,17 @@ _OBSERVED = [
 ]
 
 
-def endpoint_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checks of all sites against the observations of their kind."""
+def _site_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = spark.createDataFrame(_OBSERVED, "kind int, path string, method string, status int, ct string, usage string, pay string, body string")
     fetches = _sites(spark, sf_dir).join(F.broadcast(seen), "kind").select(
         "site", "path", "method", "status", F.map_filter(F.create_map(F.lit("Content-Type"), "ct", F.lit("Content-Usage"), "usage", F.lit("X-Payment"), "pay"), lambda k, v: v.isNotNull()).alias("headers"), "body", F.lit(None).cast("string").alias("error")
     )
-    out = endpoints.site_checks(fetches)
-    return out.select("site", "llms_path", "llms_full_path", "agents_path", "markdown_accept", "mcp_score", F.col("mcp_tools").cast("long").alias("mcp_tools"), "has_402", "has_payment_header", "nlweb", "allows_training", "allows_search", "agent_score")
+    return endpoints.site_checks(fetches)
+
+
+def endpoint_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of all sites against the observations of their kind."""
+    return _site_checks(spark, sf_dir).select("site", "llms_path", "llms_full_path", "agents_path", "markdown_accept", "mcp_score", F.col("mcp_tools").cast("long").alias("mcp_tools"), "has_402", "has_payment_header", "nlweb", "allows_training", "allows_search", "agent_score")
 
 
 ENDPOINTS_SQL = """with s as (select distinct site, length(site) % 4 as kind from pages where site is not null), k(kind, llms_path, llms_full_path, agents_path, markdown_accept, mcp_score, mcp_tools, has_402, has_payment_header, nlweb, allows_training, allows_search, agent_score) as (values
@@ -435,6 +438,50 @@ ENDPOINTS_SQL = """with s as (select distinct site, length(site) % 4 as kind fro
  (2, null, null, '/AGENTS.md', true, 1.0, null, false, false, false, null, null, 11.0), (3, null, null, null, false, null, null, false, true, true, null, null, 1.5)) select k.* exclude (kind), site from s join k using (kind)"""
 
 
+def agent_check_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return endpoints.check_totals(_site_checks(spark, sf_dir))
+
+
+TOTALS_SQL = f"""with c as ({ENDPOINTS_SQL}), l as (select unnest([{{'k': 'agents_md', 'v': agents_path is not null}}, {{'k': 'markdown_accept', 'v': markdown_accept}}, {{'k': 'mcp', 'v': mcp_score is not null}},
+  {{'k': 'llms_txt', 'v': llms_path is not null}}, {{'k': 'x402', 'v': has_402 or has_payment_header}}, {{'k': 'nlweb', 'v': nlweb}}]) as x from c)
+select x.k as check, count(*) filter (x.v) as n, round_even(100.0 * count(*) filter (x.v) / count(*), 1)::double as pct from l group by 1""".replace("as check,", 'as "check",')
+
+
+def site_insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _site_rows(spark, sf_dir).withColumn("score", F.col("schema_score") + F.col("content_score"))
+    return site_marts.insights(rows, "score", "site", ["has_lists", "has_code_blocks"])
+
+
+INSIGHTS_SQL = f"""with {_SITE_ROWS_SQL}, u as (select *, schema_score + content_score as score from t)
+select count(*) as n, round_even(avg(score), 1) as avg_score, max(score) as best_score, arg_max(site, (score, site)) as best, min(score) as worst_score, arg_min(site, (score, site)) as worst,
+  count(*) filter (has_lists) as n_has_lists, count(*) filter (has_code_blocks) as n_has_code_blocks from u"""
+
+
+def site_owner_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages per owner, the owner found by the longest listed suffix of the host."""
+    owners = spark.createDataFrame([("example", "example hosts"), ("test", "test hosts"), ("ranedurk-post0.example", "Ranedurk")], "suffix string, owner string")
+    rows = site_marts.lookup_by_suffix(table(spark, sf_dir, "pages").select("page_id", "site"), "site", owners, "suffix", "owner", "Other")
+    return rows.groupBy("owner").agg(F.count("*").alias("n"))
+
+
+OWNERS_SQL = """select case when site = 'ranedurk-post0.example' or ends_with(site, '.ranedurk-post0.example') then 'Ranedurk' when ends_with(site, '.example') then 'example hosts' when ends_with(site, '.test') then 'test hosts' else 'Other' end as owner,
+  count(*) as n from pages group by 1"""
+
+
+def report_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", U.report_slug(F.col("url")).alias("slug"))
+
+
+SLUGS_SQL = r"select page_id, replace(regexp_replace(url, '^[A-Za-z][A-Za-z0-9+.\-]*://', ''), '/', '_') as slug from pages"
+
+
+def page_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.length(generated_texts.page_prompt("Summarise this page.", F.col("url"), F.col("markdown"))).cast("long").alias("n_chars"))
+
+
+PROMPTS_SQL = "select page_id, length('Summarise this page.' || chr(10) || chr(10) || 'URL: ' || url || chr(10) || chr(10) || left(coalesce(markdown, ''), 8000)) as n_chars from pages"
+
+
 def watch_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stateful stream over all audits, run once to the end; its output is a table in the shared folder."""
     from tarnlight.runtime import ensure_checkpoint_dir
@@ -461,7 +508,8 @@ def queries() -> dict:
         "headings_split": headings_split, "history_latest": history_latest, "score_regressions": score_regressions, "baseline_comparison": baseline_comparison, "threshold_failures": threshold_failures,
         "pairwise_comparison": pairwise_comparison, "report_flatten": report_flatten, "monthly_scores": monthly_scores, "citations": citations, "cited_domains": cited_domains,
         "text_brand_mentions": text_brand_mentions, "brand_totals": brand_totals, "response_sentiment": response_sentiment, "recommendation_share": recommendation_share, "prompt_plan": prompt_plan,
-        "endpoint_checks": endpoint_checks, "watch_regressions": watch_regressions,
+        "endpoint_checks": endpoint_checks, "watch_regressions": watch_regressions, "agent_check_totals": agent_check_totals, "site_insights": site_insights,
+        "site_owner_lookup": site_owner_lookup, "report_slugs": report_slugs, "page_prompts": page_prompts,
     }
 
 
@@ -471,5 +519,6 @@ def oracle_sql() -> dict[str, str]:
         "page_recommendations": RECOMMENDATIONS_SQL, "site_scores": SITE_SCORES_SQL, "site_leaderboard": LEADERBOARD_SQL, "category_statistics": CATEGORY_SQL, "category_rollup": ROLLUP_SQL,
         "headings_split": SPLIT_SQL, "history_latest": HISTORY_SQL, "score_regressions": REGRESSIONS_SQL, "baseline_comparison": BASELINE_SQL, "threshold_failures": THRESHOLD_SQL,
         "pairwise_comparison": PAIRWISE_SQL, "report_flatten": FLATTEN_SQL, "monthly_scores": MONTHLY_SQL, "citations": CITATIONS_SQL, "cited_domains": DOMAINS_SQL,
-        "text_brand_mentions": MENTIONS_SQL, "brand_totals": BRAND_TOTALS_SQL, "response_sentiment": SENTIMENT_SQL, "recommendation_share": SHARE_SQL, "prompt_plan": PLAN_SQL, "endpoint_checks": ENDPOINTS_SQL,
+        "text_brand_mentions": MENTIONS_SQL, "brand_totals": BRAND_TOTALS_SQL, "response_sentiment": SENTIMENT_SQL, "recommendation_share": SHARE_SQL, "prompt_plan": PLAN_SQL, "endpoint_checks": ENDPOINTS_SQL, "agent_check_totals": TOTALS_SQL,
+        "site_insights": INSIGHTS_SQL, "site_owner_lookup": OWNERS_SQL, "report_slugs": SLUGS_SQL, "page_prompts": PROMPTS_SQL,
     }

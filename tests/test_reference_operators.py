@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tarnlight import plugins
 from tarnlight.functions import dom, html, markdown, readiness, urls
-from tarnlight.operators import answer_analytics, discovery, endpoints, listing_quality, page_markdown, product_pages, score_changes, site_marts, structured_data
+from tarnlight.operators import answer_analytics, discovery, endpoints, generated_texts, listing_quality, page_markdown, product_pages, score_changes, site_marts, structured_data
 from tarnlight.sources import files, observations
 from tarnlight.streaming import watch
 
@@ -125,6 +125,23 @@ def test_endpoints(spark):
     assert (b.llms_path, b.has_402, b.has_payment_header, b.mcp_score, b.markdown_accept, b.agent_score) == (None, True, True, 1.0, True, 8.0)
 
 
+def test_headers_and_generated_texts(spark):
+    row = spark.createDataFrame([({"Connection": "x", "Accept": "text/markdown"}, "T", "D", [("H", [("a", "https://a", "note"), (None, "https://b", None)])], ["h", "h"], ["/x"])], "h map<string,string>, t string, d string, s array<struct<heading:string,links:array<struct<title:string,url:string,description:string>>>>, hs array<string>, ls array<string>").select(
+        endpoints.forwarded_headers(F.col("h")).alias("f"), endpoints.wants_markdown(F.col("h")["Accept"]).alias("w"), endpoints.is_html(F.lit("Text/HTML; x")).alias("i"), generated_texts.llms_txt(F.col("t"), F.col("d"), F.col("s")).alias("l"),
+        generated_texts.agents_md(F.col("t"), F.col("d"), F.col("hs"), F.col("ls")).alias("a"), generated_texts.json_ld("Organization", {"name": F.col("t"), "url": F.lit(None).cast("string")}).alias("j"), F.length(generated_texts.page_prompt("Do.", F.lit("u"), F.repeat(F.lit("x"), 9000))).alias("p"),
+    ).collect()[0]
+    assert row.f == {"Accept": "text/markdown"} and row.w and row.i
+    assert row.l == "# T\n\n> D\n\n## H\n\n- [a](https://a): note\n- [https://b](https://b)\n"
+    assert row.a == "# T\n\nD\n\n## Sections\n\n- h\n\n## Links\n\n- /x" and '"@type" : "Organization"' in row.j and "url" not in row.j and row.p == 8000 + 13
+
+
+def test_sitemap_else_links(spark):
+    ns = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
+    fetches = spark.createDataFrame([("s", "https://s/sitemap.xml", f"<urlset {ns}><url><loc>https://s/1</loc></url></urlset>")], "site string, url string, body string")
+    pages = spark.createDataFrame([("s", "https://s/", '<a href="/2">x</a>'), ("t", "https://t/", '<a href="/3">x</a><a href="/3">y</a>')], "site string, url string, html string")
+    assert sorted(map(tuple, discovery.discovered(fetches, pages).collect())) == [("s", "https://s/1", "sitemap"), ("t", "https://t/3", "links")]
+
+
 def test_robots_directives(spark):
     text = "Sitemap: https://a/1\r\ncrawl-delay: soon\nCrawl-Delay: 2.5\nCrawl-delay: 9\nUser-agent: gptbot\nUser-Agent: GPTBot\nuser-agent: GPTBot\nSITEMAP: https://a/2"
     d = endpoints.robots_directives(F.col("x"))
