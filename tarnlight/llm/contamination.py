@@ -12,6 +12,7 @@ from __future__ import annotations
 import html as htmllib
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -29,6 +30,7 @@ MAX_NGRAMS = 2_000_000
 _TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]{0,300}>", re.S)
 _TARGET = re.compile(r"(?<=\])\([^()\s]*\)")
 _WORD = re.compile(r"[^\W_]+")
+_HIDDEN = re.compile("&(?:#\\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,30});|[\u00ad\u200b-\u200f\u2060\ufeff]|(?<=[a-z])-\n(?=[a-z])")
 
 
 def words(text: str | None) -> list[str]:
@@ -45,18 +47,41 @@ def _prepare(text: str) -> str:
     return text
 
 
+def _resolve(text: str) -> tuple[str, list[int], list[int]]:
+    """The text with character references resolved and invisible characters and hyphens at line ends
+    taken out; and breaks: from each position of the new text on, what to add for the old one."""
+    out, at, places, shifts, size, shift = [], 0, [0], [0], 0, 0
+    for m in _HIDDEN.finditer(text):
+        new = htmllib.unescape(m[0]) if m[0][0] == "&" else ""
+        if new == m[0]:
+            continue
+        out += [text[at : m.start()], new]
+        size += m.start() - at + len(new)
+        at = m.end()
+        shift += len(m[0]) - len(new)
+        places.append(size)
+        shifts.append(shift)
+    out.append(text[at:])
+    return "".join(out), places, shifts
+
+
 def spans(text: str | None) -> list[tuple[str, int, int]]:
     """(word, start, end) of the words of a text; start and end are positions in the text as given."""
     if not text:
         return []
     blanked = _prepare(text)
+    places, shifts = None, None
+    if _HIDDEN.search(blanked):
+        blanked, places, shifts = _resolve(blanked)
     plain = blanked.isascii()
     out = []
     for m in _WORD.finditer(blanked):
         word = m[0].lower() if plain else unicodedata.normalize("NFKC", m[0]).casefold()
-        out.append((word, m.start(), m.end()))
-    if "&" in text:
-        out = [w for w in out if not (w[1] and text[w[1] - 1] in "&#" and w[2] < len(text) and text[w[2]] == ";" and htmllib.unescape(text[w[1] - 1 : w[2] + 1]) != text[w[1] - 1 : w[2] + 1])]
+        start, end = m.span()
+        if places:
+            start += shifts[bisect_right(places, start) - 1]
+            end = end - 1 + shifts[bisect_right(places, end - 1) - 1] + 1
+        out.append((word, start, end))
     return out
 
 

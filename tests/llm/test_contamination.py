@@ -49,6 +49,11 @@ def test_whole_part_markup_case_and_changed_words(spark):
             assert brute_share(text, d) >= 1 / 3
 
 
+def test_spans_see_through_references_and_invisible_characters():
+    text = "A s&#101;cond <b>bold</b> w\u200bord, exam-\nple &amp; [link](http://x.y/z) R&D; end"
+    assert [(w, text[a:b]) for w, a, b in C.spans(text)] == [("a", "A"), ("second", "s&#101;cond"), ("bold", "bold"), ("word", "w\u200bord"), ("example", "exam-\nple"), ("link", "link"), ("r", "R"), ("d", "D"), ("end", "end")]
+
+
 def test_order_of_the_item_counts(spark):
     ws = ITEMS[2][1].split()
     chunks = [ws[i : i + 6] for i in range(0, 60, 6)]
