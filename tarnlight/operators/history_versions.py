@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnlight.runtime import unambiguous
+from tarnlight.runtime import durable, unambiguous
 
 WORD = 32
 #: Versions of one entity are linked to their successors in groups of so many positions.
@@ -37,10 +37,11 @@ def snapshots(df: DataFrame, entity: Column, ts: str, values: dict[str, Column],
     last = rows.groupBy("_e", "_t").agg(
         F.max(F.struct(F.col("_r"), F.col("_id"), *[F.col(k) for k in named])).alias("m")
     )
-    rows = last.select(
+    # Written once: ranks and counts per hour both need the rows that count.
+    rows = durable(last.select(
         "_e", "_t", F.col("m._id").alias("_id"), *[F.col(f"m.{k}").alias(k) for k in named],
         F.expr("timestampdiff(HOUR, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(_t as timestamp_ntz))").alias("_h"),
-    )
+    ))
     before = W.partitionBy("_e").orderBy("_h").rowsBetween(W.unboundedPreceding, -1)
     hours = rows.groupBy("_e", "_h").agg(F.count("*").alias("n")).select(
         "_e", "_h", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base")
@@ -52,16 +53,20 @@ def snapshots(df: DataFrame, entity: Column, ts: str, values: dict[str, Column],
 
 
 def bitmaps(snaps: DataFrame, names: Sequence[str]) -> DataFrame:
-    """One row per entity, word and value: the bitmap (_bits) and its members (bit, time, id)."""
+    """One row per entity, word and value: the bitmap (_bits), its members (bit, time, id), and whether
+    the last bit of the word before is set (_carry).
+
+    The last position of a word also counts, as bit -1, in the next word: so runs go on from word to
+    word without a join of the bitmaps with themselves.
+    """
     keys = [f"v_{n}" for n in names]
-    bit = (F.col("_pos") % WORD).cast("int")
-    return (
-        snaps.withColumn("_w", F.floor(F.col("_pos") / WORD)).withColumn("_b", bit)
-        .groupBy("_e", "_w", *keys)
-        .agg(
-            F.expr("bit_or(shiftleft(1L, _b))").alias("_bits"),
-            F.collect_list(F.struct("_b", "_t", "_id")).alias("_members"),
-        )
+    word, bit = F.floor(F.col("_pos") / WORD), (F.col("_pos") % WORD).cast("int")
+    places = F.when(bit == WORD - 1, F.array(F.struct(word.alias("w"), bit.alias("b")), F.struct((word + 1).alias("w"), F.lit(-1).alias("b")))).otherwise(F.array(F.struct(word.alias("w"), bit.alias("b"))))
+    each = snaps.withColumn("_p", F.explode(places)).select("_e", "_t", "_id", *keys, F.col("_p.w").alias("_w"), F.col("_p.b").alias("_b"))
+    return each.groupBy("_e", "_w", *keys).agg(
+        F.expr("bit_or(case when _b >= 0 then shiftleft(1L, _b) else 0L end)").alias("_bits"),
+        F.collect_list(F.when(F.col("_b") >= 0, F.struct("_b", "_t", "_id"))).alias("_members"),
+        F.max(F.when(F.col("_b") < 0, 1).otherwise(0)).cast("long").alias("_carry"),
     )
 
 
@@ -69,11 +74,7 @@ def version_starts(snaps: DataFrame, names: Sequence[str]) -> DataFrame:
     """The first snapshot of every run of bits: _e, _pos, _t, _id and the values."""
     keys = [f"v_{n}" for n in names]
     words = bitmaps(snaps, names)
-    carry = words.filter(F.expr(f"(_bits & shiftleft(1L, {WORD - 1})) <> 0")).select(
-        "_e", (F.col("_w") + 1).alias("_w"), *keys, F.lit(1).cast("long").alias("_carry")
-    )
-    joined = words.join(carry, ["_e", "_w", *keys], "left")
-    runs = joined.withColumn("_starts", F.expr("_bits & ~(shiftleft(_bits, 1) | coalesce(_carry, 0L))")).filter("_starts <> 0")
+    runs = words.withColumn("_starts", F.expr("_bits & ~(shiftleft(_bits, 1) | _carry)")).filter("_starts <> 0")
     first = F.expr("filter(_members, m -> (_starts & shiftleft(1L, m._b)) <> 0)")
     return runs.select("_e", "_w", *keys, F.explode(first).alias("m")).select(
         "_e", (F.col("_w") * WORD + F.col("m._b")).alias("_pos"), F.col("m._t").alias("_t"), F.col("m._id").alias("_id"), *keys
