@@ -100,14 +100,28 @@ def window_sentiment(text: Column, start: Column, size: Column) -> Column:
     return F.when(good & ~bad, 1).when(bad & ~good, -1).otherwise(0)
 
 
+#: Entries of a parameter list (tracked brands, models).
+MAX_LIST = 1000
+
+
+def _short_list(df: DataFrame, column: str) -> list[str]:
+    """The distinct values of a parameter list, in order; an error beyond MAX_LIST."""
+    rows = df.select(F.col(column).alias("v")).filter("v <> ''").distinct().limit(MAX_LIST + 1).collect()
+    if len(rows) > MAX_LIST:
+        raise ValueError(f"more than {MAX_LIST} values in the list of {column}")
+    return sorted(r.v for r in rows)
+
+
 def brand_mentions(df: DataFrame, key: str, text: str, brands: DataFrame, brand: str) -> DataFrame:
     """(key, brand, n, sentiment) of every brand of a short list found in a text.
 
-    The list of tracked brands is the query's parameter; it is broadcast and the texts are scanned once.
-    NULL and empty brands are ignored.
+    The list of tracked brands is a parameter of at most MAX_LIST names, held in the plan; the texts
+    are scanned once and joined to nothing. NULL and empty brands are ignored.
     """
-    few = brands.select(F.col(brand).alias("brand")).filter("brand <> ''").distinct()
-    hits = df.select(key, F.col(text).alias("_t")).join(F.broadcast(few), F.expr("contains(lower(_t), lower(brand))"))
+    few = _short_list(brands, brand)
+    text_ = F.lower(F.col("_t"))
+    found = F.filter(F.array(*map(F.lit, few)).cast("array<string>"), lambda b: F.contains(text_, F.lower(b)))
+    hits = df.select(key, F.col(text).alias("_t")).withColumn("brand", F.explode(found))
     at = mention_positions(F.col("_t"), F.col("brand"))
     hits = hits.withColumn("_at", at).withColumn("_s", F.transform("_at", lambda p: window_sentiment(F.col("_t"), p, F.length("brand"))))
     votes = F.aggregate("_s", F.lit(0), lambda a, s: a + s)
@@ -148,6 +162,7 @@ def recommendation_share(judged: DataFrame, models: DataFrame, brand: str) -> Da
 
 
 def prompt_plan(prompts: DataFrame, models: DataFrame, runs: int) -> DataFrame:
-    """Every prompt for every model and run: the plan of a benchmark (its sides are short parameter lists)."""
-    spark = prompts.sparkSession
-    return prompts.crossJoin(F.broadcast(models)).crossJoin(F.broadcast(spark.range(runs).withColumnRenamed("id", "run_index")))
+    """Every prompt for every model and run: the plan of a benchmark. The models are a parameter list of
+    at most MAX_LIST names and, like the runs, are exploded from the plan: no join."""
+    names = F.array(*map(F.lit, _short_list(models, "model"))).cast("array<string>")
+    return prompts.withColumn("model", F.explode(names)).withColumn("run_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(runs - 1).cast("long"))))
