@@ -16,7 +16,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -173,8 +173,8 @@ def mix(documents: DataFrame, targets: DataFrame, topics: DataFrame | None = Non
     available = counted.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("source_tokens"))
     wanted = spark.createDataFrame([(s, t, m) for s, (t, m) in sorted(goals.items())] or [("", 0.0, 0)], "source string, target_share double, max_repeats bigint")
     all_ = wanted.join(available, "source", "left").join(used, "source", "left")
-    grand = used.agg(F.sum("mixed_tokens").alias("grand"))
-    report = all_.crossJoin(F.broadcast(grand)).select(
+    # The report has one row per target.
+    report = all_.withColumn("grand", F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))).select(
         "source", "target_share", "max_repeats", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("source_tokens", F.lit(0)).alias("source_tokens"),
         F.coalesce("n_used", F.lit(0)).alias("n_used"), F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
         F.coalesce(F.try_divide("mixed_tokens", "grand"), F.lit(0.0)).alias("actual_share"),
