@@ -274,7 +274,7 @@ _LINE_FURNITURE = re.compile(
     r"|(?:sponsored|advertisement|promoted content|ad – .*|anzeige|gesponsert|werbung|publicité|contenu sponsorisé|publicidad|patrocinado|contenido patrocinado)"
     r"|(?:subscribe|abonnieren|jetzt abonnieren|suscríbase|suscríbete|abonnez-vous|newsletter ?:|boletín ?:|lettre d'information ?:|join \d+ readers|never miss a story).*"
     r"|©.*|\(c\) \d{4}.*|copyright \d{4}.*|\d{4} · .*"
-    r"|.*\b(?:cookies?|kleine dateien auf ihrem gerät|small files on your device|pequeños archivos en su dispositivo|petits fichiers sur votre appareil)\b.{0,80}\b(?:count visits|faster next time|our policy|zählen|schneller laden|richtlinie beschrieben|contar visitas|nuestra política|más rápido|compter les visites|notre politique|plus vite).{0,40}"
+    r"|.*\b(?:cookies?|kleine dateien auf ihrem gerät|small files on your device|(?:pequeños archivos|archivos pequeños) en su dispositivo|petits fichiers sur votre appareil)\b.{0,80}\b(?:count visits|faster next time|our policy|zählen|schneller laden|richtlinie beschrieben|contar visitas|nuestra política|más rápido|compter les visites|notre politique|plus vite).{0,40}"
     r"|.* utiliza cookies .*|diese website nutzt cookies .*|ce site utilise des cookies .*"
     r")$"
 )
@@ -327,7 +327,7 @@ def _furniture_labels(line: str, text: str) -> bool:
 def markdown_tree(lines: list[str]) -> tuple[Node, dict[int, Node]]:
     """A tree of sections and blocks from markdown lines; and the block of every line that is not blank."""
     root = Node("#root", "", None)
-    section, level, owner = Node("section", "top", root), 0, {}
+    section, level, owner = Node("section", "start", root), 0, {}
     root.children.append(section)
     block: Node | None = None
     fenced = after_ad = False
@@ -397,6 +397,21 @@ def _as_node(text: str, parent: Node) -> Node:
     return item
 
 
+_CRUMBS = re.compile(r"^([^›/.!?]{1,40}) ([›/]) [^›/]{1,60} \2 .+")
+
+
+def markdown_messages(lines: list[str]) -> list[str]:
+    """Lines outside furniture where only the markdown is there: no lists under a heading of the site, no paths."""
+    root, owner = markdown_tree(lines)
+    measure(root)
+    out = []
+    for i in sorted(owner):
+        crumbs = _CRUMBS.match(lines[i].strip())
+        if not owner[i].furniture and not (crumbs and crumbs[1].strip().casefold() in _LABELS):
+            out.append(lines[i])
+    return out
+
+
 def markdown_body(lines: list[str]) -> list[int]:
     """Positions of the body's lines where only the markdown is there."""
     root, owner = markdown_tree(lines)
