@@ -31,7 +31,7 @@ _LOOK_ALIKES = str.maketrans({
 })
 _MARKS = re.compile("[™®©℠​-‏⁠﻿­]")
 _NOT_WORD = re.compile(r"[\W_]+")
-_GLUED = re.compile(r"(?<=[^\W\d_])(?<![A-Z])(?=[A-Z])|(?<=[a-z])(?=TM\b)")
+_GLUED = re.compile(r"(?<=[^\W\d_])(?<![A-Z])(?=[A-Z][A-Za-z.])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[a-z])(?=TM\b)")
 
 # Words that sellers and models put around a name.
 LEADING = ("brand", "merek", "marke", "marca", "marque", "by", "von", "from", "visit the", "the")
@@ -42,9 +42,11 @@ TRAILING = (
 )
 
 
-def fold(text: str) -> list[str]:
-    """Words of a value without case, marks, invisible characters, look-alike letters and punctuation."""
-    text = _GLUED.sub(" ", unicodedata.normalize("NFKC", _MARKS.sub("", text))).casefold()
+def fold(text: str, apart: bool = False) -> list[str]:
+    """Words of a value without case, marks, invisible characters, look-alike letters and punctuation;
+    apart also splits words where a capital follows a small letter."""
+    text = unicodedata.normalize("NFKC", _MARKS.sub("", text))
+    text = (_GLUED.sub(" ", text) if apart else text).casefold()
     if not text.isascii():
         text = unicodedata.normalize("NFD", text.translate(_LOOK_ALIKES))
         text = "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf")).translate(_LOOK_ALIKES)
@@ -136,12 +138,11 @@ class BKTree:
 
 def _close(words: list[str], vocabulary: dict[str, int]) -> int | None:
     """Number of trailing words that form an entry of the vocabulary, one typing error allowed in longer ones."""
-    for n in (3, 2, 1):
-        if len(words) <= n:
-            continue
-        tail = "".join(words[-n:])
+    tails = {n: "".join(words[-n:]) for n in (3, 2, 1) if len(words) > n}
+    for n, tail in tails.items():
         if tail in vocabulary:
             return n
+    for n, tail in sorted(tails.items()):
         if len(tail) >= 5 and any(abs(len(v) - len(tail)) <= 1 and _one_edit(tail, v) for v in vocabulary if len(v) >= 5):
             return n
     return None
@@ -158,7 +159,11 @@ _LEADING = {t.replace(" ", "") for t in LEADING}
 
 def variants(text: str) -> list[str]:
     """The folded value and what remains of it as words around the name are taken away, shortest last."""
-    words = fold(text)
+    whole, apart = fold(text), fold(text, True)
+    return list(dict.fromkeys((_peel(apart) if apart != whole else []) + _peel(whole)))
+
+
+def _peel(words: list[str]) -> list[str]:
     out = ["".join(words)]
     for _ in range(4):
         for n in (2, 1):
@@ -178,13 +183,15 @@ def variants(text: str) -> list[str]:
 def cut_ends(text: str) -> list[str]:
     """Folded values without a first or last word that is one typing error away from a known short
     one; such a cut is trusted only where the rest is exactly an entry."""
-    words, out = fold(text), []
-    if len(words) > 1:
-        if any(_one_edit(words[-1], t) for t in _TRAILING):
-            out.append("".join(words[:-1]))
-        if any(_one_edit(words[0], t) for t in _LEADING):
-            out.append("".join(words[1:]))
-    return out
+    out = []
+    for words in (fold(text), fold(text, True)):
+        for n in (1, 2, 3):
+            if len(words) > n:
+                if any(_one_edit("".join(words[-n:]), t) for t in _TRAILING):
+                    out += _peel(words[:-n])
+                if any(_one_edit("".join(words[:n]), t) for t in _LEADING):
+                    out += _peel(words[n:])
+    return list(dict.fromkeys(out))
 
 
 def allowed(length: int) -> int:

@@ -60,7 +60,7 @@ def mapped(spark, values, rows=REFERENCE, more=""):
 def test_spellings(spark):
     values = {
         "MIKAZA AND TITIMOST": 1, "Мikаzа & Тitimоst": 1, "Mikaza&Titimost": 1, "Visit the Mikaza & Titimost Store": 1, "#kozona": 1, "Merek Mikaza & Titimots": 1, "Tonebum™": 2, "Ｔｏｎｅｂｕｍ": 2, "T​ônebum GmbH": 2,
-        "by \"Tonebum\"": 2, "Tonebun Official tSore": 2, "TonebumInc.": 2, "byTonebum": 2, "TonebumTM": 2, "Tonebum LCL": 2, "Sisamox Audio Singapore": 3, "SisamoxHome": 4, "Lone": 5, "Tilisrak": 6, "Sisamox": 0, "Generic": 0, "?": 0, "42 pcs": 0, "Tonaxum": 0,
+        "by \"Tonebum\"": 2, "Tonebun Official tSore": 2, "TonebumInc.": 2, "byTonebum": 2, "TonebumTM": 2, "Tonebum LCL": 2, "Tonebum GmbH Indonesia": 2, "TonebumS.A.": 2, "TONEBUMPteLtd": 2, "Tonebum jLC": 2, "vISIT tHE tONEBUM sTORE": 2, "Sisamox Audio Singapore": 3, "SisamoxHome": 4, "Lone": 5, "Tilisrak": 6, "Sisamox": 0, "Generic": 0, "?": 0, "42 pcs": 0, "Tonaxum": 0,
         "x" * 20000: 0,
     }
     got = mapped(spark, list(values))
