@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.runtime import unambiguous
+from tarnlight.runtime import durable, unambiguous
 
 #: Labelled documents that the first fit reads (a sample by hash of the id where there are more).
 MAX_LABELLED = 50_000
@@ -104,6 +104,12 @@ class Model:
         rest = np.log((total[:, None] - counts + ALPHA * max(k - 1, 1)) / np.maximum((n[:, None] - by_area)[of], 1e-9))
         self.weights = (base[:, None] - rest).astype(np.float32)
 
+    def slim(self) -> Model:
+        """The weights without the words, for work on encoded texts."""
+        out = object.__new__(Model)
+        out.areas, out.words, out.ids, out.weights = self.areas, [], {}, self.weights
+        return out
+
     def only_telling(self) -> Model:
         """Leaves out words that tell no area: in the refined model they only add up to noise."""
         self.weights[self.weights.max(1, initial=0.0) < TELLING] = 0
@@ -146,10 +152,12 @@ class Model:
 
     def shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Share of each area in the decided sentences of each text, and the mixtures."""
-        words, starts, docs = self.encode(texts)
+        return self.shares_encoded(*self.encode(texts))
+
+    def shares_encoded(self, words: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lik = self.likelihoods(words, starts)
         post, mix = self.posteriors(lik, docs)
-        k, n = len(self.areas), len(texts)
+        k, n = len(self.areas), len(docs) - 1
         if not len(lik):
             return np.zeros((n, k)), mix[:, :k]
         best = post[:, :k].argmax(1)
@@ -194,8 +202,41 @@ def vocabulary(documents: DataFrame) -> list[str]:
     return [r.word for r in top.select("word").collect()]
 
 
+def encode_table(documents: DataFrame, words: list[str]) -> DataFrame:
+    """(doc_id, words, lens): the ids of each document's known words, and the number of them per sentence.
+
+    Texts are split once; all rounds and the classification then work on these arrays.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(words)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by = Model([], shared.value, np.zeros((len(shared.value), 0)))
+        for batch in batches:
+            words_, starts, docs = by.encode(batch.column(1).to_pylist())
+            lens = np.diff(starts)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(starts[docs], pa.int32()), pa.array(words_, pa.int32())), pa.ListArray.from_arrays(pa.array(docs, pa.int32()), pa.array(lens, pa.int32()))],
+                names=["doc_id", "words", "lens"],
+            )
+
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id bigint, words array<int>, lens array<int>")
+
+
+def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word ids, sentence offsets and document offsets of a batch of encode_table."""
+    words, lens = batch.column(1), batch.column(2)
+    flat = words.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = lens.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    offsets = lens.offsets.to_numpy().astype(np.int64)
+    return flat, np.concatenate([[0], np.cumsum(sizes)]), offsets - offsets[0]
+
+
 def train(documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int = ROUNDS) -> tuple[Model, tuple[float, float]]:
     """The refined model and the calibration (intercept, slope of the logit over the share)."""
+    return _train(documents, labels, areas, rounds)[:2]
+
+
+def _train(documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int) -> tuple[Model, tuple[float, float], DataFrame]:
     names = sorted({r.subject.strip().lower() for r in areas.select("subject").dropna().limit(1000).collect() if r.subject.strip()})
     labelled = [(d, t, [s for s in ls if s in names]) for d, t, ls in _label_map(documents, labels)]
     labelled = [x for x in labelled if x[2]]
@@ -216,26 +257,27 @@ def train(documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int
     model = Model(names, words, counts)
     model.weights[few] = 0
     by_doc = {d: ls for d, _, ls in labelled}
+    encoded = durable(encode_table(documents, words))
     for _ in range(rounds):
-        model = Model(names, words, _expected_counts(documents, model, by_doc))
+        model = Model(names, words, _expected_counts(encoded, model, by_doc))
     model = model.only_telling()
-    return model, _calibrate(model, labelled)
+    return model, _calibrate(model, labelled), encoded
 
 
-def _expected_counts(documents: DataFrame, model: Model, labelled: dict[int, list[str]]) -> np.ndarray:
+def _expected_counts(encoded: DataFrame, model: Model, labelled: dict[int, list[str]]) -> np.ndarray:
     """One round over all documents: soft word counts by area. Text about no area counts for all areas alike."""
-    k = len(model.areas)
-    shared = documents.sparkSession.sparkContext.broadcast((model, labelled))
+    k, size = len(model.areas), len(model.words)
+    shared = encoded.sparkSession.sparkContext.broadcast((model.slim(), labelled))
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by, known = shared.value
-        sums = np.zeros((len(by.words), k))
+        sums = np.zeros((size, k))
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            words, starts, docs = by.encode(texts)
+            ids = batch.column(0).to_pylist()
+            words, starts, docs = _arrays(batch)
             if not len(words):
                 continue
-            prior = np.full((len(texts), k + 1), 1 / (k + 1))
+            prior = np.full((len(ids), k + 1), 1 / (k + 1))
             for i, d in enumerate(ids):
                 if d in known:
                     prior[i] = 0.02
@@ -246,13 +288,13 @@ def _expected_counts(documents: DataFrame, model: Model, labelled: dict[int, lis
             each = post[:, :k] + post[:, k:] / k
             of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
             for j in range(k):
-                sums[:, j] += np.bincount(words, each[of, j], len(by.words))
+                sums[:, j] += np.bincount(words, each[of, j], size)
         at = np.flatnonzero(sums.sum(1))
         yield pa.RecordBatch.from_arrays(
             [pa.array(at, pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(sums[at].ravel(), pa.float64()), k).cast(pa.list_(pa.float64()))], names=["w", "c"]
         )
 
-    partial = documents.select(F.col("doc_id").cast("long"), "text").filter(F.col("text").isNotNull()).mapInArrow(expect, "w int, c array<double>")
+    partial = encoded.mapInArrow(expect, "w int, c array<double>")
     columns = [F.sum(F.col("c")[j]).alias(f"c{j}") for j in range(k)]
     rows = partial.groupBy("w").agg(*columns).toPandas()
     counts = np.zeros((len(model.words), k))
@@ -319,13 +361,17 @@ def classify(documents: DataFrame, model: Model, calibration: tuple[float, float
     least its main area. Texts without a known word, empty and NULL texts get the area with the
     largest share in the mixture, which for no evidence is the first by name.
     """
-    shared = documents.sparkSession.sparkContext.broadcast((model, calibration))
+    return _classify(encode_table(documents, model.words), model, calibration, most)
+
+
+def _classify(encoded: DataFrame, model: Model, calibration: tuple[float, float], most: int = 2) -> DataFrame:
+    shared = encoded.sparkSession.sparkContext.broadcast((model.slim(), calibration))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by, (a, b) = shared.value
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            shares, mix = by.shares(texts)
+            ids = batch.column(0).to_pylist()
+            shares, mix = by.shares_encoded(*_arrays(batch))
             order = np.argsort(-(shares + mix * 1e-6), axis=1, kind="stable")
             out: list[tuple] = []
             for i, d in enumerate(ids):
@@ -337,7 +383,7 @@ def classify(documents: DataFrame, model: Model, calibration: tuple[float, float
             types = (pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "subject", "share", "posterior", "rank"])
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(label, "doc_id bigint, subject string, share double, posterior double, rank int")
+    return encoded.mapInArrow(label, "doc_id bigint, subject string, share double, posterior double, rank int")
 
 
 def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
@@ -345,5 +391,5 @@ def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame) ->
     documents, labels, areas = unambiguous(documents), unambiguous(labels), unambiguous(areas)
     if not areas.select("subject").dropna().take(1):
         return documents.sparkSession.createDataFrame([], "doc_id bigint, subject string, share double, posterior double, rank int")
-    model, calibration = train(documents, labels, areas)
-    return classify(documents, model, calibration)
+    model, calibration, encoded = _train(documents, labels, areas, ROUNDS)
+    return _classify(encoded, model, calibration)
