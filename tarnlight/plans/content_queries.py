@@ -36,7 +36,7 @@ URL_PARTS_SQL = f"""
 select page_id,
   lower({_part('url', 2)}) || '://' || lower({_part('url', 4)}) || case when regexp_replace({_part('url', 5)}, '/+$', '') = '' then '/' else regexp_replace({_part('url', 5)}, '/+$', '') end as normalized,
   case when {_path('url')} = '' then 0 else len(string_split({_path('url')}, '/')) end as depth,
-  case when {_path('url')} = '' or len(string_split({_path('url')}, '/')) = 1 then 3 when len(string_split({_path('url')}, '/')) = 2 then 2 else 1 end as weight,
+  case when {_path('url')} = '' or len(string_split({_path('url')}, '/')) = 1 then 3 when len(string_split({_path('url')}, '/')) = 2 then 2 else 1 end::bigint as weight,
   string_split({_path('url')}, '/')[1] as segment,
   case when ltrim({_part('url', 5)}, '/') = '' or {_part('url', 5)} like '%/' then ltrim({_part('url', 5)}, '/') || 'index' else ltrim({_part('url', 5)}, '/') end || '.md' as md_path,
   trim(regexp_replace(regexp_replace({_part('url', 4)} || {_part('url', 5)} || case when {_part('url', 7)} = '' then '' else '_' || {_part('url', 7)} end, '[^a-zA-Z0-9.\\-]', '_', 'g'), '_+', '_', 'g'), '_') as directory,
@@ -54,7 +54,7 @@ URL_DEDUPE_SQL = f"with u as ({URL_PARTS_SQL}) select normalized as normalized_u
 
 def diverse_sample_per_site(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "site", "url")
-    return discovery.diverse_sample(pages, "site", "url", 5, "page_id").select("page_id", "site", "place")
+    return discovery.diverse_sample(pages, "site", "url", 5, "page_id").select("page_id", "site", F.col("place").cast("long").alias("place"))
 
 
 DIVERSE_SQL = f"""
@@ -135,7 +135,7 @@ with a as (select page_id, url, coalesce(html, '') as html, {_QUIET} as q from p
 b as (select *, regexp_extract_all(q, '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1) as links, regexp_extract_all(q, '(?i)\srole\s*=\s*["'']?([a-zA-Z]+)', 1) as roles from a)
 select page_id, nullif(trim(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)), '') as title,
   {_TAG('main')} as has_main, {_TAG('article')} as has_article, {_TAG('header')} as has_header, {_TAG('footer')} as has_footer, {_TAG('nav')} as has_nav,
-  ({_TAG('main')} or {_TAG('article')})::int + ({_TAG('header')} and {_TAG('nav')})::int + (len(list_filter(roles, lambda r: lower(r) in ('banner','complementary','contentinfo','form','main','navigation','region','search'))) >= 2)::int as semantic_score,
+  ({_TAG('main')} or {_TAG('article')})::bigint + ({_TAG('header')} and {_TAG('nav')})::int + (len(list_filter(roles, lambda r: lower(r) in ('banner','complementary','contentinfo','form','main','navigation','region','search'))) >= 2)::int::bigint as semantic_score,
   len(links) as n_links,
   regexp_matches(q, '(?i)<meta[^>]+(?:property|name|itemprop)\s*=\s*["''](?:article:published_time|article:modified_time|og:updated_time|datePublished|dateModified|date|publish[-_]date|last-modified)["'']') or regexp_matches(q, '(?i)<time[^>]+datetime\s*=') as has_date,
   regexp_matches(q, '(?i)<meta[^>]+name\s*=\s*["'']author["''][^>]+content\s*=\s*["''][^"'']') or regexp_matches(q, '(?i)<a[^>]+rel\s*=\s*["''][^"'']*\bauthor\b') or regexp_matches(q, '(?i)itemprop\s*=\s*["'']author') or regexp_matches(q, '(?i)class\s*=\s*["''][^"'']*(?:byline|author)') as has_author,
@@ -168,7 +168,7 @@ def structured_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 STRUCTURED_SQL = r"""
 with a as (select distinct listing_id, trim(schema_org) as j from products where schema_org is not null),
 b as (select listing_id, j::json as o from a where starts_with(j, '{') and json_valid(j))
-select listing_id, 0 as pos,
+select listing_id, 0::bigint as pos,
   case when (o->'$."@type"') is null then 'Unknown' when json_type(o->'$."@type"') = 'ARRAY' then array_to_string(from_json(o->'$."@type"', '["VARCHAR"]'), ', ') else o->>'$."@type"' end as schema_type,
   array_to_string(list_sort(list_filter(json_keys(o), lambda k: not starts_with(k, '@'))), ',') as properties
 from b"""

@@ -97,7 +97,7 @@ p as (select w.*, m.* exclude (page_id), case when raw_tokens = 0 then 0.0 else
   kind = 1 as llms_found, kind = 2 as llms_full_found, kind <> 0 as robots_found,
   [{{'bot': 'GPTBot', 'ok': kind = 1}}, {{'bot': 'ClaudeBot', 'ok': kind <> 3}}, {{'bot': 'Grok', 'ok': true}}] as bots from w join m using (page_id)),
 s as (select *, len(schema_types) as blocks_found, len(list_filter(bots, lambda b: not b.ok)) as blocked,
-  case when kind <> 0 then round_even(25 * len(list_filter(bots, lambda b: b.ok))::double / 3, 1) else 0.0 end as robots_score, case when kind in (1, 2) then 10.0 else 0.0 end as llms_score,
+  case when kind <> 0 then round_even(25 * len(list_filter(bots, lambda b: b.ok))::double / 3, 1) else 0.0 end as robots_score, case when kind in (1, 2) then 10.0 else 0.0 end::double as llms_score,
   case when len(schema_types) > 0 then least(25, 8 + 5 * len(list_filter(schema_types, lambda t: t in ('Article', 'FAQPage', 'HowTo', 'Product', 'Recipe'))) + 3 * len(list_filter(schema_types, lambda t: t not in ('Article', 'FAQPage', 'HowTo', 'Product', 'Recipe')))) else 0 end::double as schema_score,
   least(40, case when word_count >= 1500 then 25 when word_count >= 800 then 20 when word_count >= 400 then 15 when word_count >= 150 then 8 else 0 end + has_headings::int * 7 + has_lists::int * 5 + has_code_blocks::int * 3)::double as content_score from p)"""
 
@@ -159,7 +159,7 @@ r as (select page_id, unnest([
   case when gc > 0 and not has_lists then {{'rule': 9, 'pillar': 'content', 'impact': least(gc, 5.0), 'priority': {_PRIO('least(gc, 5.0)', 40)}}} end,
   case when gc > 0 and readability_grade > 12.0 then {{'rule': 10, 'pillar': 'content', 'impact': least(gc, 3.0), 'priority': 'medium'}} end,
   case when gc > 0 and answer_first_ratio < 0.3 and has_headings then {{'rule': 11, 'pillar': 'content', 'impact': least(gc, 3.0), 'priority': 'medium'}} end]) as x from g)
-select page_id, row_number() over (partition by page_id order by round_even(x.impact, 1) desc, x.rule) - 1 as place, x.rule as rule, x.pillar as pillar, round_even(x.impact, 1) as impact, x.priority as priority from r where x is not null"""
+select page_id, row_number() over (partition by page_id order by round_even(x.impact, 1) desc, x.rule) - 1 as place, x.rule::bigint as rule, x.pillar as pillar, round_even(x.impact, 1) as impact, x.priority as priority from r where x is not null"""
 
 
 def _site_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +230,7 @@ _AUDITS_SQL = r"""a as (select distinct id, lower(regexp_extract(trim(url), '^([
 
 
 def history_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_changes.latest(_audits(spark, sf_dir), "url", ["ts", "id"], 3).select("url", "id", "overall_score", "place")
+    return score_changes.latest(_audits(spark, sf_dir), "url", ["ts", "id"], 3).select("url", "id", "overall_score", F.col("place").cast("long").alias("place"))
 
 
 HISTORY_SQL = f"with {_AUDITS_SQL}, r as (select *, row_number() over (partition by url order by ts desc, id desc) as place from a) select url, id, overall_score, place from r where place <= 3"
@@ -434,7 +434,7 @@ def endpoint_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ENDPOINTS_SQL = """with s as (select distinct site, length(site) % 4 as kind from pages where site is not null), k(kind, llms_path, llms_full_path, agents_path, markdown_accept, mcp_score, mcp_tools, has_402, has_payment_header, nlweb, allows_training, allows_search, agent_score) as (values
- (0, '/.well-known/llms.txt', null, null, false, null, null, true, true, false, null, null, 2.0::double), (1, null, '/llms-full.txt', null, false, 4.0::double, 3, false, false, false, true, true, 4.0),
+ (0, '/.well-known/llms.txt', null, null, false, null, null, true, true, false, null, null, 2.0::double), (1, null, '/llms-full.txt', null, false, 4.0::double, 3::bigint, false, false, false, true, true, 4.0),
  (2, null, null, '/AGENTS.md', true, 1.0, null, false, false, false, null, null, 11.0), (3, null, null, null, false, null, null, false, true, true, null, null, 1.5)) select k.* exclude (kind), site from s join k using (kind)"""
 
 
