@@ -5,7 +5,8 @@ colour and amounts in common units. Equal attribute profiles are one node. Nodes
 blocks (code; series), always with the representative of a class and never with each other in pairs;
 the agreement of every field has a weight log(m/u), fitted by expectation-maximisation on the counts
 of the agreement patterns of all compared pairs. Links above a threshold, unambiguous by a margin,
-make the clusters.
+make the clusters. A code is one more field: listings with one code may differ in too much to be one
+product, and listings of one product may have a mistyped or misread code.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ from tarnlight.runtime import durable, unambiguous
 
 QUANTITIES = ("mass", "volume", "length", "power")
 FIELDS = ("brand", "colour", *QUANTITIES)
+#: Further fields between listings with codes; near: whether different codes are one edit or swap apart.
+CODED = ("code", "near", "series")
+#: Agreement among matches and others before anything is learnt.
+START = {"code": (0.95, 0.01), "near": (0.9, 0.05)}
 #: Amounts agree within the sum of their roundings and this share of the larger.
 TOLERANCE = 0.005
 #: Rounds of leaders per block before what is left is grouped by equal profile.
@@ -215,41 +220,51 @@ def patterns(pairs: DataFrame, a: str = "n", b: str = "k") -> DataFrame:
     return pairs.withColumns({f"is_{f}": _level(f, a, b) for f in FIELDS})
 
 
-def fit_weights(pairs: DataFrame, rounds: int = 100) -> dict:
+def coded_patterns(pairs: DataFrame, a: str = "n", b: str = "k") -> DataFrame:
+    x, y = F.col(f"{a}.code"), F.col(f"{b}.code")
+    swapped = (F.levenshtein(x, y, 2) == 2) & (F.sort_array(F.split(x, "")) == F.sort_array(F.split(y, "")))
+    near = F.when(x != y, ((F.levenshtein(x, y, 1) == 1) | swapped).cast("int"))
+    return patterns(pairs, a, b).withColumns({"is_code": _level("code", a, b), "is_near": near, "is_series": _level("series", a, b)})
+
+
+def fit_weights(pairs: DataFrame, rounds: int = 100, fields: tuple = FIELDS, given: dict | None = None) -> dict:
     """Fellegi-Sunter weights by expectation-maximisation: {"prior": p, field: (m, u)}.
 
+    given: weights of further fields, which stay as they are.
+
     pairs carry is_<field> levels and known: true or false where equal or different codes tell, else
     NULL. Known pairs keep their side; the others get posteriors in each round. The driver gets the
     counts of the patterns, at most 3 to the power of the number of fields, times 3. Missing levels
     say nothing. Without pairs the starting values stay.
     """
-    rows = pairs.groupBy("known", *[f"is_{f}" for f in FIELDS]).count().collect()
-    m = dict.fromkeys(FIELDS, 0.95)
-    u = dict.fromkeys(FIELDS, 0.2)
+    held = {f: w for f, w in (given or {}).items() if f != "prior"}
+    rows = pairs.groupBy("known", *[f"is_{f}" for f in (*held, *fields)]).count().collect()
+    m = {f: START.get(f, (0.95, 0.2))[0] for f in fields}
+    u = {f: START.get(f, (0.95, 0.2))[1] for f in fields}
     prior = 0.5
     for _ in range(rounds if rows else 0):
-        on = {f: [1.0, 0.1] for f in FIELDS}  # agreements, differences among matches (with a little prior)
-        off = {f: [0.2, 0.8] for f in FIELDS}
+        on = {f: [1.0, 0.1] for f in fields}  # agreements, differences among matches (with a little prior)
+        off = {f: [START.get(f, (0.95, 0.2))[1], 1 - START.get(f, (0.95, 0.2))[1]] for f in fields}
         matched = total = 0.0
         for r in rows:
-            odds = math.log(prior / (1 - prior)) + sum(_weight(m[f], u[f], r[f"is_{f}"]) for f in FIELDS)
+            odds = math.log(prior / (1 - prior)) + sum(_weight(m[f], u[f], r[f"is_{f}"]) for f in fields) + sum(_weight(*w, r[f"is_{f}"]) for f, w in held.items())
             p = 1 / (1 + math.exp(-max(-50, min(50, odds)))) if r.known is None else float(r.known)
             n = r["count"]
             if r.known is None:
                 matched += p * n
                 total += n
-            for f in FIELDS:
+            for f in fields:
                 level = r[f"is_{f}"]
                 if level is not None:
                     on[f][1 - level] += p * n
                     off[f][1 - level] += (1 - p) * n
         new = min(0.99, max(0.01, (matched + 1) / (total + 2)))
-        m = {f: min(0.999, max(0.6, on[f][0] / sum(on[f]))) for f in FIELDS}
-        u = {f: min(0.9, max(0.001, off[f][0] / sum(off[f]))) for f in FIELDS}
+        m = {f: min(0.999, max(0.6, on[f][0] / sum(on[f]))) for f in fields}
+        u = {f: min(0.9, max(0.001, off[f][0] / sum(off[f]))) for f in fields}
         if abs(new - prior) < 1e-9:
             break
         prior = new
-    return {"prior": prior} | {f: (m[f], u[f]) for f in FIELDS}
+    return {"prior": prior} | held | {f: (m[f], u[f]) for f in fields}
 
 
 def _weight(m: float, u: float, level: int | None) -> float:
@@ -261,8 +276,7 @@ def _weight(m: float, u: float, level: int | None) -> float:
 def score(pairs: DataFrame, weights: dict) -> DataFrame:
     """pairs with w, the log odds of a match."""
     w = F.lit(math.log(weights["prior"] / (1 - weights["prior"])))
-    for f in FIELDS:
-        m, u = weights[f]
+    for f, (m, u) in ((f, x) for f, x in weights.items() if f != "prior"):
         w = w + F.when(F.col(f"is_{f}") == 1, math.log(m / u)).when(F.col(f"is_{f}") == 0, math.log((1 - m) / (1 - u))).otherwise(0.0)
     return pairs.withColumn("w", w)
 
@@ -280,33 +294,22 @@ def cluster(listings: DataFrame, threshold: float = 0.5, margin: float = 1.0) ->
 
     Listings with neither code nor series are classes of their own: nothing tells their product.
     """
-    # 1. Codes. Classes are (code, series); one without series, or at odds with the code's largest class in the
-    #    series only, joins that class. Two brands may use one code by chance: then brand or amounts differ.
-    coded = listings.filter("code is not null").withColumn("key", F.struct("code", F.coalesce("series", F.lit(""))).cast("string"))
-    profile = _class_profile(coded, "key").join(coded.select("key", "code").distinct(), "key")
-    order = [F.when(F.col("series").isNull(), 1).otherwise(0), F.desc("n"), F.col("key")]
-    leads = profile.withColumn("_r", F.row_number().over(W.partitionBy("code").orderBy(*order))).filter("_r = 1").drop("_r")
-    pairs = patterns(profile.alias("n").join(leads.alias("k"), F.col("n.code") == F.col("k.code")), "n", "k")
-    agree = sum(F.coalesce(F.col(f"is_{f}"), F.lit(0)) for f in FIELDS)
-    differ = sum(F.coalesce(1 - F.col(f"is_{f}"), F.lit(0)) for f in FIELDS)
-    same_series = F.coalesce(F.col("n.series") == F.col("k.series"), F.lit(True))
-    joins = (F.col("n.key") == F.col("k.key")) | F.when(same_series, differ <= agree + 1).otherwise((agree >= 1) & (differ == 0))
-    head = pairs.select(F.col("n.key").alias("key"), F.when(joins, F.col("k.key")).otherwise(F.col("n.key")).alias("class_id"))
-    coded_members = durable(coded.join(head, "key").drop("key"))
-    classes = durable(_class_profile(coded_members, "class_id"))
-
-    # 2. Listings without code, as nodes of equal profile, against the classes of their series.
-    loose = listings.filter("code is null and series is not null")
-    profile_key = F.concat_ws("|", "series", *[F.coalesce(F.col(c), F.lit("?")) for c in ("brand", "colour")], *[F.coalesce(F.concat(F.round(q, 1).cast("string"), F.lit("~"), F.round(f"{q}_step", 1).cast("string")), F.lit("?")) for q in QUANTITIES])
-    loose = durable(loose.withColumn("node", profile_key))
+    # 1. Weights. Pairs of equal and different codes are known; listings without code, as nodes of equal profile,
+    #    against the listings of a code in their series add what is not.
+    coded = durable(listings.filter("code is not null").withColumn("node", _profile_key("code")))
+    loose = durable(listings.filter("code is null and series is not null").withColumn("node", _profile_key()))
     nodes = durable(_class_profile(loose, "node"))
-    candidates = durable(_candidates(nodes, classes))
-    n_coded = coded_members.count()
-    taught = coded_members.filter(f"series is not null and pmod(xxhash64(listing_id), {TAUGHT}) < {TAUGHT} * least(1.0, {TAUGHT} / greatest(1, {n_coded}))")
-    told = _candidates(taught, classes).withColumn("known", F.col("n.class_id") == F.col("k.class_id"))
+    heads = durable(_class_profile(coded, "code").withColumn("class_id", F.col("code")))
+    n_coded = coded.count()
+    taught = coded.drop("node").withColumn("class_id", F.col("code")).filter(f"series is not null and pmod(xxhash64(listing_id), {TAUGHT}) < {TAUGHT} * least(1.0, {TAUGHT} / greatest(1, {n_coded}))")
+    told = _candidates(taught, heads).withColumn("known", F.col("n.class_id") == F.col("k.class_id"))
     levels = ["known", *[f"is_{f}" for f in FIELDS]]
-    weights = fit_weights(told.select(*levels).unionByName(candidates.withColumn("known", F.lit(None).cast("boolean")).select(*levels)))
-    placed = durable(_best(score(candidates, weights), threshold, margin))
+    weights = fit_weights(told.select(*levels).unionByName(_candidates(nodes, heads).withColumn("known", F.lit(None).cast("boolean")).select(*levels)))
+
+    # 2. Listings with code against the classes of their code and of their series and brand, then those without.
+    coded_members = durable(_coded(coded, heads, weights, threshold, margin))
+    classes = durable(_class_profile(coded_members, "class_id"))
+    placed = durable(_best(score(_candidates(nodes, classes), weights), threshold, margin))
 
     # 3. What no coded class takes: leaders per (series, brand, colour), then incomplete nodes against those.
     rest = durable(nodes.join(placed, "node", "left_anti"))
@@ -342,6 +345,61 @@ def cluster(listings: DataFrame, threshold: float = 0.5, margin: float = 1.0) ->
     )
 
 
+def _profile_key(*first: str) -> Column:
+    """One text for each equal profile."""
+    return F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("?")) for c in (*first, "series", "brand", "colour")], *[F.coalesce(F.concat(F.round(q, 1).cast("string"), F.lit("~"), F.round(f"{q}_step", 1).cast("string")), F.lit("?")) for q in QUANTITIES])
+
+
+def _leaders(nodes: DataFrame, block: str, order: list, threshold: float, weights: dict, levels=patterns) -> DataFrame:
+    """Nodes that stand for a class each: in every round the first of each block that no earlier one takes, until none is left."""
+    found = nodes.limit(0)
+    rest = nodes
+    while not rest.isEmpty():
+        lead = durable(rest.withColumn("_r", F.row_number().over(W.partitionBy(block).orderBy(*order))).filter("_r = 1").drop("_r"))
+        found = found.unionByName(lead)
+        compared = score(levels(rest.alias("n").join(lead.alias("k"), F.col(f"n.{block}") == F.col(f"k.{block}")), "n", "k"), weights)
+        rest = durable(compared.filter((F.col("w") < threshold) & (F.col("n.node") != F.col("k.node"))).select("n.*"))
+    return found
+
+
+def _coded(coded: DataFrame, heads: DataFrame, weights: dict, threshold: float, margin: float) -> DataFrame:
+    """coded with the class_id of each listing.
+
+    Nodes of a code are linked with the leaders of the code. A class then joins a larger one of another code
+    in its series, brand and colour where an amount agrees, nothing differs and the weights, that of the code
+    among them, say so: its code is mistyped or misread.
+    """
+    pair = [F.struct(F.col("n.node").alias("node")).alias("n"), F.struct(F.col("k.class_id").alias("class_id")).alias("k"), *[f"is_{f}" for f in (*FIELDS, *CODED)]]
+    nodes = durable(_class_profile(coded, "node").join(coded.select("node", "code").distinct(), "node"))
+    same_code = F.col("n.code") == F.col("k.code")
+    same_line = (F.col("n.series") == F.col("k.series")) & (F.col("n.brand") == F.col("k.brand"))
+    fitted = [coded_patterns(nodes.alias("n").join(heads.alias("k"), on)).select(*pair) for on in (same_code, same_line & (F.col("n.code") != F.col("k.code")))]
+    weights = fit_weights(fitted[0].unionByName(fitted[1]).withColumn("known", F.lit(None).cast("boolean")), fields=CODED, given=weights)
+
+    size = sum(F.col(q).isNotNull().cast("int") for q in ("series", "brand", "colour", *QUANTITIES))
+    leaders = durable(_leaders(nodes, "code", [F.desc(F.col("series").isNotNull()), F.desc("n"), F.desc(size), F.col("node")], threshold, weights, coded_patterns).withColumn("class_id", F.concat(F.lit("c:"), F.col("node"))))
+    own = leaders.select("node", "class_id")
+    others = nodes.join(own, "node", "left_anti")
+    near = _best(score(coded_patterns(others.alias("n").join(leaders.alias("k"), same_code)).select(*pair), weights), threshold, margin)
+    head = own.unionByName(near)
+    alone = others.join(near, "node", "left_anti").select("node", F.concat(F.lit("c:"), F.col("node")).alias("class_id"))
+    members = durable(coded.join(durable(head.unionByName(alone)), "node").drop("node"))
+
+    classes = durable(_class_profile(members, "class_id").join(members.select("class_id", "code").distinct(), "class_id"))
+    larger = (F.col("k.n") > F.col("n.n")) | ((F.col("k.n") == F.col("n.n")) & (F.col("k.class_id") < F.col("n.class_id")))
+    across = coded_patterns(classes.withColumn("node", F.col("class_id")).alias("n").join(classes.alias("k"), same_line & (F.col("n.colour") == F.col("k.colour")) & (F.col("n.code") != F.col("k.code")) & larger)).select(*pair)
+    sized = sum(F.coalesce(F.col(f"is_{q}"), F.lit(0)) for q in QUANTITIES) >= 1
+    clean = sum(F.coalesce(1 - F.col(f"is_{f}"), F.lit(0)) for f in FIELDS) == 0
+    links = durable(_best(score(across.filter(sized & clean), weights), threshold, margin).select(F.col("node").alias("class_id"), F.col("class_id").alias("to")))
+    # Links go to larger classes only; those to a class that moves itself go where it goes.
+    while True:
+        further = links.select(F.col("class_id").alias("to"), F.col("to").alias("_next"))
+        if links.join(further, "to", "left_semi").isEmpty():
+            break
+        links = durable(links.join(further, "to", "left").select("class_id", F.coalesce("_next", "to").alias("to")))
+    return members.join(links, "class_id", "left").withColumn("class_id", F.coalesce("to", "class_id")).drop("to")
+
+
 def _candidates(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     """Nodes (n) with the classes (k) of their series and brand; a side without brand meets the whole series.
 

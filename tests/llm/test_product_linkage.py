@@ -91,3 +91,19 @@ def test_weights_learn_from_known_and_unknown_pairs(spark):
         rows.append((match if i % 10 == 0 else None, level(0.98, 0.8), level(0.97, 0.1), level(0.95, 0.3), level(0.95, 0.3), level(0.95, 0.3), level(0.95, 0.3)))
     w = P.fit_weights(spark.createDataFrame(rows, "known boolean, " + ", ".join(f"is_{f} int" for f in P.FIELDS)))
     assert abs(w["prior"] - 1 / 3) < 0.05 and abs(w["colour"][0] - 0.97) < 0.03 and abs(w["colour"][1] - 0.1) < 0.04 and abs(w["mass"][1] - 0.3) < 0.06
+
+
+def test_mistyped_code_joins_by_the_other_fields(spark):
+    rows, want = [], []
+    for i in range(40):  # codes far apart; each product in three listings
+        code, colour, mass = f"{'ABCDEFGH'[i % 8]}{'KLMNP'[i % 5]}{1000 + 173 * i}C", ("red", "blue", "green", "white")[i % 4], 1000 + 150 * i
+        want.append([10 * i, 10 * i + 1, 10 * i + 2])
+        rows += [row(10 * i + k, f"Lotinul {i // 4} kettle {code} {colour}", specs={"Weight": f"{mass} g", "Power": f"{mass} W"}) for k in range(3)]
+    rows += [row(3, "Lotinul 0 kettle AK1001C red", specs={"Weight": "1000 g", "Power": "1000 W"}), row(4, "Lotinul 0 kettle AK1010C blue", specs={"Weight": "1000 g"})]
+    want[0].append(3)
+    assert groups(spark, rows) == sorted([*want, [4]])
+
+
+def test_one_code_and_series_of_two_makers(spark):
+    rows = [row(i, f"Lotinul 31 AB1234C {c}", brand=b, specs={"Weight": w, "Power": p}) for i, (c, b, w, p) in enumerate([("red", "Acme", "1 kg", "100 W"), ("rot", "Acme", "1000 g", "100 W"), ("blue", "Tonebum", "7 kg", "900 W"), ("blau", "Tonebum", "7000 g", "900 W")])]
+    assert groups(spark, rows) == [[0, 1], [2, 3]]
