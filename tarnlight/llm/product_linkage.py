@@ -33,8 +33,6 @@ CODED = ("code", "near", "series")
 START = {"code": (0.95, 0.01), "near": (0.9, 0.05)}
 #: Amounts agree within the sum of their roundings and this share of the larger.
 TOLERANCE = 0.005
-#: Rounds of leaders per block before what is left is grouped by equal profile.
-LEADER_ROUNDS = 6
 #: Listings with a code that teach the weights (a sample by hash of the id where there are more).
 TAUGHT = 200_000
 
@@ -311,15 +309,14 @@ def cluster(listings: DataFrame, threshold: float = 0.5, margin: float = 1.0) ->
     classes = durable(_class_profile(coded_members, "class_id"))
     placed = durable(_best(score(_candidates(nodes, classes), weights), threshold, margin))
 
-    # 3. What no coded class takes: leaders per (series, brand, colour), then incomplete nodes against those.
+    # 3. What no coded class takes: leaders per (series, brand, colour) until no node is left, then incomplete nodes
+    #    against those, then the incomplete ones that fit no class against leaders of their own.
     rest = durable(nodes.join(placed, "node", "left_anti"))
     full = rest.filter("brand is not null and colour is not null")
     made: list[DataFrame] = []
     size = sum(F.col(q).isNotNull().cast("int") for q in QUANTITIES)
     lead_order = W.partitionBy("series", "brand", "colour").orderBy(F.desc(size), F.desc("n"), F.col("node"))
-    for _ in range(LEADER_ROUNDS):
-        if full.isEmpty():
-            break
+    while not full.isEmpty():
         lead = full.withColumn("_r", F.row_number().over(lead_order)).filter("_r = 1").drop("_r")
         same = [F.col(f"n.{c}") == F.col(f"k.{c}") for c in ("series", "brand", "colour")]
         compared = score(patterns(full.alias("n").join(lead.alias("k"), same), "n", "k"), weights)
@@ -327,15 +324,21 @@ def cluster(listings: DataFrame, threshold: float = 0.5, margin: float = 1.0) ->
         tried = durable(compared.select(F.when(links, F.concat(F.lit("s:"), F.col("k.node"))).alias("class_id"), *[F.col(f"n.{c}").alias(c) for c in full.columns]))
         made.append(tried.filter("class_id is not null").select("node", "class_id"))
         full = tried.filter("class_id is null").drop("class_id")
-    made.append(full.select("node", F.concat(F.lit("s:"), F.col("node")).alias("class_id")))
-    own = made[0]
-    for part in made[1:]:
+    own = placed.limit(0)
+    for part in made:
         own = own.unionByName(part)
     partial = rest.filter("brand is null or colour is null")
     lesser = _class_profile(loose.join(own, "node"), "class_id")
-    late = durable(_best(score(_candidates(partial, classes.unionByName(lesser)), weights), threshold, margin))
-    alone = partial.join(late, "node", "left_anti").select("node", F.concat(F.lit("s:"), F.col("node")).alias("class_id"))
-    membership = placed.unionByName(own).unionByName(late).unionByName(alone)
+    scored = durable(score(_candidates(partial, classes.unionByName(lesser)), weights))
+    late = durable(_best(scored, threshold, margin))
+    # Nodes that fit several classes stay alone: which product they are is open, so they say nothing of each other.
+    fits = scored.filter(F.col("w") >= threshold).select(F.col("n.node").alias("node")).distinct()
+    unfit = durable(partial.join(fits, "node", "left_anti"))
+    leaders = durable(_leaders(unfit, "series", [F.desc(size + F.col("brand").isNotNull().cast("int") + F.col("colour").isNotNull().cast("int")), F.desc("n"), F.col("node")], threshold, weights).withColumn("class_id", F.concat(F.lit("s:"), F.col("node"))))
+    followers = unfit.join(leaders.select("node"), "node", "left_anti")
+    follow = durable(_best(score(_candidates(followers, leaders), weights), threshold, margin))
+    alone = partial.join(late.unionByName(follow), "node", "left_anti").select("node", F.concat(F.lit("s:"), F.col("node")).alias("class_id"))
+    membership = placed.unionByName(own).unionByName(late).unionByName(follow).unionByName(alone)
 
     single = listings.filter("code is null and series is null").select("listing_id", F.concat(F.lit("l:"), F.col("listing_id")).alias("class_id"))
     return (

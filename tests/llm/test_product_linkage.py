@@ -107,3 +107,9 @@ def test_mistyped_code_joins_by_the_other_fields(spark):
 def test_one_code_and_series_of_two_makers(spark):
     rows = [row(i, f"Lotinul 31 AB1234C {c}", brand=b, specs={"Weight": w, "Power": p}) for i, (c, b, w, p) in enumerate([("red", "Acme", "1 kg", "100 W"), ("rot", "Acme", "1000 g", "100 W"), ("blue", "Tonebum", "7 kg", "900 W"), ("blau", "Tonebum", "7000 g", "900 W")])]
     assert groups(spark, rows) == [[0, 1], [2, 3]]
+
+
+def test_every_product_of_a_block_and_incomplete_listings_among_themselves(spark):
+    rows = [row(2 * i + k, "Lotinul 31 kettle red", specs={"Weight": f"{1000 * (i + 1)} g" if k == 0 else f"{i + 1} kg", "Power": f"{100 * (i + 1)} W"}) for i in range(8) for k in range(2)]
+    rows += [row(100, "Fogalol 7 pan", specs={"Weight": "4.95 kg", "Power": "900 W"}), row(101, "pan Fogalol 7", specs={"Weight": "174.6 oz", "Power": "900 W"})]
+    assert groups(spark, rows) == [*([2 * i, 2 * i + 1] for i in range(8)), [100, 101]]
