@@ -1,7 +1,7 @@
 """Passages of evaluation items in a training corpus.
 
-The n-grams of all items, normalised, form a hash set that goes to the tasks; every document's
-windows are looked up in it. A hit is verified by aligning the item with the document: matched runs
+The n-grams of all items, normalised and without their middle word, form a hash set that goes to
+the tasks; every document's windows are looked up in it, so that a changed word hides none. A hit is verified by aligning the item with the document: matched runs
 are extended over single changed words, chained in the order of the item, and the share of the
 item's words that the chain covers decides. N-grams that several items have in common extend runs
 but never start one.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tarnlight.runtime import unambiguous
 
-#: Words of an n-gram.
+#: Words of an n-gram; the middle one may be any word.
 N = 5
 #: N-grams that one broadcast block of items may hold; further items are scanned in further blocks.
 MAX_NGRAMS = 2_000_000
@@ -85,6 +85,11 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     return out
 
 
+def _gapped(ws: list[str], k: int) -> tuple[str, str, str, str]:
+    """The n-gram at k without its middle word."""
+    return ws[k], ws[k + 1], ws[k + 3], ws[k + 4]
+
+
 class Index:
     """Hash set of the items' n-grams with their places."""
 
@@ -93,7 +98,7 @@ class Index:
         self.places: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
         for item, ws in self.items.items():
             for k in range(len(ws) - N + 1):
-                self.places[tuple(ws[k : k + N])].append((item, k))
+                self.places[_gapped(ws, k)].append((item, k))
         self.places = dict(self.places)
         self.unique = {g for g, at in self.places.items() if len({i for i, _ in at}) == 1}
         self.vocabulary = {w for ws in self.items.values() for w in ws}
@@ -102,16 +107,14 @@ class Index:
         """(item place, document place) of all hits by item, of items with at least one n-gram of their own."""
         hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
         own: set[int] = set()
-        known = self.vocabulary
-        run = 0
-        for k, w in enumerate(ws):
-            run = run + 1 if w in known else 0
-            if run >= N:
-                gram = tuple(ws[k - N + 1 : k + 1])
+        known = [w in self.vocabulary for w in ws]
+        for k in range(len(ws) - N + 1):
+            if known[k] and known[k + 1] and known[k + 3] and known[k + 4]:
+                gram = _gapped(ws, k)
                 at = self.places.get(gram)
                 if at:
                     for item, place in at:
-                        hits[item].append((place, k - N + 1))
+                        hits[item].append((place, k))
                     if gram in self.unique:
                         own.add(at[0][0])
         return {i: h for i, h in hits.items() if i in own}
@@ -195,9 +198,10 @@ def document_hits(index: Index, text: str | None, share: float) -> list[tuple[in
     out = []
     for item, hits in index.scan(ws).items():
         size = len(index.items[item])
-        if len({a for a, _ in hits}) * N < size * share:  # too few windows for the share, whatever their order
+        found = runs(hits, index.items[item], ws)
+        if sum(n for _, _, n in found) < size * share:  # no chain covers more than all runs
             continue
-        total, path = chain(runs(hits, index.items[item], ws))
+        total, path = chain(found)
         if total >= size * share:
             out.append((item, total / size, [(located[b][1], located[min(b + n, len(located)) - 1][2]) for _, b, n in path]))
     return out

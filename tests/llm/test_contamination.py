@@ -104,3 +104,11 @@ def test_empty_long_and_clashing(spark):
     long = made(60000, 333) + " " + ITEMS[5][1] + " " + made(60000, 444)
     got = leaks(spark, [long, long], more=", TEXT string, share double, item_id int", extra=("x", 1.0, 9))
     assert pairs(got) == {(0, 5), (1, 5)} and got.count() == 2
+
+
+def test_changed_words_hide_no_passage(spark):
+    ws = made(60, 42).split()
+    items = [(99, " ".join(ws)), *ITEMS]
+    part = " ".join("zzz" if i in (5, 11, 17) else w for i, w in enumerate(ws[:20]))
+    docs = [part, *(" ".join("zzz" if i % n == n - 1 else w for i, w in enumerate(ws)) for n in (3, 4, 5)), " ".join(ws[:15])]
+    assert pairs(leaks(spark, docs, items)) == {(i, 99) for i in range(4)}
