@@ -145,7 +145,7 @@ _HEADING = re.compile(r"(?m)^# ")
 def tokens(line: str) -> tuple[str, ...]:
     """Words of a message with masked variables: anything with a digit, and slots."""
     masked = _SLOT.sub("<slot>", line)
-    return tuple("<*>" if _NUMBER.search(w) else w for w in masked.casefold().split()[:40])
+    return tuple("<*>" if _NUMBER.search(w) else w for w in masked.casefold().split())
 
 
 class TemplateMiner:
@@ -196,11 +196,10 @@ def mine(pages: DataFrame, html: str = "html", markdown: str = "markdown", site:
             for h, m, s in zip(*(c.to_pylist() for c in batch.columns)):
                 said, headed = page_lines(h, m)
                 lines = [] if headed else list(said)
-                if not lines or len(lines) > 40:
-                    continue
                 kinds = [residue_kind(x) for x in lines]
+                content = sum(k is None for k in kinds)
                 for line, kind in zip(lines, kinds):
-                    alone = sum(k is None for k in kinds) <= (kind is None)
+                    alone = content <= (kind is None)
                     miner.add(tokens(line), 1, int(alone), frozenset([s or ""]), kind)
         found = list(miner.templates())
         yield pa.RecordBatch.from_arrays(

@@ -140,3 +140,15 @@ def test_miner_masks_variables():
 def test_empty_table(spark):
     got, df, verdicts = found(spark, [])
     assert got == set() and R.main_bodies(df, verdicts).count() == 0
+
+
+def test_long_lines_and_long_pages_count_whole(spark):
+    head = "the hamster, " + "wheel of our own site is being oiled by the men of the day " * 3
+    assert len(R.tokens(head)) > 40
+    tail = "and from there the road goes on to the lake, the mill and the old town of the north"
+    rows = [row(None, head.strip(), f"site{i}") for i in range(6)] + [row(None, f"{head}{tail}", "site9")]
+    assert found(spark, rows)[0] == set(range(6))
+    line = "Our wheel, it is being oiled."
+    filled = [f"Line {i} of the page, {'abcdefg'[i % 7]} tells of the mill and the lake." for i in range(45)]
+    rows = [row(None, line, f"site{i}") for i in range(3)] + [row(None, "\n\n".join([line, *filled]), f"site{i}") for i in range(9)]
+    assert found(spark, rows)[0] == set()
