@@ -36,6 +36,11 @@ def p5_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return residue.judge_pages(pages, residue.collect_verdicts(pages))
 
 
+def p5_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unfilled slots of all pages, ordinary ones included."""
+    return residue.slot_places(table(spark, sf_dir, "pages"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     listings = table(spark, sf_dir, "products").select(F.lit("products").alias("origin"), F.col("listing_id").alias("record_id"), "brand")
     mentions = table(spark, sf_dir, "brand_mentions").select(F.lit("brand_mentions").alias("origin"), F.col("mention_id").alias("record_id"), "brand")
@@ -100,7 +105,7 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "p1_found": p1_found, "p1_classes": p1_classes, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_sample": p9_sample, "p10_found": p10_found, "p10_composition": p10_composition,
-        "p3_found": p3_found, "p5_found": p5_found, "p5_kinds": p5_kinds, "p7_found": p7_found, "p7_unmatched": p7_unmatched}
+        "p3_found": p3_found, "p5_found": p5_found, "p5_kinds": p5_kinds, "p5_slots": p5_slots, "p7_found": p7_found, "p7_unmatched": p7_unmatched}
 
 
 def oracle_sql() -> dict[str, str]:

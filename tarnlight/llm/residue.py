@@ -5,7 +5,7 @@ fixed-depth prefix tree (length, then the first words, numbers masked). Every ta
 rows; the templates of the tasks are merged by the same tree, group by group, so only templates
 ever move. Each template is classified once: by its wording, by unfilled slots, or because it
 appears on several sites and only where the page says nothing else. The verdicts are propagated to
-all pages. Unfilled slots inside ordinary records are found separately (slots).
+all pages. Unfilled slots inside ordinary records are found separately (slot_places).
 """
 
 from __future__ import annotations
@@ -320,6 +320,25 @@ def judge_pages(pages: DataFrame, templates: list[tuple[list[str], str]]) -> Dat
     return unambiguous(pages).select(F.col("page_id").cast("long"), "html", "markdown").mapInArrow(judge, "page_id bigint, kind string, n_lines int")
 
 
+def slot_places(pages: DataFrame) -> DataFrame:
+    """page_id, column, position and slot of every unfilled slot in the whole html and markdown of all pages.
+
+    Positions are in characters from 0. NULL texts give no rows; pages with a NULL page_id keep it.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for pid, h, m in zip(*(c.to_pylist() for c in batch.columns)):
+                for name, text in (("html", h), ("markdown", m)):
+                    out.extend((pid, name, x.start(), x[0]) for x in _SLOT.finditer(text or ""))
+            columns = list(zip(*out)) if out else [[]] * 4
+            types = (pa.int64(), pa.string(), pa.int32(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["page_id", "column", "position", "slot"])
+
+    return unambiguous(pages).select(F.col("page_id").cast("long"), "html", "markdown").mapInArrow(find, "page_id bigint, column string, position int, slot string")
+
+
 def body_lines(by: Judge, html: str | None, markdown: str) -> list[int]:
     """Numbers of the body's lines of one page, from 1; none where the page is a substitute."""
     if not html or not html.strip():

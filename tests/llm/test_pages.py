@@ -152,3 +152,11 @@ def test_long_lines_and_long_pages_count_whole(spark):
     filled = [f"Line {i} of the page, {'abcdefg'[i % 7]} tells of the mill and the lake." for i in range(45)]
     rows = [row(None, line, f"site{i}") for i in range(3)] + [row(None, "\n\n".join([line, *filled]), f"site{i}") for i in range(9)]
     assert found(spark, rows)[0] == set()
+
+
+def test_slots_of_ordinary_pages_have_their_places(spark):
+    rows = [row(f"<body><h1>T</h1><p>{PROSE} Buy {{{{ item }}}} now.</p></body>", f"# T\n\n{PROSE} ${{price}} or %TITLE%"), row(None, None), row(PAGE, MARKDOWN)]
+    df = found(spark, rows)[1]
+    got = sorted((r.page_id, r.column, r.slot) for r in R.slot_places(df).collect())
+    assert got == [(0, "html", "{{ item }}"), (0, "markdown", "${price}"), (0, "markdown", "%TITLE%")]
+    assert all(rows[r.page_id][r.column == "markdown"][r.position :].startswith(r.slot) for r in R.slot_places(df).collect())
