@@ -21,19 +21,16 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return residue.main_bodies(pages, residue.collect_verdicts(pages))
+    return residue.main_bodies(table(spark, sf_dir, "pages"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    return residue.judge_pages(pages, residue.collect_verdicts(pages)).select("page_id").distinct()
+    return residue.judge_pages(table(spark, sf_dir, "pages")).select("page_id").distinct()
 
 
 def p5_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kind and size of every substitute."""
-    pages = table(spark, sf_dir, "pages")
-    return residue.judge_pages(pages, residue.collect_verdicts(pages))
+    return residue.judge_pages(table(spark, sf_dir, "pages"))
 
 
 def p5_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,15 +1,20 @@
 """Template residue and error-page text.
 
-Lines of pages without a heading or prose of their own are mined for message templates with a
-fixed-depth prefix tree (length, then the first words, numbers masked). Every task mines its own
-rows; the templates of the tasks are merged by the same tree, group by group, so only templates
-ever move. Each template is classified once: by its wording, by unfilled slots, or because it
-appears on several sites and only where the page says nothing else. The verdicts are propagated to
-all pages. Unfilled slots inside ordinary records are found separately (slot_places).
+Every page is parsed once: the lines it says outside its furniture are written down. From pages that
+say little, or have no heading of their own, message templates are mined with two prefix trees of
+fixed depth (length, then the first words; and the same from the end, so that a name in front hides
+nothing), digits and slots masked. Every task mines its own rows; the templates of the tasks are
+merged by the same trees, group by group, so only templates ever move. The lines of all pages, long
+ones and headed ones too, are then looked up, and every template is classified once by what is found:
+on how many addresses it stands, on which share of its pages nothing else is said, how much those pages
+say, and a few seed words. The verdicts are propagated: a page is a substitute if each of its lines
+has a template with a verdict, is made of unfilled slots, or is in no language. Unfilled slots inside
+ordinary records are found separately (slot_places).
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -18,58 +23,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarnlight.functions import urls
 from tarnlight.llm import page_tree as tree
-from tarnlight.runtime import unambiguous
+from tarnlight.runtime import durable, unambiguous
 
 #: Templates that may be sent to the tasks; templates are few, as numbers and names are masked.
-MAX_TEMPLATES = 50_000
+MAX_TEMPLATES = 500_000
+#: A page that says less than this share of the usual says little.
+LITTLE = 0.25
+#: Words that count as usual: the most frequent ones of the pages with a heading.
+USUAL_WORDS = 400
 
 # Notations of unfilled slots.
 _SLOT = re.compile(
     r"\{\{\s*[\w.\s|$-]{1,60}\}\}|\$\{[\w.\s-]{1,60}\}|\{%-?\s*\w+[^%]{0,60}%\}|<%[=-]?\s*[\w.$\s]{1,60}%>|<\?(?:=|php)?\s*\$?[\w.>\s$-]{1,60}\?>|\[\[\s*[\w.\s-]{1,60}\]\]|@@[\w.-]{1,60}@@"
     r"|(?<![\w%])%[A-Za-z][\w.-]{1,60}%(?![\w%])|(?<!\w)__[A-Za-z][\w.-]{1,60}?__(?!\w)|#?\{[A-Za-z_][\w.]{0,60}\}"
 )
-_PROMPT = re.compile(
-    r"^(?:#+\s*)?(?:your .{1,40} goes here|enter (?:the|your) .{1,40} in this box|<[^<>]{1,40} to be added>|\[?insert .{1,40} here\]?|todo: ?(?:write|add|fill).{0,40}|.{1,40}: x{4,}"
-    r"|(?:feature|slide|item|heading|section|service|title) ?\d*: (?:description|text|title) of .{1,30}|(?:lorem ipsum.*))\.?$",
-    re.I,
-)
-_FILLER = re.compile(
-    r"^(?:sample text.*|example text.*|placeholder text.*|platzhaltertext.*|beispieltext.*|texte? (?:provisoire|de ejemplo|d'exemple|de prueba)\.?.*|texto de (?:ejemplo|prueba|relleno).*|faux texte.*|coming soon.*|under construction.*|test(?: test)+|(?:asdf ?)+"
-    r"|this block is a demo.*|(?:hier (?:steht|entsteht)|próximamente|bientôt disponible|demnächst|en construction|en construcción|im aufbau).{0,60}|hello world!?)\.?$",
-    re.I,
-)
-# Wording of error pages and of requests to switch scripts on.
-_ERROR = re.compile(
-    r"(?:^(?:error )?[1-5]\d\d$|^(?:http )?(?:error )?[45]\d\d[ :–-]*(?:bad gateway|bad request|unauthorized|forbidden|not found|gone|too many requests|internal server error|service unavailable|gateway time-?out).{0,40}$|^(?:bad gateway|forbidden|not found|service unavailable)$"
-    r"|page (?:could |can )?(?:not (?:be )?found|no longer exists)|could not find (?:that|the|this) page|página no encontrada|no se ha encontrado la página|la página no existe|seite (?:wurde )?nicht gefunden|page (?:introuvable|non trouvée)|cette page n'existe"
-    r"|address you asked for leads nowhere|site is closed for maintenance|down for maintenance|wartungsarbeiten|en mantenimiento|en maintenance|access denied|permission to view|zugriff verweigert|acceso denegado|accès refusé|too many requests|slow down and retry"
-    r"|session has expired|account suspended|no longer available in this shop|something (?:broke|went wrong) on our (?:side|end)|^fatal: .{0,80}|uncaught (?:exception|error)|stack ?trace$|^at [\w.$<>]+ ?\(.{0,60}\)$|cannot reach database|cannot connect to (?:the )?database"
-    r"|not a robot|verify you are human|\bray (?:id:? )?(?=[\w-]*\d)[\w-]{4,})",
-    re.I,
-)
-_SCRIPT = re.compile(
-    r"(?:(?:enable|turn on|activate|switch on|requires?) (?:java ?script|scripts?|cookies)\b|java ?script (?:is )?(?:disabled|required|in your browser settings)|(?:needs?|requires?) scripts?\b.{0,20}run|modern browser with script|aktivieren sie java|activer java|active java ?script|active javascript"
-    r"|script did not start|browser blocks the code|unsupported browser|^loading(?:…|\.\.\.)?$|^(?:wird geladen|cargando|chargement)(?:…|\.\.\.)?$)",
-    re.I,
-)
-#: Lines that go with messages and say nothing by themselves.
-_COMPANION = re.compile(
-    r"^(?:sorry about that\..*|our engineers know about it\..*|perhaps the link was mistyped.*|go back(?: · .*)?|start page|report a problem|reload|retry|try again.*|[\w.-]+-edge/[\d.]+|nginx(?:/[\d.]+)?|at [\w.$<>]+ ?\(.*\)|reference:? [\w-]+|request id.*)$",
-    re.I,
-)
-# Words of the usual Latin filler, and short function words of the pages' languages.
-_LATIN = frozenset("lorem ipsum dolor sit amet elit sed quis nulla velit vitae magna urna porta leo nisi ante fugit sodal sodales adipiscing consectetur tempor incididunt labore dolore aliqua".split())
-_FUNCTION = {
-    lang: frozenset(ws.split()) for lang, ws in {
-        "en": "a an the of to in on at by for from with and or but not no is are was were be been it its that this these those as if so some any all each every how what when which who why than then there our their your his her most few one two three nothing nobody only more near between after before about into can could will would should may might out even has have had",
-        "de": "der die das den dem des ein eine einen einem und oder nicht mit von zu im in auf aus bei für ist sind war als auch es hat haben diese dieser sich ohne nach vor wer sollte seit oft manchmal mehr",
-        "es": "el la los las un una unos unas de del y o no con por para en al es son que se su sus esta este sobre sin desde hace lo más a veces también quien",
-        "fr": "le la les des du de et ou ne pas avec par pour dans sur est sont que qui se sa ses cette ce sans depuis plus au aux il on une un d l en à parfois aussi",
-    }.items()
+# Seed words by kind. They name the kind of a template, and let one classify that stands on a single address.
+SEEDS = {
+    "prompt": r"\bgoes here\b|\bto be added\b|\bx{4,}|^todo\b|\binsert\b.*\bhere\b|^enter (?:the|your)\b|: (?:description|text|title) of\b",
+    "filler": r"\blorem ipsum\b|\bplaceholder\b|\bplatzhalter|\bbeispieltext|\bprovisoire\b|\btexto de\b|\bsample text\b|\bcoming soon\b|\bunder construction\b|^(?:test ?){2,}|^(?:asdf ?)+",
+    "script": r"\bjava ?script\b|\bscripts?\b|\bbrowser\b|^loading\b",
+    "error": r"\b[45]\d\d\b|\berror\b|\bnot find\b|\bnot found\b|\bno encontrada\b|\bnicht gefunden\b|\bn.existe\b|\bdenied\b|\bforbidden\b|\bgateway\b|\bmaintenance\b|\bexpired\b|\bsuspended\b|\bfatal\b|\btoo many requests\b|\brobot\b",
 }
+#: Words that a line of a seed may have at most.
+SEED_WORDS = 25
 _WORD = re.compile(r"[^\W\d_]+")
 _NUMBER = re.compile(r"\d")
+_TOKEN = re.compile(r"\w+|[^\w\s]")
+_HEADING = re.compile(r"(?m)^# ")
+#: Codes of lines that are residue without a template.
+SLOT, FILLER = -1, -2
 
 
 def slots(text: str | None) -> list[str]:
@@ -77,7 +61,7 @@ def slots(text: str | None) -> list[str]:
     return _SLOT.findall(text) if text else []
 
 
-def _only_slots(line: str) -> bool:
+def only_slots(line: str) -> bool:
     """True where slots make up a line, or at least three stand in one sentence or two in a short one."""
     found = _SLOT.findall(line)
     if not found:
@@ -86,70 +70,60 @@ def _only_slots(line: str) -> bool:
     return len(rest) <= 2 or len(found) >= 3 or (len(found) >= 2 and len(rest) <= 10)
 
 
-def filler_text(line: str) -> bool:
-    """Latin filler, or words of no language: eight or more words, fewer than an eighth of them function words of one language."""
-    words = [w.casefold() for w in _WORD.findall(line)]
-    if len(words) < 6:
-        return False
-    latin = sum(w in _LATIN for w in words)
-    if latin * 10 >= len(words) * 4:
-        return True
-    return len(words) >= 8 and function_share(words) * 8 < 1 and _unmarked(line)
-
-
-def function_share(words: list[str]) -> float:
-    """Largest share of function words of one language."""
-    return max(sum(w in ws for w in words) for ws in _FUNCTION.values()) / max(1, len(words))
+class Language:
+    """Tells text of no language: few of its words are among the usual ones of the corpus, and it has no comma and no digit."""
 
+    def __init__(self, usual: frozenset[str]):
+        self.usual = usual
 
-def _unmarked(line: str) -> bool:
-    """No comma and no digit: text of no language has neither."""
-    return "," not in line and not _NUMBER.search(line)
+    def share(self, words: list[str]) -> float:
+        return sum(w in self.usual for w in words) / max(1, len(words))
 
+    def doubtful(self, line: str) -> list[str]:
+        """The words of a line of six or more words that may be in no language, else nothing."""
+        if not self.usual or "," in line or _NUMBER.search(line):
+            return []
+        words = [w.casefold() for w in _WORD.findall(line)]
+        return words if len(words) >= 6 and self.share(words) * 4 < 1 else []
 
-def residue_kind(line: str) -> str | None:
-    """What kind of substitute a line is by its wording: slot, prompt, filler, error, script; else None."""
-    text = line.strip()
-    if _only_slots(text):
-        return "slot"
-    bare = tree.plain(text) if not text.startswith(("<", "[")) else text
-    if _PROMPT.match(text.lstrip("# ")) or _PROMPT.match(bare):
-        return "prompt"
-    if _FILLER.match(bare):
-        return "filler"
-    if len(bare) <= 160 and _SCRIPT.search(bare):
-        return "script"
-    if len(bare) <= 160 and _ERROR.search(bare):
-        return "error"
-    return "filler" if filler_text(text) else None
 
+def page_lines(html: str | None, markdown: str | None, root: tree.Node | None = None) -> tuple[list[str], bool]:
+    """What a page says outside its furniture, and whether it has a heading of its own (an h1 in its body).
 
-def page_lines(html: str | None, markdown: str | None) -> tuple[Iterator[str], bool]:
-    """What a page says outside its furniture, and whether it has a heading of its own (an h1 in its body)."""
+    root: the measured tree of the html where it is at hand.
+    """
     if html and html.strip():
-        root = tree.parse(html)
-        tree.measure(root)
+        if root is None:
+            root = tree.parse(html)
+            tree.measure(root)
         lines = tree.message_texts(root)
         headed = "<h1" in html
     elif markdown and markdown.strip():
         lines = tree.markdown_messages(markdown.split("\n"))
         headed = bool(_HEADING.search(markdown))
     else:
-        return iter(()), False
-    return (x for x in lines if not tree.furniture_line(x)), headed
+        return [], False
+    return [x for x in lines if not tree.furniture_line(x)], headed
 
 
-_HEADING = re.compile(r"(?m)^# ")
+def tokens(line: str) -> tuple[str, ...]:
+    """Words and signs of a message, closing points left out, with masked variables: anything with a digit, and slots."""
+    found = _TOKEN.findall(_SLOT.sub(" 0 ", line).casefold())
+    while len(found) > 1 and found[-1] in ".!?…":
+        found.pop()
+    return tuple("<*>" if _NUMBER.search(w) else w for w in found)
 
 
-def tokens(line: str) -> tuple[str, ...]:
-    """Words of a message with masked variables: anything with a digit, and slots."""
-    masked = _SLOT.sub("<slot>", line)
-    return tuple("<*>" if _NUMBER.search(w) else w for w in masked.casefold().split())
+def kind_of(line: str, seeds: dict[str, str]) -> str | None:
+    """The kind whose seed words a short line holds."""
+    if len(line.split()) > SEED_WORDS:
+        return None
+    text = tree.plain(line) if not line.startswith(("<", "[")) else line.casefold()
+    return next((k for k, p in seeds.items() if re.search(p, text)), None)
 
 
 class TemplateMiner:
-    """A prefix tree of fixed depth: length, then the first words; leaves hold templates with counts."""
+    """A prefix tree of fixed depth: length, then the first words; leaves hold templates: words, lines counted, kind."""
 
     def __init__(self, depth: int = 2, similarity: float = 0.6):
         self.depth, self.similarity = depth, similarity
@@ -158,166 +132,243 @@ class TemplateMiner:
     def key(self, words: tuple[str, ...]) -> tuple:
         return (len(words), *words[: self.depth])
 
-    def add(self, words: tuple[str, ...], pages: int = 1, alone: int = 0, sites: frozenset = frozenset(), kind: str | None = None) -> None:
+    def add(self, words: tuple[str, ...], n: int = 1, kind: str | None = None) -> None:
         group = self.leaves.setdefault(self.key(words), [])
         best, score = None, 0.0
         for entry in group:
             same = sum(a == b for a, b in zip(entry[0], words)) / max(1, len(words))
             if same > score:
                 best, score = entry, same
+                if same == 1:
+                    break
         if best is None or score < self.similarity:
-            group.append([words, pages, alone, set(sites), kind])
+            group.append([words, n, kind])
             return
-        best[0] = tuple(a if a == b else "<*>" for a, b in zip(best[0], words))
-        best[1] += pages
-        best[2] += alone
-        if len(best[3]) < 16:
-            best[3] |= sites
-        best[4] = best[4] or kind
+        if score < 1:
+            best[0] = tuple(a if a == b else "<*>" for a, b in zip(best[0], words))
+        best[1] += n
+        best[2] = best[2] or kind
 
     def templates(self) -> Iterator[list]:
         for group in self.leaves.values():
             yield from group
 
 
-_PARTIAL = "key string, template array<string>, pages bigint, alone bigint, sites array<string>, kind string"
+def records(pages: DataFrame, bodies: bool = False) -> DataFrame:
+    """What every page says, from one parse: page_id, url, headed, n_words, lines, and with bodies the
+    numbers of the lines of markdown that tree scoring keeps (body).
 
+    url is the address without case of the host, closing slash and fragment. NULL and empty html and
+    markdown give no lines. Pages with a NULL page_id keep it.
+    """
 
-def mine(pages: DataFrame, html: str = "html", markdown: str = "markdown", site: str = "site") -> DataFrame:
-    """Message templates of all pages without a heading: template, pages, alone, n_sites, kind.
-
-    alone counts pages on which no other line stands beside residue and companions. Sites are
-    counted exactly up to 16.
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags, sizes, texts, kept = [], [], [], []
+            for h, m in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                root, nodes, body = None, [], []
+                if h and h.strip():
+                    root = tree.parse(h)
+                    if bodies and m:
+                        nodes = tree.body_nodes(root)
+                    else:
+                        tree.measure(root)
+                lines, headed = page_lines(h, m, root)
+                if bodies and m and m.strip():
+                    rows = m.split("\n")
+                    body = [i + 1 for i in (tree.match_lines(tree.block_texts(nodes), rows) if root is not None else tree.markdown_body(rows))]
+                flags.append(headed)
+                sizes.append(sum(len(x.split()) for x in lines))
+                texts.append(lines)
+                kept.append(body)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(flags, pa.bool_()), pa.array(sizes, pa.int32()), pa.array(texts, pa.list_(pa.string())), pa.array(kept, pa.list_(pa.int64()))],
+                names=["page_id", "url", "headed", "n_words", "lines", "body"],
+            )
+
+    plain = unambiguous(pages)
+    rows = plain.select(F.col("page_id").cast("long"), F.coalesce(urls.entity_key(F.col("url")), F.lit("")).alias("url"), "html", "markdown")
+    return rows.mapInArrow(read, "page_id bigint, url string, headed boolean, n_words int, lines array<string>, body array<bigint>")
+
+
+def usual_size(said: DataFrame) -> float:
+    """Median of the words of the pages with a heading; infinite where there are none."""
+    size = said.filter("headed").agg(F.percentile_approx("n_words", 0.5)).first()[0]
+    return math.inf if size is None else float(size)
+
+
+def mine(said: DataFrame, usual: float, seeds: dict[str, str] | None = None) -> DataFrame:
+    """Message templates: back (counted from the end), template, n, kind.
+
+    said are records, usual is their usual_size. Pages are mined that have no heading or say less than
+    LITTLE of the usual; counting is done over all pages (matches).
     """
+    seeds = SEEDS if seeds is None else seeds
+    def drain(miners: tuple[TemplateMiner, TemplateMiner]) -> pa.RecordBatch:
+        found = [(bool(b), "\u0001".join(map(str, (b, *miner.key(t[0])))), list(t[0]), t[1], t[2]) for b, miner in enumerate(miners) for t in miner.templates()]
+        columns = list(zip(*found)) if found else [[]] * 5
+        types = (pa.bool_(), pa.string(), pa.list_(pa.string()), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["back", "key", "template", "n", "kind"])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        miner = TemplateMiner()
+        miners = TemplateMiner(), TemplateMiner()
         for batch in batches:
-            for h, m, s in zip(*(c.to_pylist() for c in batch.columns)):
-                said, headed = page_lines(h, m)
-                lines = [] if headed else list(said)
-                kinds = [residue_kind(x) for x in lines]
-                content = sum(k is None for k in kinds)
-                for line, kind in zip(lines, kinds):
-                    alone = content <= (kind is None)
-                    miner.add(tokens(line), 1, int(alone), frozenset([s or ""]), kind)
-        found = list(miner.templates())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(["\u0001".join(map(str, miner.key(t[0]))) for t in found], pa.string()),
-                pa.array([list(t[0]) for t in found], pa.list_(pa.string())),
-                pa.array([t[1] for t in found], pa.int64()), pa.array([t[2] for t in found], pa.int64()),
-                pa.array([sorted(t[3]) for t in found], pa.list_(pa.string())), pa.array([t[4] for t in found], pa.string()),
-            ],
-            names=["key", "template", "pages", "alone", "sites", "kind"],
-        )
-
-    bodies = unambiguous(pages).select(html, markdown, site).filter(~F.coalesce(F.col(html).contains("<h1"), F.lit(False)))
-    partial = bodies.mapInArrow(local, _PARTIAL)
-    same = partial.groupBy("key", "template").agg(
-        F.sum("pages").alias("pages"), F.sum("alone").alias("alone"), F.max("kind").alias("kind"),
-        F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("sites")))), 1, 16).alias("sites"),
-    )
+            for lines in batch.column(0).to_pylist():
+                for line in lines:
+                    if not only_slots(line):
+                        words, kind = tokens(line), kind_of(line, seeds)
+                        miners[0].add(words, 1, kind)
+                        miners[1].add(words[::-1], 1, kind)
+        yield drain(miners)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        miner = TemplateMiner()
+        miners = TemplateMiner(), TemplateMiner()
         for batch in batches:
-            for words, pages_, alone, kind, sites in zip(*(c.to_pylist() for c in batch.columns)):
-                miner.add(tuple(words), pages_, alone, frozenset(sites), kind)
-        found = list(miner.templates())
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([list(t[0]) for t in found], pa.list_(pa.string())), pa.array([t[1] for t in found], pa.int64()),
-                pa.array([t[2] for t in found], pa.int64()), pa.array([len(t[3]) for t in found], pa.int32()), pa.array([t[4] for t in found], pa.string()),
-            ],
-            names=["template", "pages", "alone", "n_sites", "kind"],
-        )
-
-    # All templates of one (length, first words) meet in one task: distinct templates, not rows.
-    together = same.repartition("key").sortWithinPartitions("key", F.desc("pages"), "template").select("template", "pages", "alone", "kind", "sites")
-    return together.mapInArrow(merge, "template array<string>, pages bigint, alone bigint, n_sites int, kind string")
-
-
-def verdicts(templates: DataFrame, min_sites: int = 3, share: float = 0.9) -> DataFrame:
-    """Templates of at least min_sites sites, classified once: those with a kind by their wording, and
-    those that stand alone on at least share of their pages (kind "recurring").
-
-    Templates of fewer sites need no verdict to be sent out: their wording is judged where they stand.
-    """
-    alone = F.when(F.col("alone") >= F.col("pages") * share, F.lit("recurring"))
-    return templates.filter(F.col("n_sites") >= min_sites).select("template", F.coalesce(F.col("kind"), alone).alias("kind")).filter("kind is not null")
+            for back, words, n, kind in zip(*(c.to_pylist() for c in batch.columns)):
+                miners[back].add(tuple(words), n, kind)
+        out = drain(miners)
+        yield out.select(["back", "template", "n", "kind"])
+
+    short = said.filter(~F.col("headed") | (F.col("n_words") < F.lit(LITTLE * usual))).filter(F.size("lines") > 0).select("lines")
+    partial = short.mapInArrow(local, "back boolean, key string, template array<string>, n bigint, kind string")
+    same = partial.groupBy("back", "key", "template").agg(F.sum("n").alias("n"), F.max("kind").alias("kind"))
+    # All templates of one (direction, length, first words) meet in one task: distinct templates, not rows.
+    together = same.repartition("key").sortWithinPartitions("key", F.desc("n"), "template").select("back", "template", "n", "kind")
+    return together.mapInArrow(merge, "back boolean, template array<string>, n bigint, kind string")
+
+
+def collect_templates(templates: DataFrame) -> list[tuple[bool, list[str], str | None]]:
+    """The templates for the tasks; an error where there are more than MAX_TEMPLATES."""
+    rows = templates.limit(MAX_TEMPLATES + 1).collect()
+    if len(rows) > MAX_TEMPLATES:
+        raise ValueError("more message templates than MAX_TEMPLATES")
+    return sorted(((r.back, list(r.template), r.kind) for r in rows), key=lambda r: (r[0], r[1]))
 
 
-class Judge:
-    """Applies the verdicts of templates to pages."""
+class Matcher:
+    """Looks lines up among templates; a template's number is its place in the list."""
 
-    def __init__(self, templates: list[tuple[list[str], str]]):
-        self.known: dict[tuple, list[tuple[tuple, str]]] = {}
-        for words, kind in templates:
-            self.known.setdefault((len(words), *words[:2]), []).append((tuple(words), kind))
+    def __init__(self, templates: list[tuple[bool, list[str], str | None]]):
+        self.known: dict[tuple, list[tuple[tuple, int]]] = {}
+        for i, (back, words, _) in enumerate(templates):
+            self.known.setdefault((back, len(words), *words[:2]), []).append((tuple(words), i))
 
-    def template_kind(self, line: str) -> str | None:
+    def numbers(self, line: str) -> list[int]:
         words = tokens(line)
-        for template, kind in self.known.get((len(words), *words[:2]), ()):
-            if all(a in ("<*>", b) for a, b in zip(template, words)):
-                return kind
-        return None
+        out = []
+        for back, ws in ((False, words), (True, words[::-1])):
+            for template, i in self.known.get((back, len(ws), *ws[:2]), ()):
+                if all(a in ("<*>", b) for a, b in zip(template, ws)):
+                    out.append(i)
+        return out
+
+
+def read_lines(lines: list[str], matcher: Matcher, language: Language) -> tuple[list[list[int]], int]:
+    """(codes of each residue-like line, number of lines of content) of a page."""
+    codes: list[list[int]] = []
+    content = 0
+    doubtful: list[str] = []
+    for line in lines:
+        if only_slots(line):
+            codes.append([SLOT])
+            continue
+        found = matcher.numbers(line)
+        words = language.doubtful(line)
+        if words:
+            doubtful += words
+            found = [*found, FILLER]
+        if found:
+            codes.append(found)
+        else:
+            content += 1
+    # Lines of no language hold a usual word by chance; together they hardly do.
+    if doubtful and language.share(doubtful) * 5 >= 1:
+        codes = [[i for i in c if i != FILLER] for c in codes]
+        content += sum(not c for c in codes)
+        codes = [c for c in codes if c]
+    return codes, content
+
+
+def matches(said: DataFrame, templates: list, usual_words: list[str], keep_all: bool = False) -> DataFrame:
+    """page_id, url, n_words, codes, content, body of the pages that hold a residue-like line, with keep_all of all pages."""
+    shared = said.sparkSession.sparkContext.broadcast((templates, frozenset(usual_words)))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher, language = Matcher(shared.value[0]), Language(shared.value[1])
+        for batch in batches:
+            found = [read_lines(lines, matcher, language) for lines in batch.column(3).to_pylist()]
+            out = pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array([c for c, _ in found], pa.list_(pa.list_(pa.int32()))), pa.array([n for _, n in found], pa.int32()), batch.column(4)],
+                names=["page_id", "url", "n_words", "codes", "content", "body"],
+            )
+            yield out if keep_all else out.filter(pa.array([bool(c) for c, _ in found], pa.bool_()))
+
+    return said.select("page_id", "url", "n_words", "lines", "body").mapInArrow(look, "page_id bigint, url string, n_words int, codes array<array<int>>, content int, body array<bigint>")
 
-    def page(self, html: str | None, markdown: str | None) -> tuple[str | None, int]:
-        """(kind, number of residue lines) of a page; the kind is None for pages with content of their own."""
-        lines, headed = page_lines(html, markdown)
-        return self.lines(lines, not headed)
-
-    def lines(self, lines, mined: bool) -> tuple[str | None, int]:
-        """The verdict on lines; it ends at the first line of content. mined: templates of headless pages count too."""
-        count: Counter = Counter()
-        doubtful: list[str] = []
-        for line in lines:
-            kind = residue_kind(line) or (self.template_kind(line) if mined else None)
-            if kind is not None:
-                count[kind] += 1
-            elif not _COMPANION.match(tree.plain(line)):
-                words = [w.casefold() for w in _WORD.findall(line)]
-                if len(words) < 6 or function_share(words) * 4 >= 1 or not _unmarked(line):
-                    return None, 0
-                doubtful += words
-                count["filler"] += 1
-        # Lines of no language hold a function word by chance; together they hardly do.
-        if doubtful and function_share(doubtful) * 5 >= 1:
-            return None, 0
-        if not count:
-            return None, 0
-        return count.most_common(1)[0][0], sum(count.values())
-
-
-def collect_verdicts(pages: DataFrame) -> list[tuple[list[str], str]]:
-    """The verdicts for the tasks; an error where there are more templates than MAX_TEMPLATES."""
-    rows = verdicts(mine(pages)).limit(MAX_TEMPLATES + 1).collect()
-    if len(rows) > MAX_TEMPLATES:
-        raise ValueError("more message templates than MAX_TEMPLATES: raise min_sites")
-    return sorted((list(r.template), r.kind) for r in rows)
 
+def verdicts(found: DataFrame, templates: list, usual: float, bare_share: float = 0.5, addresses: int = 2) -> dict[int, str]:
+    """Classifies the templates: {number: kind}.
 
-def judge_pages(pages: DataFrame, templates: list[tuple[list[str], str]]) -> DataFrame:
+    A template is residue if on at least bare_share of its pages nothing else is said, and it either
+    stands so on two addresses or more, on pages that say less than LITTLE of the usual, or holds seed
+    words. Its kind is that of its seed words, else "recurring".
+    """
+    each = found.select("url", "n_words", "content", F.explode(F.array_distinct(F.flatten("codes"))).alias("t")).filter("t >= 0")
+    bare = F.col("content") == 0
+    rows = each.groupBy("t").agg(F.avg(bare.cast("double")).alias("share"), F.count_distinct(F.when(bare, F.col("url"))).alias("n"), F.avg(F.when(bare, F.col("n_words"))).alias("words"))
+    out: dict[int, str] = {}
+    for r in rows.filter(F.col("share") >= bare_share).collect():
+        kind = templates[r.t][2]
+        if kind or (r.n >= addresses and r.words < LITTLE * usual):
+            out[r.t] = kind or "recurring"
+    return out
+
+
+class Findings:
+    """The records of a table with the verdicts on its templates."""
+
+    def __init__(self, pages: DataFrame, bodies: bool = False, seeds: dict[str, str] | None = None, templates: list | None = None):
+        said = durable(records(pages, bodies))
+        words = said.filter("headed").select(F.explode("lines").alias("line")).select(F.explode(F.split(F.lower("line"), r"[^\p{L}]+")).alias("w")).filter("w <> ''")
+        self.usual_words = sorted(r.w for r in words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(USUAL_WORDS).collect())
+        self.usual = usual_size(said)
+        self.templates = collect_templates(mine(said, self.usual, seeds)) if templates is None else templates
+        self.found = durable(matches(said, self.templates, self.usual_words, bodies))
+        self.verdicts = verdicts(self.found, self.templates, self.usual)
+
+    def judged(self) -> DataFrame:
+        """page_id, kind, n_lines, body of the kept pages; the kind is NULL for pages with content of their own or without any line."""
+        shared = self.found.sparkSession.sparkContext.broadcast({SLOT: "slot", FILLER: "filler"} | self.verdicts)
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            kind_of_code = shared.value
+            for batch in batches:
+                kinds, sizes = [], []
+                for codes, content in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                    named = [next((kind_of_code[i] for i in c if i in kind_of_code), None) for c in codes]
+                    full = bool(named) and not content and None not in named
+                    kinds.append(Counter(named).most_common(1)[0][0] if full else None)
+                    sizes.append(len(named))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kinds, pa.string()), pa.array(sizes, pa.int32()), batch.column(3)], names=["page_id", "kind", "n_lines", "body"])
+
+        return self.found.select("page_id", "codes", "content", "body").mapInArrow(judge, "page_id bigint, kind string, n_lines int, body array<bigint>")
+
+
+def judge_pages(pages: DataFrame, seeds: dict[str, str] | None = None, templates: list | None = None) -> DataFrame:
     """page_id, kind and n_lines of every page whose text is a substitute for content.
 
     NULL and empty html and markdown store nothing and are no case; success and error are ignored.
-    Pages with a NULL page_id keep it.
+    Pages with a NULL page_id keep it. seeds and templates replace the seed words and the mined templates.
     """
+    return Findings(pages, False, seeds, templates).judged().filter("kind is not null").select("page_id", "kind", "n_lines")
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = Judge(templates)
-        for batch in batches:
-            ids, kinds, counts = [], [], []
-            for pid, h, m in zip(*(c.to_pylist() for c in batch.columns)):
-                kind, n = by.page(h, m)
-                if kind:
-                    ids.append(pid)
-                    kinds.append(kind)
-                    counts.append(n)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(counts, pa.int32())], names=["page_id", "kind", "n_lines"])
 
-    return unambiguous(pages).select(F.col("page_id").cast("long"), "html", "markdown").mapInArrow(judge, "page_id bigint, kind string, n_lines int")
+def main_bodies(pages: DataFrame) -> DataFrame:
+    """(page_id, line_no) of the lines of markdown that belong to the main body.
+
+    Substitutes for content (judge_pages) and pages without markdown have no such lines.
+    """
+    return Findings(pages, True).judged().filter("kind is null").select("page_id", F.explode("body").alias("line_no"))
 
 
 def slot_places(pages: DataFrame) -> DataFrame:
@@ -337,38 +388,3 @@ def slot_places(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["page_id", "column", "position", "slot"])
 
     return unambiguous(pages).select(F.col("page_id").cast("long"), "html", "markdown").mapInArrow(find, "page_id bigint, column string, position int, slot string")
-
-
-def body_lines(by: Judge, html: str | None, markdown: str) -> list[int]:
-    """Numbers of the body's lines of one page, from 1; none where the page is a substitute."""
-    if not html or not html.strip():
-        return [] if by.page(html, markdown)[0] else tree.markdown_lines(html, markdown)
-    root = tree.parse(html)
-    nodes = tree.body_nodes(root)
-    texts = tree.block_texts(nodes)
-    # The body's blocks are among the page's lines: one of content settles the verdict.
-    own = any(residue_kind(t) is None and not _COMPANION.match(tree.plain(t)) and not tree.furniture_line(t) for t in texts) if "<h1" in html else False
-    if not own and by.page(html, markdown)[0]:
-        return []
-    return [i + 1 for i in tree.match_lines(texts, markdown.split("\n"))]
-
-
-def main_bodies(pages: DataFrame, templates: list[tuple[list[str], str]]) -> DataFrame:
-    """(page_id, line_no) of the lines of markdown that belong to the main body.
-
-    Substitutes for content (judge_pages) and pages without markdown have no such lines.
-    """
-
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = Judge(templates)
-        for batch in batches:
-            ids, numbers = [], []
-            for pid, h, m in zip(*(c.to_pylist() for c in batch.columns)):
-                if not m:
-                    continue
-                found = body_lines(by, h, m)
-                ids.extend([pid] * len(found))
-                numbers.extend(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64())], names=["page_id", "line_no"])
-
-    return unambiguous(pages).select(F.col("page_id").cast("long"), "html", "markdown").mapInArrow(extract, "page_id bigint, line_no bigint")

@@ -1,5 +1,8 @@
 from tarnlight.llm import page_tree as T
 from tarnlight.llm import residue as R
+from tarnlight.runtime import table
+
+DATA = "/root/testdata/sf0.1"
 
 PROSE = "The older dosage of Tenox is gone; its place went to an inflammation, a clinic and a nurse of the ward."
 PAGE = f"""<!doctype html><html><head><title>T</title><script>var q="</p>";</script></head><body><a href="#main">Skip to content</a><nav><a href="/a">Home</a><a href="/b">Pricing</a></nav>
@@ -84,11 +87,10 @@ CASES = [
 CONTENT = [PROSE, "# The proxy answered 503 Service Unavailable for 9 minutes while Gufakom moved its cache, then traffic returned, and the log of that morning kept every request that failed.", "Whisk", "In the shell, ${HOME} expands to a folder of the user.", "Depuis 9 ans, Voror rassemble des données sur les épices."]
 
 
-def test_wording():
-    for text in CASES:
-        assert R.residue_kind(text), text
-    for text in CONTENT:
-        assert R.residue_kind(text) is None, text
+def test_seed_words_name_kinds_of_short_lines_only():
+    assert {R.kind_of(x, R.SEEDS) for x in ("Your headline goes here", "TODO: write title", "page summary: XXXXX")} == {"prompt"}
+    assert R.kind_of("Page not found", R.SEEDS) == "error" and R.kind_of("Please enable JavaScript", R.SEEDS) == "script" and R.kind_of("Lorem ipsum dolor", R.SEEDS) == "filler"
+    assert R.kind_of(PROSE, R.SEEDS) is None and R.kind_of("Page not found " + PROSE * 2, R.SEEDS) is None
 
 
 def test_slots_inside_ordinary_records():
@@ -96,37 +98,60 @@ def test_slots_inside_ordinary_records():
     assert R.slots("100% of 50 % and __init__ing a_b") == [] or R.slots(None) == []
 
 
-def found(spark, rows):
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, html string, markdown string, site string, HTML string, kind string")
-    verdicts = R.collect_verdicts(df)
-    return {r.page_id for r in R.judge_pages(df, verdicts).collect()}, df, verdicts
+def found(spark, rows, **how):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, html string, markdown string, url string, HTML string, kind string")
+    return {r.page_id for r in R.judge_pages(df, **how).collect()}, df
+
+
+def row(html, markdown, site="s", page=None):
+    row.n += 1
+    return html, markdown, f"https://{site}.example/{row.n if page is None else page}", "x", "y"
 
 
-def row(html, markdown, site="s"):
-    return html, markdown, site, "x", "y"
+row.n = 0
 
 
 def test_substitutes_with_and_without_furniture(spark):
     shell = "<body><nav><a href='/'>Home</a></nav><p>{}</p><footer>© 2024 X.</footer></body>"
     rows = [row(shell.format(c.replace("<", "&lt;")), None) for c in CASES] + [row(None, c) for c in CASES]
-    got, df, verdicts = found(spark, rows)
+    got, df = found(spark, rows)
     assert got == set(range(len(rows)))
-    assert R.main_bodies(df, verdicts).count() == 0
+    assert R.main_bodies(df).count() == 0
 
 
 def test_content_is_no_case(spark):
     quoting = f"<body><article><h1>Errors</h1><p>{PROSE}</p><p>Page not found</p></article><noscript><p>Please enable JavaScript to use comments.</p></noscript></body>"
     rows = [row(quoting, "# Errors\n\n" + PROSE + "\n\nPage not found"), row(None, "# x\n\n" + PROSE), row("", ""), row(None, None), row(" ", "\n"), row(PAGE, MARKDOWN)]
-    got, df, verdicts = found(spark, rows)
+    got, df = found(spark, rows)
     assert got == set()
-    lines = {(r.page_id, r.line_no) for r in R.main_bodies(df, verdicts).collect()}
+    lines = {(r.page_id, r.line_no) for r in R.main_bodies(df).collect()}
     assert {n for p, n in lines if p == 0} == {1, 3, 5} and not any(p in (2, 3, 4) for p, _ in lines)
 
 
-def test_unknown_messages_of_many_sites_are_mined(spark):
-    rows = [row(f"<body><p>Our hamster wheel number {i} is being oiled.</p></body>", None, f"site{i % 5}") for i in range(20)]
+def wheel(i, site, page=None):
+    return row(f"<body><p>Our hamster wheel number {i} is being oiled.</p></body>", None, site, page)
+
+
+def test_unknown_messages_are_mined(spark):
+    full = [row(PAGE, MARKDOWN.replace("T", f"T{i}")) for i in range(3)]
+    rows = [wheel(i, f"site{i % 5}") for i in range(20)] + full
+    assert found(spark, rows)[0] == set(range(20))
+    rows = [wheel(i, "one") for i in range(20)] + full  # all of one site
     assert found(spark, rows)[0] == set(range(20))
-    assert found(spark, rows[:1])[0] == set()  # one page of one site tells nothing
+    assert found(spark, rows[:1] + full)[0] == set()  # a single page tells nothing
+    assert found(spark, [wheel(1, "one", 7), wheel(1, "ONE", "7/"), *full])[0] == set()  # nor does the same page again
+
+
+def test_messages_are_mined_from_pages_with_a_heading_too(spark):
+    full = [row(PAGE.replace("Short.", f"{PROSE} {PROSE} Short {i}."), MARKDOWN) for i in range(9)]
+    rows = [row(f"<body><h1>Hamster house {i}</h1><p>The wheel, sadly, is being oiled.</p></body>", None, f"site{i}") for i in range(4)] + full
+    assert found(spark, rows)[0] == set(range(4))
+
+
+def test_verdicts_come_from_the_templates(spark):
+    pages = table(spark, DATA, "pages")
+    whole, unseeded, untold = (R.judge_pages(pages, **how).count() for how in ({}, {"seeds": {}}, {"templates": []}))
+    assert unseeded >= 0.9 * whole and untold < 0.5 * whole
 
 
 def test_miner_masks_variables():
@@ -134,12 +159,20 @@ def test_miner_masks_variables():
     for i in range(5):
         miner.add(R.tokens(f"Error {i}: reference ab{i} of mike"))
     miner.add(R.tokens("Error 7: reference cd9 of anna"))
-    assert [(t[0], t[1]) for t in miner.templates()] == [(("error", "<*>", "reference", "<*>", "of", "<*>"), 6)]
+    assert [(t[0], t[1]) for t in miner.templates()] == [(("error", "<*>", ":", "reference", "<*>", "of", "<*>"), 6)]
+
+
+def test_names_in_front_are_found_from_the_end():
+    lines = [f"{n} needs a modern wheel with oil." for n in ("Sitath", "Radirk", "Tukas")]
+    back = R.TemplateMiner()
+    for x in lines:
+        back.add(R.tokens(x)[::-1])
+    assert [(t[0][-1], t[1]) for t in back.templates()] == [("<*>", 3)]
 
 
 def test_empty_table(spark):
-    got, df, verdicts = found(spark, [])
-    assert got == set() and R.main_bodies(df, verdicts).count() == 0
+    got, df = found(spark, [])
+    assert got == set() and R.main_bodies(df).count() == 0
 
 
 def test_long_lines_and_long_pages_count_whole(spark):
@@ -150,7 +183,7 @@ def test_long_lines_and_long_pages_count_whole(spark):
     assert found(spark, rows)[0] == set(range(6))
     line = "Our wheel, it is being oiled."
     filled = [f"Line {i} of the page, {'abcdefg'[i % 7]} tells of the mill and the lake." for i in range(45)]
-    rows = [row(None, line, f"site{i}") for i in range(3)] + [row(None, "\n\n".join([line, *filled]), f"site{i}") for i in range(9)]
+    rows = [row(None, line, f"site{i}") for i in range(3)] + [row(None, "\n\n".join([f"# Page {i}", line, *filled[i:]]), f"site{i}") for i in range(9)]
     assert found(spark, rows)[0] == set()
 
 
