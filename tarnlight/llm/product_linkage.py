@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tarnlight.llm.canonical_values import SHARD, Resolver, fold, variants
+from tarnlight.llm.canonical_values import Resolver, fold, variants
 from tarnlight.operators import quantities
-from tarnlight.runtime import durable, unambiguous
+from tarnlight.runtime import durable, spread, unambiguous
 
 QUANTITIES = ("mass", "volume", "length", "power")
 FIELDS = ("brand", "colour", *QUANTITIES)
@@ -33,8 +33,10 @@ CODED = ("code", "near", "series")
 START = {"code": (0.95, 0.01), "near": (0.9, 0.05)}
 #: Amounts agree within the sum of their roundings and this share of the larger.
 TOLERANCE = 0.005
-#: Listings with a code that teach the weights (a sample by hash of the id where there are more).
-TAUGHT = 200_000
+#: Names and aliases of the brand list, which is sent to the tasks.
+MAX_NAMES = 500_000
+#: Listings of a class that one task of pairs_of meets on either side.
+MEMBERS = 2_000
 
 # Colour words of the listings' languages.
 COLOURS = {
@@ -167,8 +169,9 @@ def attributes(products: DataFrame, brands: DataFrame | None = None) -> DataFram
     """One row per listing, of its latest sighting: listing_id, code, series, brand, colour, mass, volume, length, power
     and half of the last place of each amount (mass_step, ...).
 
-    brands (brand_id, canonical_brand, aliases) is used where it has at most SHARD names, else the
-    folded brand stands for itself. NULL fields and texts without an attribute give NULL attributes.
+    brands (brand_id, canonical_brand, aliases) is a reference list of at most MAX_NAMES names, else an
+    error; without it the folded brand stands for itself. NULL fields and texts without an attribute
+    give NULL attributes.
     """
     entries: list[tuple[int, str]] = []
     if brands is not None:
@@ -176,12 +179,15 @@ def attributes(products: DataFrame, brands: DataFrame | None = None) -> DataFram
             F.col("brand_id").cast("long").alias("id"),
             F.explode(F.array_compact(F.concat(F.array("canonical_brand"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("name"),
         ).dropna()
-        rows = names.limit(SHARD + 1).collect()
-        entries = [(r.id, r.name) for r in rows] if len(rows) <= SHARD else []
+        rows = names.limit(MAX_NAMES + 1).collect()
+        if len(rows) > MAX_NAMES:
+            raise ValueError("more brand names than MAX_NAMES")
+        entries = [(r.id, r.name) for r in rows]
+    shared = products.sparkSession.sparkContext.broadcast(entries)
     fields = [("listing_id", pa.int64()), ("seen_at", pa.timestamp("us")), ("code", pa.string()), ("series", pa.string()), ("brand", pa.string()), ("colour", pa.string()), *((c, pa.float64()) for q in QUANTITIES for c in (q, f"{q}_step"))]
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Brands(entries)
+        known = Brands(shared.value)
         for batch in batches:
             out = []
             for lid, at, title, description, brand, keys, values in zip(*(c.to_pylist() for c in batch.columns)):
@@ -198,31 +204,29 @@ def attributes(products: DataFrame, brands: DataFrame | None = None) -> DataFram
         F.col("listing_id").cast("long"), F.col("seen_at").cast("timestamp_ntz"), "title", "description", "brand",
         F.map_keys("specifications").alias("k"), F.map_values("specifications").alias("v"),
     )
-    parsed = raw.mapInArrow(parse, "listing_id bigint, seen_at timestamp_ntz, code string, series string, brand string, colour string, " + ", ".join(f"{q} double, {q}_step double" for q in QUANTITIES))
+    parsed = spread(raw).mapInArrow(parse, "listing_id bigint, seen_at timestamp_ntz, code string, series string, brand string, colour string, " + ", ".join(f"{q} double, {q}_step double" for q in QUANTITIES))
     names = [n for n, _ in fields[2:]]
     latest = parsed.groupBy("listing_id").agg(F.max(F.struct("seen_at", *names)).alias("m"))
     return latest.select("listing_id", *[F.col(f"m.{n}").alias(n) for n in names])
 
 
-def _level(field: str, a: str, b: str) -> Column:
-    """1 agree, 0 differ, NULL where a side is missing."""
-    x, y = F.col(f"{a}.{field}"), F.col(f"{b}.{field}")
-    if field in QUANTITIES:
-        same = F.abs(x - y) <= F.col(f"{a}.{field}_step") + F.col(f"{b}.{field}_step") + TOLERANCE * F.greatest(x, y)
-    else:
-        same = x == y
-    return F.when(same, 1).when(x.isNotNull() & y.isNotNull(), 0)
+def _level(field: str, a: str, b: str) -> str:
+    """SQL of a level: 1 agree, 0 differ, NULL where a side is missing."""
+    x, y = f"{a}.{field}", f"{b}.{field}"
+    same = f"abs({x} - {y}) <= {a}.{field}_step + {b}.{field}_step + {TOLERANCE!r}D * greatest({x}, {y})" if field in QUANTITIES else f"{x} = {y}"
+    return f"case when {same} then 1 when {x} is not null and {y} is not null then 0 end"
 
 
 def patterns(pairs: DataFrame, a: str = "n", b: str = "k") -> DataFrame:
-    return pairs.withColumns({f"is_{f}": _level(f, a, b) for f in FIELDS})
+    return pairs.withColumns({f"is_{f}": F.expr(_level(f, a, b)) for f in FIELDS})
 
 
 def coded_patterns(pairs: DataFrame, a: str = "n", b: str = "k") -> DataFrame:
-    x, y = F.col(f"{a}.code"), F.col(f"{b}.code")
-    swapped = (F.levenshtein(x, y, 2) == 2) & (F.sort_array(F.split(x, "")) == F.sort_array(F.split(y, "")))
-    near = F.when(x != y, ((F.levenshtein(x, y, 1) == 1) | swapped).cast("int"))
-    return patterns(pairs, a, b).withColumns({"is_code": _level("code", a, b), "is_near": near, "is_series": _level("series", a, b)})
+    x, y = f"{a}.code", f"{b}.code"
+    swapped = f"(levenshtein({x}, {y}, 2) = 2 and sort_array(split({x}, '')) = sort_array(split({y}, '')))"
+    near = f"case when {x} <> {y} then cast(levenshtein({x}, {y}, 1) = 1 or {swapped} as int) end"
+    levels = {f: _level(f, a, b) for f in (*FIELDS, "code", "series")} | {"near": near}
+    return pairs.withColumns({f"is_{f}": F.expr(x) for f, x in levels.items()})
 
 
 def fit_weights(pairs: DataFrame, rounds: int = 100, fields: tuple = FIELDS, given: dict | None = None) -> dict:
@@ -230,13 +234,13 @@ def fit_weights(pairs: DataFrame, rounds: int = 100, fields: tuple = FIELDS, giv
 
     given: weights of further fields, which stay as they are.
 
-    pairs carry is_<field> levels and known: true or false where equal or different codes tell, else
+    pairs carry is_<field> levels, times (how many pairs a row stands for) and known: true or false where equal or different codes tell, else
     NULL. Known pairs keep their side; the others get posteriors in each round. The driver gets the
     counts of the patterns, at most 3 to the power of the number of fields, times 3. Missing levels
     say nothing. Without pairs the starting values stay.
     """
     held = {f: w for f, w in (given or {}).items() if f != "prior"}
-    rows = pairs.groupBy("known", *[f"is_{f}" for f in (*held, *fields)]).count().collect()
+    rows = pairs.groupBy("known", *[f"is_{f}" for f in (*held, *fields)]).agg(F.sum("times").alias("count")).collect()
     m = {f: START.get(f, (0.95, 0.2))[0] for f in fields}
     u = {f: START.get(f, (0.95, 0.2))[1] for f in fields}
     prior = 0.5
@@ -273,18 +277,20 @@ def _weight(m: float, u: float, level: int | None) -> float:
 
 def score(pairs: DataFrame, weights: dict) -> DataFrame:
     """pairs with w, the log odds of a match."""
-    w = F.lit(math.log(weights["prior"] / (1 - weights["prior"])))
+    terms = [f"{math.log(weights['prior'] / (1 - weights['prior']))!r}D"]
     for f, (m, u) in ((f, x) for f, x in weights.items() if f != "prior"):
-        w = w + F.when(F.col(f"is_{f}") == 1, math.log(m / u)).when(F.col(f"is_{f}") == 0, math.log((1 - m) / (1 - u))).otherwise(0.0)
-    return pairs.withColumn("w", w)
+        terms.append(f"case is_{f} when 1 then {math.log(m / u)!r}D when 0 then {math.log((1 - m) / (1 - u))!r}D else 0.0D end")
+    return pairs.withColumn("w", F.expr(" + ".join(terms)))
 
 
-def _class_profile(rows: DataFrame, by: str) -> DataFrame:
-    """Representative of each class: the most frequent brand, colour and series, and the finest amounts (bounded buffers)."""
-    return rows.groupBy(by).agg(
-        F.count("*").alias("n"), F.min("listing_id").alias("first_id"), *[F.mode(c).alias(c) for c in ("series", "brand", "colour")],
-        *[F.min_by(q, F.when(F.col(q).isNotNull(), F.struct(f"{q}_step", q))).alias(q) for q in QUANTITIES], *[F.min(f"{q}_step").alias(f"{q}_step") for q in QUANTITIES],
-    )
+def _class_profile(rows: DataFrame, by: str, *shared: str) -> DataFrame:
+    """Representative of each class: the most frequent brand, colour and series, and the finest amounts (bounded buffers).
+
+    shared: columns that have one value in a class.
+    """
+    texts = [f"mode({c}) as {c}" for c in ("series", "brand", "colour")] + [f"min({c}) as {c}" for c in shared]
+    amounts = [f"min_by({q}, case when {q} is not null then struct({q}_step, {q}) end) as {q}" for q in QUANTITIES] + [f"min({q}_step) as {q}_step" for q in QUANTITIES]
+    return rows.groupBy(by).agg(*map(F.expr, ("count(*) as n", "min(listing_id) as first_id", *texts, *amounts)))
 
 
 def cluster(listings: DataFrame, threshold: float = 0.5, margin: float = 1.0) -> DataFrame:
@@ -292,105 +298,136 @@ def cluster(listings: DataFrame, threshold: float = 0.5, margin: float = 1.0) ->
 
     Listings with neither code nor series are classes of their own: nothing tells their product.
     """
-    # 1. Weights. Pairs of equal and different codes are known; listings without code, as nodes of equal profile,
-    #    against the listings of a code in their series add what is not.
-    coded = durable(listings.filter("code is not null").withColumn("node", _profile_key("code")))
-    loose = durable(listings.filter("code is null and series is not null").withColumn("node", _profile_key()))
-    nodes = durable(_class_profile(loose, "node"))
-    heads = durable(_class_profile(coded, "code").withColumn("class_id", F.col("code")))
-    n_coded = coded.count()
-    taught = coded.drop("node").withColumn("class_id", F.col("code")).filter(f"series is not null and pmod(xxhash64(listing_id), {TAUGHT}) < {TAUGHT} * least(1.0, {TAUGHT} / greatest(1, {n_coded}))")
-    told = _candidates(taught, heads).withColumn("known", F.col("n.class_id") == F.col("k.class_id"))
-    levels = ["known", *[f"is_{f}" for f in FIELDS]]
-    weights = fit_weights(told.select(*levels).unionByName(_candidates(nodes, heads).withColumn("known", F.lit(None).cast("boolean")).select(*levels)))
-
-    # 2. Listings with code against the classes of their code and of their series and brand, then those without.
-    coded_members = durable(_coded(coded, heads, weights, threshold, margin))
-    classes = durable(_class_profile(coded_members, "class_id"))
-    placed = durable(_best(score(_candidates(nodes, classes), weights), threshold, margin))
+    # 1. Weights. Pairs of equal and different codes are known; nodes without code against the listings of a code in
+    #    their series add what is not. Nodes are listings of equal profile.
+    keyed = durable(listings.withColumn("node", F.when(F.col("code").isNotNull(), _profile_key("code")).when(F.col("series").isNotNull(), _profile_key())))
+    nodes = durable(_class_profile(keyed.filter("node is not null"), "node", "code"))
+    coded, loose = nodes.filter("code is not null"), nodes.filter("code is null")
+    heads = durable(_class_profile(keyed.filter("code is not null"), "code").withColumn("class_id", F.col("code")))
+    told = _candidates(coded.filter("series is not null"), heads).withColumn("known", F.col("n.code") == F.col("k.class_id")).withColumn("times", F.col("n.n"))
+    untold = _candidates(loose, heads).withColumn("known", F.lit(None).cast("boolean")).withColumn("times", F.lit(1).cast("long"))
+    levels = ["known", "times", *[f"is_{f}" for f in FIELDS]]
+    weights = fit_weights(told.select(*levels).unionByName(untold.select(*levels)))
+
+    # 2. Nodes with code against the classes of their code and of their series and brand, then those without.
+    coded_members = durable(_coded(keyed, coded, heads, weights, threshold, margin))
+    classes = durable(_class_profile(keyed.join(coded_members, "node"), "class_id"))
+    placed = durable(_best(score(_candidates(loose, classes), weights), threshold, margin))
 
     # 3. What no coded class takes: leaders per (series, brand, colour) until no node is left, then incomplete nodes
     #    against those, then the incomplete ones that fit no class against leaders of their own.
-    rest = durable(nodes.join(placed, "node", "left_anti"))
-    full = rest.filter("brand is not null and colour is not null")
-    made: list[DataFrame] = []
     size = sum(F.col(q).isNotNull().cast("int") for q in QUANTITIES)
-    lead_order = W.partitionBy("series", "brand", "colour").orderBy(F.desc(size), F.desc("n"), F.col("node"))
-    while not full.isEmpty():
-        lead = full.withColumn("_r", F.row_number().over(lead_order)).filter("_r = 1").drop("_r")
-        same = [F.col(f"n.{c}") == F.col(f"k.{c}") for c in ("series", "brand", "colour")]
-        compared = score(patterns(full.alias("n").join(lead.alias("k"), same), "n", "k"), weights)
-        links = (F.col("w") >= threshold) | (F.col("n.node") == F.col("k.node"))
-        tried = durable(compared.select(F.when(links, F.concat(F.lit("s:"), F.col("k.node"))).alias("class_id"), *[F.col(f"n.{c}").alias(c) for c in full.columns]))
-        made.append(tried.filter("class_id is not null").select("node", "class_id"))
-        full = tried.filter("class_id is null").drop("class_id")
-    own = placed.limit(0)
-    for part in made:
-        own = own.unionByName(part)
+    rest = durable(loose.join(placed, "node", "left_anti"))
+    full = rest.filter("brand is not null and colour is not null").withColumn("block", F.concat_ws("\x1f", "series", "brand", "colour"))
+    near = _leaders(full, [-size, -F.col("n"), F.col("node")], threshold, weights, "s:").filter(F.col("w") >= threshold)
+    own = durable(near.groupBy(F.col("n.node").alias("node")).agg(F.max_by("k.class_id", F.struct("w", "k.n", "k.class_id")).alias("class_id")))
     partial = rest.filter("brand is null or colour is null")
-    lesser = _class_profile(loose.join(own, "node"), "class_id")
-    scored = durable(score(_candidates(partial, classes.unionByName(lesser)), weights))
-    late = durable(_best(scored, threshold, margin))
+    lesser = _class_profile(keyed.join(own, "node"), "class_id")
+    scored = durable(score(_candidates(partial, classes.unionByName(lesser)), weights).select(F.struct(F.col("n.node").alias("node")).alias("n"), "k", "w"))
+    late = _best(scored, threshold, margin)
     # Nodes that fit several classes stay alone: which product they are is open, so they say nothing of each other.
     fits = scored.filter(F.col("w") >= threshold).select(F.col("n.node").alias("node")).distinct()
-    unfit = durable(partial.join(fits, "node", "left_anti"))
-    leaders = durable(_leaders(unfit, "series", [F.desc(size + F.col("brand").isNotNull().cast("int") + F.col("colour").isNotNull().cast("int")), F.desc("n"), F.col("node")], threshold, weights).withColumn("class_id", F.concat(F.lit("s:"), F.col("node"))))
-    followers = unfit.join(leaders.select("node"), "node", "left_anti")
-    follow = durable(_best(score(_candidates(followers, leaders), weights), threshold, margin))
+    unfit = partial.join(fits, "node", "left_anti").withColumn("block", F.col("series"))
+    told_size = size + F.col("brand").isNotNull().cast("int") + F.col("colour").isNotNull().cast("int")
+    among = _leaders(unfit, [-told_size, -F.col("n"), F.col("node")], threshold, weights, "s:")
+    follow = durable(_best(among.filter("coalesce(is_brand, 1) = 1"), threshold, margin))
     alone = partial.join(late.unionByName(follow), "node", "left_anti").select("node", F.concat(F.lit("s:"), F.col("node")).alias("class_id"))
-    membership = placed.unionByName(own).unionByName(late).unionByName(follow).unionByName(alone)
-
-    single = listings.filter("code is null and series is null").select("listing_id", F.concat(F.lit("l:"), F.col("listing_id")).alias("class_id"))
-    return (
-        coded_members.select("listing_id", "class_id")
-        .unionByName(loose.join(membership, "node").select("listing_id", "class_id"))
-        .unionByName(single)
-    )
+    membership = coded_members.unionByName(placed).unionByName(own).unionByName(late).unionByName(follow).unionByName(alone)
+    single = keyed.filter("node is null").select("listing_id", F.concat(F.lit("l:"), F.col("listing_id")).alias("class_id"))
+    return keyed.join(membership, "node").select("listing_id", "class_id").unionByName(single)
 
 
 def _profile_key(*first: str) -> Column:
     """One text for each equal profile."""
-    return F.concat_ws("|", *[F.coalesce(F.col(c), F.lit("?")) for c in (*first, "series", "brand", "colour")], *[F.coalesce(F.concat(F.round(q, 1).cast("string"), F.lit("~"), F.round(f"{q}_step", 1).cast("string")), F.lit("?")) for q in QUANTITIES])
+    texts = [f"coalesce({c}, '?')" for c in (*first, "series", "brand", "colour")]
+    amounts = [f"coalesce(concat(cast(round({q}, 1) as string), '~', cast(round({q}_step, 1) as string)), '?')" for q in QUANTITIES]
+    return F.expr(f"concat_ws('|', {', '.join(texts + amounts)})")
 
 
-def _leaders(nodes: DataFrame, block: str, order: list, threshold: float, weights: dict, levels=patterns) -> DataFrame:
-    """Nodes that stand for a class each: in every round the first of each block that no earlier one takes, until none is left."""
-    found = nodes.limit(0)
-    rest = nodes
-    while not rest.isEmpty():
-        lead = durable(rest.withColumn("_r", F.row_number().over(W.partitionBy(block).orderBy(*order))).filter("_r = 1").drop("_r"))
-        found = found.unionByName(lead)
-        compared = score(levels(rest.alias("n").join(lead.alias("k"), F.col(f"n.{block}") == F.col(f"k.{block}")), "n", "k"), weights)
-        rest = durable(compared.filter((F.col("w") < threshold) & (F.col("n.node") != F.col("k.node"))).select("n.*"))
-    return found
+def _leaders(nodes: DataFrame, order: list, threshold: float, weights: dict, prefix: str) -> DataFrame:
+    """(n.node, k.class_id, k.n, is_brand, w) of the nodes with the leaders of their blocks; a leader has itself with infinite w.
 
+    Leaders stand for a class each: walking a block in the given (ascending) order, they are the nodes
+    that no earlier leader takes. class_id is the leader's node behind the prefix.
 
-def _coded(coded: DataFrame, heads: DataFrame, weights: dict, threshold: float, margin: float) -> DataFrame:
-    """coded with the class_id of each listing.
+    Every task first walks its own rows, so that only its leaders are shuffled to the task of their
+    block, which holds the leaders found so far and streams the rest. A node that its task's leader
+    took but no leader of the block does goes through another round, until none is left.
+    """
+    names = ["node", "block", *FIELDS, *[f"{q}_step" for q in QUANTITIES], *[c for c in ("code", "series") if c not in FIELDS]]
+    ranked = nodes.withColumns({f"_o{i}": c for i, c in enumerate(order)})
+    columns = [*names, *[c for c in ranked.columns if c.startswith("_o")]]
+    schema = ranked.select(*columns).schema
+    at = {c: i for i, c in enumerate(columns)}
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, leaders = None, []
+        for batch in batches:
+            keep = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[at["block"]] != block:
+                    block, leaders = row[at["block"]], []
+                taken = any(log_odds(weights, row, other, at) >= threshold for other in leaders)
+                keep.append(not taken)
+                if not taken:
+                    leaders.append(row)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    found, rest = None, ranked
+    while True:
+        local = rest.select(*columns).sortWithinPartitions("block", *[c for c in columns if c.startswith("_o")]).mapInArrow(walk, schema)
+        lead = durable(local.repartition("block").sortWithinPartitions("block", *[c for c in columns if c.startswith("_o")]).mapInArrow(walk, schema).select("node"))
+        known = ranked.join(lead, "node", "left_semi")
+        compared = score(coded_patterns(ranked.alias("n").join(known.alias("k"), F.col("n.block") == F.col("k.block"))), weights)
+        w = F.when(F.col("n.node") == F.col("k.node"), F.lit(math.inf)).otherwise(F.col("w"))
+        head = F.struct(F.concat(F.lit(prefix), F.col("k.node")).alias("class_id"), F.col("k.n").alias("n")).alias("k")
+        links = durable(compared.select(F.struct(F.col("n.node").alias("node")).alias("n"), head, "is_brand", w.alias("w")))
+        found = links if found is None else found.unionByName(links)
+        rest = rest.join(links.filter(F.col("w") >= threshold).select("n.node"), "node", "left_anti")
+        if rest.isEmpty():
+            return found
+        rest = durable(rest)
+
+
+def log_odds(weights: dict, a: tuple, b: tuple, at: dict[str, int]) -> float:
+    """The log odds that two nodes of a block are one product, as score gives them; at tells the places of the fields."""
+    w = math.log(weights["prior"] / (1 - weights["prior"]))
+    for f, (m, u) in ((f, x) for f, x in weights.items() if f != "prior"):
+        if f == "near":  # codes are equal within a block
+            continue
+        x, y = a[at[f]], b[at[f]]
+        if x is None or y is None:
+            level = None
+        elif f in QUANTITIES:
+            level = int(abs(x - y) <= a[at[f"{f}_step"]] + b[at[f"{f}_step"]] + TOLERANCE * max(x, y))
+        else:
+            level = int(x == y)
+        w += _weight(m, u, level)
+    return w
+
+
+def _coded(keyed: DataFrame, nodes: DataFrame, heads: DataFrame, weights: dict, threshold: float, margin: float) -> DataFrame:
+    """(node, class_id) of the nodes with a code.
 
     Nodes of a code are linked with the leaders of the code. A class then joins a larger one of another code
     in its series, brand and colour where an amount agrees, nothing differs and the weights, that of the code
     among them, say so: its code is mistyped or misread.
     """
-    pair = [F.struct(F.col("n.node").alias("node")).alias("n"), F.struct(F.col("k.class_id").alias("class_id")).alias("k"), *[f"is_{f}" for f in (*FIELDS, *CODED)]]
-    nodes = durable(_class_profile(coded, "node").join(coded.select("node", "code").distinct(), "node"))
+    pair = ["struct(n.node) as n", "struct(k.class_id) as k", *[f"is_{f}" for f in (*FIELDS, *CODED)]]
     same_code = F.col("n.code") == F.col("k.code")
     same_line = (F.col("n.series") == F.col("k.series")) & (F.col("n.brand") == F.col("k.brand"))
-    fitted = [coded_patterns(nodes.alias("n").join(heads.alias("k"), on)).select(*pair) for on in (same_code, same_line & (F.col("n.code") != F.col("k.code")))]
-    weights = fit_weights(fitted[0].unionByName(fitted[1]).withColumn("known", F.lit(None).cast("boolean")), fields=CODED, given=weights)
+    fitted = [coded_patterns(nodes.alias("n").join(heads.alias("k"), on)).selectExpr(*pair) for on in (same_code, same_line & (F.col("n.code") != F.col("k.code")))]
+    weights = fit_weights(fitted[0].unionByName(fitted[1]).withColumn("known", F.lit(None).cast("boolean")).withColumn("times", F.lit(1)), fields=CODED, given=weights)
 
     size = sum(F.col(q).isNotNull().cast("int") for q in ("series", "brand", "colour", *QUANTITIES))
-    leaders = durable(_leaders(nodes, "code", [F.desc(F.col("series").isNotNull()), F.desc("n"), F.desc(size), F.col("node")], threshold, weights, coded_patterns).withColumn("class_id", F.concat(F.lit("c:"), F.col("node"))))
-    own = leaders.select("node", "class_id")
-    others = nodes.join(own, "node", "left_anti")
-    near = _best(score(coded_patterns(others.alias("n").join(leaders.alias("k"), same_code)).select(*pair), weights), threshold, margin)
-    head = own.unionByName(near)
-    alone = others.join(near, "node", "left_anti").select("node", F.concat(F.lit("c:"), F.col("node")).alias("class_id"))
-    members = durable(coded.join(durable(head.unionByName(alone)), "node").drop("node"))
-
-    classes = durable(_class_profile(members, "class_id").join(members.select("class_id", "code").distinct(), "class_id"))
+    order = [F.col("series").isNull(), -F.col("n"), -size, F.col("node")]
+    near = _leaders(nodes.withColumn("block", F.col("code")), order, threshold, weights, "c:")
+    reached = _best(near, threshold, margin)
+    members = durable(nodes.select("node").join(reached, "node", "left").withColumn("class_id", F.coalesce("class_id", F.concat(F.lit("c:"), F.col("node")))))
+
+    classes = durable(_class_profile(keyed.join(members, "node"), "class_id", "code"))
     larger = (F.col("k.n") > F.col("n.n")) | ((F.col("k.n") == F.col("n.n")) & (F.col("k.class_id") < F.col("n.class_id")))
-    across = coded_patterns(classes.withColumn("node", F.col("class_id")).alias("n").join(classes.alias("k"), same_line & (F.col("n.colour") == F.col("k.colour")) & (F.col("n.code") != F.col("k.code")) & larger)).select(*pair)
+    across = coded_patterns(classes.withColumn("node", F.col("class_id")).alias("n").join(classes.alias("k"), same_line & (F.col("n.colour") == F.col("k.colour")) & (F.col("n.code") != F.col("k.code")) & larger)).selectExpr(*pair)
     sized = sum(F.coalesce(F.col(f"is_{q}"), F.lit(0)) for q in QUANTITIES) >= 1
     clean = sum(F.coalesce(1 - F.col(f"is_{f}"), F.lit(0)) for f in FIELDS) == 0
     links = durable(_best(score(across.filter(sized & clean), weights), threshold, margin).select(F.col("node").alias("class_id"), F.col("class_id").alias("to")))
@@ -400,7 +437,7 @@ def _coded(coded: DataFrame, heads: DataFrame, weights: dict, threshold: float,
         if links.join(further, "to", "left_semi").isEmpty():
             break
         links = durable(links.join(further, "to", "left").select("class_id", F.coalesce("_next", "to").alias("to")))
-    return members.join(links, "class_id", "left").withColumn("class_id", F.coalesce("to", "class_id")).drop("to")
+    return members.join(links, "class_id", "left").select("node", F.coalesce("to", "class_id").alias("class_id"))
 
 
 def _candidates(nodes: DataFrame, classes: DataFrame) -> DataFrame:
@@ -410,21 +447,25 @@ def _candidates(nodes: DataFrame, classes: DataFrame) -> DataFrame:
     """
     levels = [f"is_{f}" for f in FIELDS]
     known_n, known_k = nodes.filter("brand is not null"), classes.filter("brand is not null")
-    same_series = F.col("n.series") == F.col("k.series")
+    names = [f"n.{c}" for c in ("node", "code", "n") if c in nodes.columns]
     parts = [
-        known_n.alias("n").join(known_k.alias("k"), same_series & (F.col("n.brand") == F.col("k.brand"))),
-        known_n.alias("n").join(classes.filter("brand is null").alias("k"), same_series),
-        nodes.filter("brand is null").alias("n").join(classes.alias("k"), same_series),
+        known_n.alias("n").join(known_k.alias("k"), F.expr("n.series = k.series and n.brand = k.brand")),
+        known_n.alias("n").join(classes.filter("brand is null").alias("k"), F.expr("n.series = k.series")),
+        nodes.filter("brand is null").alias("n").join(classes.alias("k"), F.expr("n.series = k.series")),
     ]
-    name = "node" if "node" in nodes.columns else "class_id"
-    kept = [patterns(p, "n", "k").select(F.struct(F.col(f"n.{name}").alias(name)).alias("n"), F.struct(F.col("k.class_id").alias("class_id")).alias("k"), *levels) for p in parts]
+    kept = [patterns(p).selectExpr(f"struct({', '.join(names)}) as n", "struct(k.class_id) as k", *levels) for p in parts]
     return kept[0].unionByName(kept[1]).unionByName(kept[2])
 
 
 def _best(scored: DataFrame, threshold: float, margin: float) -> DataFrame:
-    """(node, class_id) where the best class is above the threshold and ahead of the second by the margin."""
-    top = scored.groupBy(F.col("n.node").alias("node")).agg(F.max_by(F.col("k.class_id"), F.col("w")).alias("class_id"), F.max("w").alias("w"), F.sort_array(F.collect_list("w"), asc=False).alias("all"))
-    ahead = F.coalesce(F.get("all", F.lit(1)) <= F.col("w") - margin, F.lit(True))
+    """(node, class_id) where the best class is above the threshold and ahead of the second by the margin.
+
+    Only the best two classes of a node are kept, before and after the shuffle.
+    """
+    ranked = scored.select(F.col("n.node").alias("node"), F.col("k.class_id").alias("class_id"), "w")
+    two = ranked.withColumn("_r", F.row_number().over(W.partitionBy("node").orderBy(F.desc("w"), "class_id"))).filter("_r <= 2")
+    top = two.groupBy("node").agg(F.max(F.when(F.col("_r") == 1, F.col("class_id"))).alias("class_id"), F.max("w").alias("w"), F.min(F.when(F.col("_r") == 2, F.col("w"))).alias("second"))
+    ahead = F.coalesce(F.col("second") <= F.col("w") - margin, F.lit(True))
     return top.filter((F.col("w") >= threshold) & ahead).select("node", "class_id")
 
 
@@ -434,8 +475,14 @@ def same_products(products: DataFrame, brands: DataFrame | None = None) -> DataF
 
 
 def pairs_of(classes: DataFrame) -> DataFrame:
-    """All pairs of different listings of a class, smaller id first."""
-    a, b = classes.alias("a"), classes.alias("b")
-    return a.join(b, F.col("a.class_id") == F.col("b.class_id")).filter(F.col("a.listing_id") < F.col("b.listing_id")).select(
-        F.col("a.listing_id").alias("listing_id_a"), F.col("b.listing_id").alias("listing_id_b")
-    )
+    """All pairs of different listings of a class, smaller id first.
+
+    A class of more than MEMBERS listings is cut into parts by a hash of the id: every part meets a copy
+    of the class in a task of its own.
+    """
+    parts = classes.groupBy("class_id").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("_parts")).filter("_parts > 1")
+    sized = classes.join(parts, "class_id", "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+    a = sized.withColumn("_part", F.pmod(F.xxhash64("listing_id"), F.col("_parts")).cast("int")).alias("a")
+    b = sized.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).alias("b")
+    same = (F.col("a.class_id") == F.col("b.class_id")) & (F.col("a._part") == F.col("b._part"))
+    return a.join(b, same).filter(F.col("a.listing_id") < F.col("b.listing_id")).select(F.col("a.listing_id").alias("listing_id_a"), F.col("b.listing_id").alias("listing_id_b"))

@@ -1,6 +1,8 @@
 import datetime as dt
 import random
 
+from pyspark.sql import functions as F
+
 from tarnlight.llm import product_linkage as P
 
 T = dt.datetime(2025, 1, 1)
@@ -89,7 +91,7 @@ def test_weights_learn_from_known_and_unknown_pairs(spark):
         match = i % 3 == 0
         level = lambda m, u: None if rng.random() < 0.3 else int(rng.random() < (m if match else u))
         rows.append((match if i % 10 == 0 else None, level(0.98, 0.8), level(0.97, 0.1), level(0.95, 0.3), level(0.95, 0.3), level(0.95, 0.3), level(0.95, 0.3)))
-    w = P.fit_weights(spark.createDataFrame(rows, "known boolean, " + ", ".join(f"is_{f} int" for f in P.FIELDS)))
+    w = P.fit_weights(spark.createDataFrame(rows, "known boolean, " + ", ".join(f"is_{f} int" for f in P.FIELDS)).withColumn("times", F.lit(1)))
     assert abs(w["prior"] - 1 / 3) < 0.05 and abs(w["colour"][0] - 0.97) < 0.03 and abs(w["colour"][1] - 0.1) < 0.04 and abs(w["mass"][1] - 0.3) < 0.06
 
 
@@ -113,3 +115,19 @@ def test_every_product_of_a_block_and_incomplete_listings_among_themselves(spark
     rows = [row(2 * i + k, "Lotinul 31 kettle red", specs={"Weight": f"{1000 * (i + 1)} g" if k == 0 else f"{i + 1} kg", "Power": f"{100 * (i + 1)} W"}) for i in range(8) for k in range(2)]
     rows += [row(100, "Fogalol 7 pan", specs={"Weight": "4.95 kg", "Power": "900 W"}), row(101, "pan Fogalol 7", specs={"Weight": "174.6 oz", "Power": "900 W"})]
     assert groups(spark, rows) == [*([2 * i, 2 * i + 1] for i in range(8)), [100, 101]]
+
+
+def test_hot_class_in_parts(spark, monkeypatch):
+    classes = spark.createDataFrame([(i, "a" if i < 40 else f"c{i // 3}") for i in range(60)], "listing_id long, class_id string")
+    whole = sorted(map(tuple, P.pairs_of(classes).collect()))
+    monkeypatch.setattr(P, "MEMBERS", 7)
+    assert sorted(map(tuple, P.pairs_of(classes).collect())) == whole and len(whole) == len(set(whole)) == 40 * 39 // 2 + 19
+
+
+def test_long_brand_lists_give_the_same(spark):
+    rows = [row(1, "Lotinul 31 kettle AB1234C red"), row(2, "Lotinul 31 red kettle by Zorro", brand=None), row(3, "red Lotinul 31", brand="ACME Inc.")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    more = [(100 + i, f"Wabe{i:05d}x", [], None) for i in range(21_000)]
+    refs = [spark.createDataFrame(b, "brand_id long, canonical_brand string, aliases array<string>, home_market string") for b in (BRANDS, BRANDS + more)]
+    got = [sorted(map(tuple, P.attributes(df, r).select("listing_id", "brand").collect())) for r in refs]
+    assert got[0] == got[1] == [(1, "1"), (2, "1"), (3, "1")]
