@@ -1,10 +1,12 @@
 """Passages of evaluation items in a training corpus.
 
-The n-grams of all items, normalised and without their middle word, form a hash set that goes to
-the tasks; every document's windows are looked up in it, so that a changed word hides none. A hit is verified by aligning the item with the document: matched runs
-are extended over single changed words, chained in the order of the item, and the share of the
-item's words that the chain covers decides. N-grams that several items have in common extend runs
-but never start one.
+The n-grams of all items, normalised and without their middle word, form a hash set that is
+broadcast; every document's windows are looked up in it, so that a changed word hides none. A hit is
+verified by aligning the item with the document: matched runs are extended over single changed
+words, chained in the order of the item, and the share of the item's words that the chain covers
+decides. N-grams that several items have in common extend runs but never start one; which ones are
+shared is counted over all items. A test set too large for one broadcast is cut into blocks, each
+with a broadcast and a scan of its own, of which all give the rows that a single one would.
 """
 
 from __future__ import annotations
@@ -17,14 +19,15 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.runtime import unambiguous
+from tarnlight.runtime import spread, unambiguous
 
 #: Words of an n-gram; the middle one may be any word.
 N = 5
-#: N-grams that one broadcast block of items may hold; further items are scanned in further blocks.
+#: N-grams that one broadcast block of items holds, about; further items are scanned in further blocks.
 MAX_NGRAMS = 2_000_000
 
 _TAG = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]{0,300}>", re.S)
@@ -90,17 +93,24 @@ def _gapped(ws: list[str], k: int) -> tuple[str, str, str, str]:
     return ws[k], ws[k + 1], ws[k + 3], ws[k + 4]
 
 
+def _gram_hash(gram: tuple) -> int:
+    return xxhash.xxh64_intdigest("\x1f".join(gram)) - (1 << 63)
+
+
 class Index:
-    """Hash set of the items' n-grams with their places."""
+    """Hash set of the items' n-grams with their places.
+
+    shared: the n-grams that items outside this block have too; None where the block is all there is.
+    """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], shared: frozenset[int] | None = None):
         self.items: dict[int, list[str]] = {i: words(t) for i, t in items}
         self.places: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
         for item, ws in self.items.items():
             for k in range(len(ws) - N + 1):
                 self.places[_gapped(ws, k)].append((item, k))
         self.places = dict(self.places)
-        self.unique = {g for g, at in self.places.items() if len({i for i, _ in at}) == 1}
+        self.unique = {g for g, at in self.places.items() if len({i for i, _ in at}) == 1 and not (shared and _gram_hash(g) in shared)}
         self.vocabulary = {w for ws in self.items.values() for w in ws}
 
     def scan(self, ws: list[str]) -> dict[int, list[tuple[int, int]]]:
@@ -207,48 +217,64 @@ def document_hits(index: Index, text: str | None, share: float) -> list[tuple[in
     return out
 
 
-def item_blocks(items: list[tuple[int, str]]) -> list[list[tuple[int, str]]]:
-    """Items in blocks of at most MAX_NGRAMS n-grams."""
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    for item in items:
-        n = max(0, len(words(item[1])) - N + 1)
-        if size + n > MAX_NGRAMS and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append(item)
-        size += n
-    return blocks
+def item_blocks(items: DataFrame) -> tuple[DataFrame, int]:
+    """(item_id, item_text, block) and the number of blocks of about MAX_NGRAMS n-grams; an item has one block."""
+    size = items.agg(F.sum(F.size(F.split("item_text", r"\s+")))).first()[0] or 0
+    blocks = max(1, -(-size // MAX_NGRAMS))
+    return items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")), int(blocks)
+
+
+def shared_grams(items: DataFrame) -> DataFrame:
+    """(block, gram): hashes of the n-grams that items of several blocks have."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(b, _gram_hash(g)) for t, b in zip(*(c.to_pylist() for c in batch.columns)) if (ws := words(t)) for g in {_gapped(ws, k) for k in range(len(ws) - N + 1)}]
+            columns = list(zip(*found)) if found else [[], []]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64())], names=["block", "gram"])
+
+    each = items.select("item_text", "block").mapInArrow(grams, "block int, gram bigint").distinct()
+    several = each.groupBy("gram").agg(F.count("*").alias("n")).filter("n > 1").select("gram")
+    return each.join(several, "gram", "left_semi")
 
 
 def leaks(documents: DataFrame, items: DataFrame, share: float = 1 / 3) -> DataFrame:
     """Items taken over by documents: doc_id, item_id, share, passages (one row per document and item; a
     passage is first_char and end_char, from 0, in the text).
 
-    documents: doc_id, text; items: item_id, item_text, a stated test set of bounded size that the
-    driver reads and sends out block by block. NULL and empty texts, texts and items under five
-    words, and empty tables give no rows; repeated documents give equal rows.
+    documents: doc_id, text; items: item_id, item_text, a stated test set; the driver holds one block
+    of it at a time. NULL and empty texts, texts and items under five words, and empty tables give no
+    rows; repeated documents give equal rows. Of items with one id the longest text counts.
     """
-    rows = [(r.item_id, r.item_text) for r in unambiguous(items).select(F.col("item_id").cast("long").alias("item_id"), "item_text").dropna().collect()]
-    blocks = item_blocks(rows)
+    spark = documents.sparkSession
+    tests = unambiguous(items).select(F.col("item_id").cast("long").alias("item_id"), "item_text").dropna()
+    tests = tests.groupBy("item_id").agg(F.max_by("item_text", F.struct(F.length("item_text"), "item_text")).alias("item_text"))
+    tests, n = item_blocks(tests)
+    outside = shared_grams(tests) if n > 1 else None
+    texts = spread(unambiguous(documents).select(F.col("doc_id").cast("long"), "text").filter(F.col("text").isNotNull()))
+    found = None
+    for block in range(n):
+        rows = [(r.item_id, r.item_text) for r in tests.filter(F.col("block") == block).select("item_id", "item_text").collect()]
+        shared = frozenset(r.gram for r in outside.filter(F.col("block") == block).select("gram").collect()) if outside is not None else None
+        part = _scan(texts, spark.sparkContext.broadcast((rows, shared)), share)
+        found = part if found is None else found.unionByName(part)
+    return found.dropDuplicates(["doc_id", "item_id"])
+
 
+def _scan(texts: DataFrame, shared, share: float) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        indexes = [Index(b) for b in blocks] if len(blocks) == 1 else None
+        index = Index(*shared.value)
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             out: list[tuple] = []
-            for index in indexes or (Index(b) for b in blocks):
-                for doc, text in zip(ids, texts):
-                    out.extend((doc, *hit) for hit in document_hits(index, text, share))
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out.extend((doc, *hit) for hit in document_hits(index, text, share))
             passage = pa.list_(pa.struct([("first_char", pa.int32()), ("end_char", pa.int32())]))
             columns = list(zip(*out)) if out else [[]] * 4
             columns[3] = [[{"first_char": a, "end_char": e} for a, e in p] for p in columns[3]]
             types = (pa.int64(), pa.int64(), pa.float64(), passage)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "item_id", "share", "passages"])
 
-    texts = unambiguous(documents).select(F.col("doc_id").cast("long"), "text").filter(F.col("text").isNotNull())
-    found = texts.mapInArrow(scan, "doc_id bigint, item_id bigint, share double, passages array<struct<first_char:int,end_char:int>>")
-    return found.dropDuplicates(["doc_id", "item_id"])
+    return texts.mapInArrow(scan, "doc_id bigint, item_id bigint, share double, passages array<struct<first_char:int,end_char:int>>")
 
 
 def remove_spans(documents: DataFrame, found: DataFrame, whole_share: float = 0.5) -> DataFrame:

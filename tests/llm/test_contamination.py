@@ -86,7 +86,17 @@ def test_blocks_of_items_find_the_same(spark, monkeypatch):
     docs = [t for _, t in ITEMS]
     whole = pairs(leaks(spark, docs))
     monkeypatch.setattr(C, "MAX_NGRAMS", 100)
-    assert len(C.item_blocks(ITEMS)) > 3 and pairs(leaks(spark, docs)) == whole == {(i, i) for i in range(8)}
+    frame = spark.createDataFrame(ITEMS, "item_id long, item_text string")
+    assert C.item_blocks(frame)[1] > 3 and pairs(leaks(spark, docs)) == whole == {(i, i) for i in range(8)}
+
+
+def test_wording_shared_over_blocks_starts_nothing(spark, monkeypatch):
+    shared = "every item of this test ends with the very same long sentence that says nothing about its own names"
+    items = [(i, f"{made(4, 300 + i)} {shared}") for i in range(12)]
+    docs = [shared, items[3][1], made(5, 9) + " " + shared]
+    whole = pairs(leaks(spark, docs, items))
+    monkeypatch.setattr(C, "MAX_NGRAMS", 40)
+    assert pairs(leaks(spark, docs, items)) == whole == {(1, 3)}
 
 
 def test_spans_are_removed(spark):
@@ -110,5 +120,5 @@ def test_changed_words_hide_no_passage(spark):
     ws = made(60, 42).split()
     items = [(99, " ".join(ws)), *ITEMS]
     part = " ".join("zzz" if i in (5, 11, 17) else w for i, w in enumerate(ws[:20]))
-    docs = [part, *(" ".join("zzz" if i % n == n - 1 else w for i, w in enumerate(ws)) for n in (3, 4, 5)), " ".join(ws[:15])]
-    assert pairs(leaks(spark, docs, items)) == {(i, 99) for i in range(4)}
+    docs = [part, *(" ".join("zzz" if i % n == n - 1 else w for i, w in enumerate(ws)) for n in (3, 4, 5, 6, 7)), " ".join(ws[:15])]
+    assert pairs(leaks(spark, docs, items)) == {(i, 99) for i in range(6)}
