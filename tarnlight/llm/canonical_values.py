@@ -3,9 +3,10 @@
 The tree holds the folded reference names and aliases under the Levenshtein distance, a true
 metric. A look-up visits, by the triangle inequality, only the children whose edge lies within
 the radius of the distance at hand, and returns every entry within the threshold. The reference
-list is sharded into trees of at most SHARD entries; each shard returns its best entries and the
-winners of the shards are merged. A single shard is broadcast inside the task closure, so its
-size is bounded by SHARD; more shards are joined to the values by a shuffle.
+list is sharded into trees of about SHARD entries, each broadcast for a scan of the distinct values of
+its own; each shard returns the rank of its best entry, and the best rank of all shards wins. An exact
+entry ranks before one within the threshold, then fewer edits, then fewer words taken away, then the
+smaller id; the order is the same within a shard and between shards.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.runtime import unambiguous
+from tarnlight.runtime import durable, unambiguous
 
 #: Entries (names and aliases) of one tree.
 SHARD = 20_000
@@ -159,8 +160,17 @@ _LEADING = {t.replace(" ", "") for t in LEADING}
 
 def variants(text: str) -> list[str]:
     """The folded value and what remains of it as words around the name are taken away, shortest last."""
+    return list(_forms(text))
+
+
+def _forms(text: str) -> dict[str, int]:
+    """The variants with the number of times that words were taken away."""
     whole, apart = fold(text), fold(text, True)
-    return list(dict.fromkeys((_peel(apart) if apart != whole else []) + _peel(whole)))
+    found = [(f, n) for ws in ((apart, whole) if apart != whole else (whole,)) for n, f in enumerate(_peel(ws))]
+    least: dict[str, int] = {}
+    for f, n in found:
+        least[f] = min(n, least.get(f, n))
+    return least
 
 
 def _peel(words: list[str]) -> list[str]:
@@ -211,13 +221,18 @@ class Resolver:
         self.tree = BKTree(self.ids)
 
     def best(self, value: str) -> tuple[int, int] | None:
-        """(edits, id) of the closest entry within the threshold; ties go to the smaller id."""
-        forms = variants(value)
-        for form in reversed(forms):
-            if form in self.ids:
-                return 0, self.ids[form]
-        found: list[tuple[int, int]] = []
-        for form in forms:
+        """(edits, id) of the closest entry within the threshold."""
+        rank = self.rank(value)
+        return (rank[1], rank[3]) if rank else None
+
+    def rank(self, value: str) -> tuple[int, int, int, int] | None:
+        """The best (tier, edits, words taken away, id): tier 0 exact, 1 within the threshold, 2 exact without a misspelt word at an end."""
+        forms = _forms(value)
+        exact = [(0, 0, n, self.ids[form]) for form, n in forms.items() if form in self.ids]
+        if exact:
+            return min(exact)
+        found: list[tuple[int, int, int, int]] = []
+        for form, n in forms.items():
             limit = allowed(len(form))
             if not limit:
                 continue
@@ -225,8 +240,8 @@ class Resolver:
                 if d == 2 and transposed(form, entry):
                     d = 1
                 if d <= min(limit, allowed(len(entry))):
-                    found.append((d, self.ids[entry]))
-        found = found or [(1, self.ids[form]) for form in cut_ends(value) if form in self.ids]
+                    found.append((1, d, n, self.ids[entry]))
+        found = found or [(2, 1, n, self.ids[form]) for n, form in enumerate(cut_ends(value)) if form in self.ids]
         return min(found) if found else None
 
 
@@ -237,48 +252,40 @@ def resolve(values: DataFrame, value: str, reference: DataFrame, entry_id: str,
     folded; an alias counts as its entry's name. A value that fits several entries equally well
     gets the smallest id. An empty reference matches nothing.
     """
+    spark = values.sparkSession
     names = reference.select(
         F.col(entry_id).cast("long").alias("id"),
         F.explode(F.array_compact(F.concat(F.array(F.col(name)), F.coalesce(F.col(aliases), F.array().cast("array<string>"))))).alias("name"),
     ).dropna()
-    total = names.count()
+    shards = max(1, -(-names.count() // SHARD))
     distinct = values.select(F.col(value).cast("string").alias("value")).filter(F.col("value").rlike(r"[^\s\p{Z}]")).distinct()
-    if total <= SHARD:
-        entries = [(r.id, r.name) for r in names.collect()]
-
-        def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shard = Resolver(entries)
-            for batch in batches:
-                texts = batch.column(0).to_pylist()
-                found = [shard.best(t) or (None, 0) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(texts, pa.string()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[0] for f in found], pa.int32())],
-                    names=["value", "entry_id", "edits"],
-                )
-
-        # Few bytes but much work: adaptive execution must not merge the values into few tasks.
-        spark = values.sparkSession
-        tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-        return distinct.repartition(tasks, "value").mapInArrow(look_up, "value string, entry_id bigint, edits int")
-
-    shards = -(-total // SHARD)
-    grouped = names.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
-    spread = distinct.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("shard", F.col("shard").cast("long"))
-
-    def shard_winners(left, right):
-        import pandas as pd
-
-        resolver = Resolver(list(zip(left["id"], left["name"])))
-        found = [resolver.best(t) for t in right["value"]]
-        return pd.DataFrame({"value": right["value"], "entry_id": [f[1] if f else 0 for f in found], "edits": [f[0] if f else None for f in found]})
-
-    # Values are cut into blocks, so that a shard meets them in many small groups.
-    blocks = 64
-    left = grouped.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("long"))
-    right = spread.withColumn("block", F.pmod(F.xxhash64("value"), F.lit(blocks)))
-    winners = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(shard_winners, "value string, entry_id bigint, edits int")
-    rank = F.struct(F.when(F.col("entry_id") == 0, 1).otherwise(0), F.col("edits"), F.col("entry_id"))
-    return winners.groupBy("value").agg(F.min(rank).alias("m")).select("value", F.col("m.entry_id").alias("entry_id"), F.col("m.edits").alias("edits"))
+    # Few bytes but much work: adaptive execution must not merge the values into few tasks.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    distinct = distinct.repartition(tasks, "value")
+    if shards > 1:
+        distinct = durable(distinct)
+    ranks = None
+    for shard in range(shards):
+        entries = names.filter(F.pmod(F.xxhash64("name"), F.lit(shards)) == shard).collect()
+        part = _look_up(distinct, spark.sparkContext.broadcast([(r.id, r.name) for r in entries]))
+        ranks = part if ranks is None else ranks.unionByName(part)
+    if shards > 1:
+        ranks = ranks.groupBy("value").agg(F.min("rank").alias("rank"))
+    return ranks.select("value", F.coalesce("rank.id", F.lit(0).cast("long")).alias("entry_id"), F.col("rank.edits").alias("edits"))
+
+
+def _look_up(distinct: DataFrame, entries) -> DataFrame:
+    """(value, rank) of the best entry of one shard; the rank is NULL where there is none."""
+    fields = ("tier", "edits", "taken", "id")
+    kind = pa.struct([("tier", pa.int32()), ("edits", pa.int32()), ("taken", pa.int32()), ("id", pa.int64())])
+
+    def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = Resolver(entries.value)
+        for batch in batches:
+            ranks = [shard.rank(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r and dict(zip(fields, r)) for r in ranks], kind)], names=["value", "rank"])
+
+    return distinct.mapInArrow(look_up, "value string, rank struct<tier:int,edits:int,taken:int,id:bigint>")
 
 
 def map_values(rows: DataFrame, value: str, reference: DataFrame, entry_id: str, name: str, aliases: str) -> DataFrame:

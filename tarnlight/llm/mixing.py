@@ -20,13 +20,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from tarnlight.runtime import durable, unambiguous
+from tarnlight.runtime import broadcast_if_small, durable, spread, unambiguous
 
 #: File of merge ranks of the tokenizer.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenisation pattern of that tokenizer.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 BINS = 4000
+#: Rows of the targets.
+MAX_TARGETS = 10_000
 
 
 def count_tokens(documents: DataFrame, text: str = "text", ranks_file: str = TOKENIZER, name: str = "n_tokens") -> DataFrame:
@@ -48,7 +50,7 @@ def count_tokens(documents: DataFrame, text: str = "text", ranks_file: str = TOK
             arrays = [batch.column(i) for i in range(1, batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(counts, pa.int64())], names=[*keep, name])
 
-    return documents.select(text, *keep).mapInArrow(count, schema)
+    return spread(documents.select(text, *keep)).mapInArrow(count, schema)
 
 
 def canonical_source(source: Column) -> Column:
@@ -87,6 +89,9 @@ def rake(cells: dict[tuple[str, str, str], float], total: float, shares: dict[st
     for c, n in use.items():
         for i in (0, 1):
             goals[i][c[i + 1]] += n / everything * total
+    of_source: dict[str, list] = defaultdict(list)
+    for c in use:
+        of_source[c[0]].append(c)
     for _ in range(rounds):
         before = dict(weight)
         for i in (0, 1):
@@ -97,7 +102,7 @@ def rake(cells: dict[tuple[str, str, str], float], total: float, shares: dict[st
                 if now[c[i + 1]] > 0:
                     weight[c] *= goals[i][c[i + 1]] / now[c[i + 1]]
         for source, share in shares.items():
-            own = [c for c in use if c[0] == source]
+            own = of_source[source]
             cap, want = float(repeats[source]), share * total
             free = set(own)
             for _ in range(len(own) + 1):
@@ -125,10 +130,13 @@ def mix(documents: DataFrame, targets: DataFrame, topics: DataFrame | None = Non
     documents: doc_id, text, lang, source; targets: source, target_share, max_repeats; topics
     (doc_id, subject) may be left out. Documents of a source without target, a NULL source, or
     without tokens are not used. Repeated document ids count as documents of their own. Targets are
-    at most a few thousand rows; the cells (source, language, topic) are summed before they reach
+    at most MAX_TARGETS rows, else an error; the cells (source, language, topic) are summed before they reach
     the driver.
     """
-    goals = {r.s: (float(r.t), int(r.m)) for r in unambiguous(targets).select(canonical_source(F.col("source")).alias("s"), F.col("target_share").alias("t"), F.coalesce("max_repeats", F.lit(1)).alias("m")).dropna().limit(10_000).collect()}
+    wanted_rows = unambiguous(targets).select(canonical_source(F.col("source")).alias("s"), F.col("target_share").alias("t"), F.coalesce("max_repeats", F.lit(1)).alias("m")).dropna().limit(MAX_TARGETS + 1).collect()
+    if len(wanted_rows) > MAX_TARGETS:
+        raise ValueError("more targets than MAX_TARGETS")
+    goals = {r.s: (float(r.t), int(r.m)) for r in wanted_rows}
     base = unambiguous(documents).select(F.col("doc_id").cast("long").alias("doc_id"), "text", canonical_source(F.col("source")).alias("source"), canonical_language(F.col("lang")).alias("lang"))
     counted = count_tokens(base, ranks_file=ranks_file)
     if topics is not None:
@@ -148,7 +156,7 @@ def mix(documents: DataFrame, targets: DataFrame, topics: DataFrame | None = Non
     weights = rake(cells, total, shares, {s: m for s, (_, m) in goals.items()})
     spark = documents.sparkSession
     table = spark.createDataFrame([(*c, float(w)) for c, w in sorted(weights.items())] or [("", "", "", 0.0)], "source string, lang string, topic string, weight double")
-    drawn = counted.filter("n_tokens > 0").join(F.broadcast(table), ["source", "lang", "topic"])
+    drawn = counted.filter("n_tokens > 0").join(broadcast_if_small(table), ["source", "lang", "topic"])
     unit = (F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     sure = F.floor(F.col("weight") + 1e-9)
     drawn = drawn.withColumn("whole", sure).withColumn("part", F.greatest(F.col("weight") - sure, F.lit(0.0))).withColumn("draw", F.try_divide(unit, F.col("part")))
@@ -168,15 +176,15 @@ def mix(documents: DataFrame, targets: DataFrame, topics: DataFrame | None = Non
         cuts.append((source, float(cut)))
     limits = spark.createDataFrame(cuts or [("", 0.0)], "source string, cut double")
     copies = F.col("whole") + F.when((F.col("part") > 1e-12) & (F.col("draw") < F.col("cut")), 1).otherwise(0)
-    sample = drawn.join(F.broadcast(limits), "source").withColumn("copies", copies.cast("long")).filter("copies > 0").select("doc_id", "source", "lang", "topic", "n_tokens", "copies")
+    sample = drawn.join(broadcast_if_small(limits), "source").withColumn("copies", copies.cast("long")).filter("copies > 0").select("doc_id", "source", "lang", "topic", "n_tokens", "copies")
     used = sample.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens"), F.count("*").alias("n_used"), F.max("copies").alias("most_copies"))
     available = counted.groupBy("source").agg(F.count("*").alias("n_documents"), F.sum("n_tokens").alias("source_tokens"))
-    wanted = spark.createDataFrame([(s, t, m) for s, (t, m) in sorted(goals.items())] or [("", 0.0, 0)], "source string, target_share double, max_repeats bigint")
+    wanted = spark.createDataFrame([(s, t, m, float(shares.get(s, 0.0))) for s, (t, m) in sorted(goals.items())] or [("", 0.0, 0, 0.0)], "source string, target_share double, max_repeats bigint, reachable_share double")
     all_ = wanted.join(available, "source", "left").join(used, "source", "left")
     # The report has one row per target.
     report = all_.withColumn("grand", F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))).select(
-        "source", "target_share", "max_repeats", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("source_tokens", F.lit(0)).alias("source_tokens"),
+        "source", "target_share", "reachable_share", "max_repeats", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("source_tokens", F.lit(0)).alias("source_tokens"),
         F.coalesce("n_used", F.lit(0)).alias("n_used"), F.coalesce("mixed_tokens", F.lit(0)).alias("mixed_tokens"), F.coalesce("most_copies", F.lit(0)).alias("most_copies"),
         F.coalesce(F.try_divide("mixed_tokens", "grand"), F.lit(0.0)).alias("actual_share"),
-    )
+    ).withColumn("gap", F.abs(F.col("actual_share") - F.col("reachable_share")))
     return sample, report

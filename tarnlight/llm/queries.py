@@ -99,9 +99,14 @@ def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _subjects(spark, sf_dir).groupBy("subject").agg(F.count("*").alias("n_documents"), F.sum("share").alias("weight"))
 
 
+def p10_calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posteriors of the areas against the labels that were held out."""
+    return subjects.calibration_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "subject_labels"), table(spark, sf_dir, "subject_areas"))
+
+
 def queries() -> dict:
     return {
-        "p1_found": p1_found, "p1_classes": p1_classes, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_sample": p9_sample, "p10_found": p10_found, "p10_composition": p10_composition,
+        "p1_found": p1_found, "p1_classes": p1_classes, "p8_found": p8_found, "p8_leaks": p8_leaks, "p8_clean": p8_clean, "p9_mix": p9_mix, "p9_sample": p9_sample, "p10_found": p10_found, "p10_composition": p10_composition, "p10_calibration": p10_calibration,
         "p3_found": p3_found, "p5_found": p5_found, "p5_kinds": p5_kinds, "p5_slots": p5_slots, "p7_found": p7_found, "p7_unmatched": p7_unmatched}
 
 

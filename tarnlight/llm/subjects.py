@@ -5,30 +5,37 @@ all documents: every document is a mixture of areas and of text about no area, i
 posteriors under that mixture, and the posteriors give new word counts. Words count within the
 language of their sentence: labels are unevenly spread over languages, and without that every
 function word of a language would lean to the areas that have its labels. A document's share of an
-area is the share of its decided sentences; a logistic curve per share, fitted on the labelled
-documents, calibrates independent posteriors of the areas.
+area is the share of its decided sentences; a logistic curve for each area, fitted on the labelled
+documents, calibrates independent posteriors; documents held out measure the error.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.runtime import durable, unambiguous
+from tarnlight.runtime import durable, spread, unambiguous
 
 #: Labelled documents that the first fit reads (a sample by hash of the id where there are more).
 MAX_LABELLED = 50_000
-#: Words of the model. Words are ranked by the documents that hold them; names of one document never count.
-VOCABULARY = 200_000
+#: One labelled document out of so many is held out by calibration_report.
+HELD_OUT = 4
+#: Areas of the list, which the model's weights are columns of.
+MAX_AREAS = 1_000
+#: Slots of a language: words share the slots by a hash, so that none is left out however many there are.
+SLOTS = 1 << 18
+#: Documents that a slot's words must occur in; names of one document never count.
 MIN_DOCUMENTS = 2
 ALPHA = 0.05
+#: Weight of the common curve in the intercept of an area.
+PRIOR = 20.0
 ROUNDS = 2
 #: Least posterior of a sentence by its own words, whatever its document is about.
 OWN = 0.6
@@ -48,7 +55,8 @@ _FUNCTION_WORDS = {
     "fr": "le les des du et ou ne pas avec pour dans est sont qui cette au aux sans depuis une ces mais aussi plus sur ans par",
 }
 _LANGUAGE = {w: lang for lang, ws in _FUNCTION_WORDS.items() for w in ws.split()}
-_JOIN = "\x1f"
+#: The languages that have slots of their own; "xx" is text without function words.
+LANGUAGES = (*_FUNCTION_WORDS, "xx")
 
 
 def _lead(words: list[str]) -> str | None:
@@ -81,53 +89,57 @@ def sentences(text: str | None) -> list[tuple[str, list[str]]]:
     return [(lang or main, list(dict.fromkeys(ws))) for lang, ws in zip(langs, found)]
 
 
-class Model:
-    """Word weights by area: the log of a word's share of its language's text over its share of the area's complement.
+class Encoder:
+    """Turns texts into the slots of their words."""
 
-    words are language and word, joined by _JOIN.
-    """
+    def __init__(self):
+        self.first = {lang: i * SLOTS for i, lang in enumerate(LANGUAGES)}
+        self.memo: dict[str, int] = {}
 
-    def __init__(self, areas: list[str], words: list[str], counts: np.ndarray):
-        self.areas, self.words = areas, words
-        self.ids: dict[str, dict[str, int]] = {}
-        for i, w in enumerate(words):
-            lang, _, word = w.partition(_JOIN)
-            self.ids.setdefault(lang, {})[word] = i
-        k = len(areas)
-        total = counts.sum(1)
-        names = sorted(self.ids)
-        of = np.array([names.index(w.partition(_JOIN)[0]) for w in words], np.int64)
-        by_area = np.zeros((max(len(names), 1), k))
-        np.add.at(by_area, of, counts)
-        n = np.maximum(by_area.sum(1), 1e-9)
-        base = np.log((total + ALPHA * k) / n[of])
-        rest = np.log((total[:, None] - counts + ALPHA * max(k - 1, 1)) / np.maximum((n[:, None] - by_area)[of], 1e-9))
-        self.weights = (base[:, None] - rest).astype(np.float32)
-
-    def slim(self) -> Model:
-        """The weights without the words, for work on encoded texts."""
-        out = object.__new__(Model)
-        out.areas, out.words, out.ids, out.weights = self.areas, [], {}, self.weights
-        return out
-
-    def only_telling(self) -> Model:
-        """Leaves out words that tell no area: in the refined model they only add up to noise."""
-        self.weights[self.weights.max(1, initial=0.0) < TELLING] = 0
-        return self
+    def slot(self, word: str) -> int:
+        found = self.memo.get(word)
+        if found is None:
+            if len(self.memo) > 500_000:  # a memo of repeated words, not of results
+                self.memo.clear()
+            found = self.memo[word] = xxhash.xxh64_intdigest(word) & (SLOTS - 1)
+        return found
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word ids, sentence offsets and document offsets (in sentences); sentences without a known word are kept, empty."""
-        none: dict[str, int] = {}
+        """Slots, sentence offsets and document offsets (in sentences)."""
         words: list[int] = []
         starts: list[int] = [0]
         docs: list[int] = [0]
+        slot = self.slot
         for text in texts:
             for lang, s in sentences(text):
-                words.extend(i for i in map(self.ids.get(lang, none).get, s) if i is not None)
+                first = self.first[lang]
+                words.extend([first + slot(w) for w in s])
                 starts.append(len(words))
             docs.append(len(starts) - 1)
         return np.array(words, np.int64), np.array(starts, np.int64), np.array(docs, np.int64)
 
+
+class Model:
+    """Weights of slots by area: the log of a slot's share of its language's text over its share of the area's complement."""
+
+    def __init__(self, areas: list[str], counts: np.ndarray, holders: np.ndarray):
+        """counts: (slots of all languages, areas); holders: documents with the slot. Slots of fewer than MIN_DOCUMENTS weigh nothing."""
+        self.areas = areas
+        k = len(areas)
+        known = holders >= MIN_DOCUMENTS
+        each = np.where(known[:, None], counts, 0.0).reshape(len(LANGUAGES), SLOTS, k)
+        total = each.sum(2)
+        by_area = each.sum(1)
+        n = np.maximum(by_area.sum(1), 1e-9)
+        base = np.log((total + ALPHA * k) / n[:, None])
+        rest = np.log((total[:, :, None] - each + ALPHA * max(k - 1, 1)) / np.maximum(n[:, None] - by_area, 1e-9)[:, None, :])
+        self.weights = ((base[:, :, None] - rest).reshape(-1, k) * known[:, None]).astype(np.float32)
+
+    def only_telling(self) -> Model:
+        """Leaves out words that tell no area: in the refined model they only add up to noise."""
+        self.weights[self.weights.max(1, initial=0.0) < TELLING] = 0
+        return self
+
     def likelihoods(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Likelihood of every sentence per area, relative to text about no area."""
         total = np.zeros((len(words) + 1, len(self.areas)), np.float64)
@@ -150,10 +162,6 @@ class Model:
             mix = sums / sums.sum(1, keepdims=True)
         return post, mix
 
-    def shares(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Share of each area in the decided sentences of each text, and the mixtures."""
-        return self.shares_encoded(*self.encode(texts))
-
     def shares_encoded(self, words: np.ndarray, starts: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         lik = self.likelihoods(words, starts)
         post, mix = self.posteriors(lik, docs)
@@ -170,47 +178,23 @@ class Model:
         return sums / np.maximum(sums.sum(1, keepdims=True), 1), mix[:, :k]
 
 
-def _label_map(documents: DataFrame, labels: DataFrame) -> list[tuple[int, str, list[str]]]:
-    """(doc_id, text, labels) of the labelled documents, at most MAX_LABELLED of them."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.trim(F.lower("subject")).alias("subject")).dropna().filter("subject <> ''").distinct()
+def _labelled(encoded: DataFrame, labels: DataFrame, names: list[str]) -> list:
+    """doc_id, words, lens and subjects of the labelled documents, at most MAX_LABELLED of them."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.trim(F.lower("subject")).alias("subject")).dropna().filter(F.col("subject").isin(names)).distinct()
     sets = known.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
     sets = sets.orderBy(F.xxhash64("doc_id")).limit(MAX_LABELLED)
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
-    rows = texts.join(sets, "doc_id").dropDuplicates(["doc_id"]).collect()
-    return sorted((r.doc_id, r.text, list(r.subjects)) for r in rows)
-
-
-def vocabulary(documents: DataFrame) -> list[str]:
-    """The words (with their language) held by most documents, counted over all of them: each task counts, sums are shuffled."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-
-        def drain():
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
-
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                seen.update({lang + _JOIN + w for lang, s in sentences(text) for w in s})
-            if len(seen) > 500_000:
-                yield drain()
-                seen.clear()
-        yield drain()
-
-    sums = documents.select("text").filter(F.col("text").isNotNull()).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    top = sums.filter(F.col("n") >= MIN_DOCUMENTS).orderBy(F.desc("n"), "word").limit(VOCABULARY)
-    return [r.word for r in top.select("word").collect()]
+    rows = encoded.filter(F.size("lens") > 0).join(sets, "doc_id").dropDuplicates(["doc_id"]).toArrow()
+    return sorted(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "words", "lens", "subjects"))))
 
 
-def encode_table(documents: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, words, lens): the ids of each document's known words, and the number of them per sentence.
+def encode_table(documents: DataFrame) -> DataFrame:
+    """(doc_id, words, lens): the slots of each document's words, and the number of words per sentence.
 
     Texts are split once; all rounds and the classification then work on these arrays.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(words)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by = Model([], shared.value, np.zeros((len(shared.value), 0)))
+        by = Encoder()
         for batch in batches:
             words_, starts, docs = by.encode(batch.column(1).to_pylist())
             lens = np.diff(starts)
@@ -219,7 +203,7 @@ def encode_table(documents: DataFrame, words: list[str]) -> DataFrame:
                 names=["doc_id", "words", "lens"],
             )
 
-    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id bigint, words array<int>, lens array<int>")
+    return spread(documents.select(F.col("doc_id").cast("long"), "text")).mapInArrow(encode, "doc_id bigint, words array<int>, lens array<int>")
 
 
 def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,47 +215,47 @@ def _arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, np.concatenate([[0], np.cumsum(sizes)]), offsets - offsets[0]
 
 
-def train(documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int = ROUNDS) -> tuple[Model, tuple[float, float]]:
-    """The refined model and the calibration (intercept, slope of the logit over the share)."""
-    return _train(documents, labels, areas, rounds)[:2]
+def area_names(areas: DataFrame) -> list[str]:
+    """The areas in lower case; an error where there are more than MAX_AREAS."""
+    rows = areas.select(F.trim(F.lower("subject")).alias("s")).dropna().filter("s <> ''").distinct().limit(MAX_AREAS + 1).collect()
+    if len(rows) > MAX_AREAS:
+        raise ValueError("more areas than MAX_AREAS")
+    return sorted(r.s for r in rows)
+
+
+def train(encoded: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int = ROUNDS) -> tuple[Model, Calibration]:
+    """The refined model and the calibration, from encode_table's documents."""
+    names = area_names(areas)
+    return _train(encoded, _labelled(encoded, labels, names), names, rounds)
 
 
-def _train(documents: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int) -> tuple[Model, tuple[float, float], DataFrame]:
-    names = sorted({r.subject.strip().lower() for r in areas.select("subject").dropna().limit(1000).collect() if r.subject.strip()})
-    labelled = [(d, t, [s for s in ls if s in names]) for d, t, ls in _label_map(documents, labels)]
-    labelled = [x for x in labelled if x[2]]
-    words = vocabulary(documents)
-    ids = {w: i for i, w in enumerate(words)}
+def _train(encoded: DataFrame, labelled: list, names: list[str], rounds: int) -> tuple[Model, Calibration]:
     index = {a: j for j, a in enumerate(names)}
-    counts = np.zeros((len(words), len(names)))
-    holders: Counter = Counter()
-    for _, text, ls in labelled:
-        found = [[lang + _JOIN + w for w in s] for lang, s in sentences(text)]
-        holders.update({w for s in found for w in s})
-        for s in found:
-            at = [ids[w] for w in s if w in ids]
-            for a in ls:
-                counts[at, index[a]] += 1 / len(ls)
-    few = [i for w, i in ids.items() if holders[w] < MIN_DOCUMENTS]
-    counts[few] = 0
-    model = Model(names, words, counts)
-    model.weights[few] = 0
-    by_doc = {d: ls for d, _, ls in labelled}
-    encoded = durable(encode_table(documents, words))
+    counts, holders = np.zeros((len(LANGUAGES) * SLOTS, len(names))), np.zeros(len(LANGUAGES) * SLOTS, np.int64)
+    for _, words, _, subjects in labelled:
+        at = np.array(words, np.int64)
+        for a in subjects:
+            np.add.at(counts[:, index[a]], at, 1 / len(subjects))
+        holders[np.unique(at)] += 1
+    model = Model(names, counts, holders)
+    by_doc = {d: [index[a] for a in ls] for d, _, _, ls in labelled}
     for _ in range(rounds):
-        model = Model(names, words, _expected_counts(encoded, model, by_doc))
+        model = Model(names, *_expected_counts(encoded, model, by_doc))
     model = model.only_telling()
-    return model, _calibrate(model, labelled), encoded
+    return model, _calibrate(model, labelled)
 
 
-def _expected_counts(encoded: DataFrame, model: Model, labelled: dict[int, list[str]]) -> np.ndarray:
-    """One round over all documents: soft word counts by area. Text about no area counts for all areas alike."""
-    k, size = len(model.areas), len(model.words)
-    shared = encoded.sparkSession.sparkContext.broadcast((model.slim(), labelled))
+def _expected_counts(encoded: DataFrame, model: Model, labelled: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """One round over all documents: soft counts of the slots by area, and the documents that hold them.
+
+    Text about no area counts for all areas alike.
+    """
+    k, size = len(model.areas), len(model.weights)
+    shared = encoded.sparkSession.sparkContext.broadcast((model, labelled))
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by, known = shared.value
-        sums = np.zeros((size, k))
+        sums, held = np.zeros((size, k)), np.zeros(size, np.int64)
         for batch in batches:
             ids = batch.column(0).to_pylist()
             words, starts, docs = _arrays(batch)
@@ -281,57 +265,93 @@ def _expected_counts(encoded: DataFrame, model: Model, labelled: dict[int, list[
             for i, d in enumerate(ids):
                 if d in known:
                     prior[i] = 0.02
-                    prior[i, [by.areas.index(a) for a in known[d]]] = 1 / len(known[d])
+                    prior[i, known[d]] = 1 / len(known[d])
                     prior[i, k] = 0.3
             lik = by.likelihoods(words, starts)
             post, _ = by.posteriors(lik, docs, prior)
             each = post[:, :k] + post[:, k:] / k
             of = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+            there, place = np.unique(words, return_inverse=True)
             for j in range(k):
-                sums[:, j] += np.bincount(words, each[of, j], size)
-        at = np.flatnonzero(sums.sum(1))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at, pa.int32()), pa.FixedSizeListArray.from_arrays(pa.array(sums[at].ravel(), pa.float64()), k).cast(pa.list_(pa.float64()))], names=["w", "c"]
-        )
-
-    partial = encoded.mapInArrow(expect, "w int, c array<double>")
-    columns = [F.sum(F.col("c")[j]).alias(f"c{j}") for j in range(k)]
-    rows = partial.groupBy("w").agg(*columns).toPandas()
-    counts = np.zeros((len(model.words), k))
-    if len(rows):
-        counts[rows["w"].to_numpy()] = rows[[f"c{j}" for j in range(k)]].to_numpy()
+                sums[there, j] += np.bincount(place, each[of, j], len(there))
+            of_doc = np.repeat(np.arange(len(ids)), np.diff(docs))[of]
+            held[there] += np.bincount(np.unique(of_doc * len(there) + place) % len(there), minlength=len(there))
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(held[at], pa.int64()), *(pa.array(sums[at, j], pa.float64()) for j in range(k))], names=["w", "n", *columns])
+
+    columns = [f"c{j}" for j in range(k)]
+    partial = encoded.mapInArrow(expect, ", ".join(["w int, n bigint", *(f"{c} double" for c in columns)]))
+    rows = partial.groupBy("w").agg(*map(F.expr, ("sum(n) as n", *(f"sum({c}) as {c}" for c in columns)))).toArrow()
+    counts, holders = np.zeros((size, k)), np.zeros(size, np.int64)
+    at = rows.column("w").to_numpy()
+    holders[at] = rows.column("n").to_numpy()
+    for j, c in enumerate(columns):
+        counts[at, j] = rows.column(c).to_numpy()
     shared.unpersist()
-    return counts
+    return counts, holders
 
 
-def _calibrate(model: Model, labelled: list[tuple[int, str, list[str]]]) -> tuple[float, float]:
-    """Intercept and slope of P(area | share), fitted on all (document, area) of the labelled documents.
+@dataclass
+class Calibration:
+    """P(area | share) for each area by itself: a logistic curve with the area's own intercept."""
 
-    Where the curve crosses one half is the cut that agrees with most labels of the second areas,
-    the middle of the best interval; wrong labels shift a plain logistic fit, but hardly this cut.
-    The slope is fitted by Newton's method around it.
-    """
-    if not labelled:
-        return -5.0, 20.0
-    shares, _ = model.shares([t for _, t, _ in labelled])
+    intercepts: np.ndarray
+    slope: float
+
+    def posteriors(self, shares: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.intercepts + self.slope * np.minimum(shares, 0.5), -30, 30)))
+
+
+def _held_out(doc_id: int) -> bool:
+    return xxhash.xxh64_intdigest(str(doc_id)) % HELD_OUT == 0
+
+
+def _known_shares(model: Model, labelled: list) -> tuple[np.ndarray, np.ndarray]:
+    """Shares and labels of labelled documents."""
+    lens = [n for _, _, ls, _ in labelled for n in ls]
+    words = np.array([w for _, ws, _, _ in labelled for w in ws], np.int64)
+    shares, _ = model.shares_encoded(words, np.cumsum([0, *lens]), np.cumsum([0, *(len(ls) for _, _, ls, _ in labelled)]))
     y = np.zeros_like(shares)
-    for i, (_, _, ls) in enumerate(labelled):
+    for i, (_, _, _, ls) in enumerate(labelled):
         y[i, [model.areas.index(a) for a in ls]] = 1
+    return shares, y
+
+
+def _calibrate(model: Model, labelled: list) -> Calibration:
+    """Curves fitted on labelled documents; calibration_report measures them on documents held out.
+
+    Where the common curve crosses one half is the cut that agrees with most labels of the second areas,
+    the middle of the best interval; wrong labels shift a plain logistic fit, but hardly this cut. The
+    slope is fitted by Newton's method around it, then the intercept of each area, held near the common
+    one by a prior of PRIOR documents.
+    """
+    k = len(model.areas)
+    if not labelled:
+        return Calibration(np.full(k, -5.0), 20.0)
+    shares, y = _known_shares(model, labelled)
     cut = 1 / 3
     if shares.shape[1] > 1:
         order = np.argsort(-shares, axis=1, kind="stable")[:, 1]
         rows = np.arange(len(shares))
         cut = best_cut(shares[rows, order], y[rows, order])
-    x, t = (np.minimum(shares, 0.5) - cut).ravel(), y.ravel()
-    slope = 16.0
+    x = np.minimum(shares, 0.5) - cut
+    slope = _newton(lambda v: v * x.ravel(), x.ravel(), y.ravel(), 16.0, 1e-3, 0.0)
+    slope = float(min(max(slope, 5.0), 200.0))
+    # The curves differ from the common one by an intercept each.
+    own = np.array([_newton(lambda v, j=j: slope * x[:, j] + v, np.ones(len(x)), y[:, j], 0.0, PRIOR, 0.0) for j in range(k)])
+    return Calibration(own - slope * cut, slope)
+
+
+def _newton(logit, slope_of, t: np.ndarray, start: float, precision: float, centre: float) -> float:
+    """The value of one parameter that fits labels t best under a normal prior; slope_of is the logit's derivative."""
+    v = start
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(slope * x, -30, 30)))
-        step = ((t - p) @ x - 1e-3 * slope) / ((p * (1 - p)) @ (x * x) + 1e-3)
-        slope += float(np.clip(step, -5, 5))
+        p = 1 / (1 + np.exp(-np.clip(logit(v), -30, 30)))
+        step = ((t - p) @ slope_of - precision * (v - centre)) / ((p * (1 - p)) @ (slope_of * slope_of) + precision)
+        v += float(np.clip(step, -5, 5))
         if abs(step) < 1e-8:
             break
-    slope = float(min(max(slope, 5.0), 200.0))
-    return -slope * cut, slope
+    return v
 
 
 def best_cut(share: np.ndarray, label: np.ndarray, low: float = 0.1, high: float = 0.4) -> float:
@@ -354,31 +374,27 @@ def best_cut(share: np.ndarray, label: np.ndarray, low: float = 0.1, high: float
     return cut
 
 
-def classify(documents: DataFrame, model: Model, calibration: tuple[float, float], most: int = 2) -> DataFrame:
-    """Areas of every document: doc_id, subject, share, posterior, rank (1 is the main area).
+def classify(encoded: DataFrame, model: Model, calibration: Calibration, most: int = 2) -> DataFrame:
+    """Areas of every document of encode_table: doc_id, subject, share, posterior, rank (1 is the main area).
 
-    A document gets the areas of calibrated posterior 0.5 or more, at most `most` of them, and at
-    least its main area. Texts without a known word, empty and NULL texts get the area with the
-    largest share in the mixture, which for no evidence is the first by name.
+    A document gets the areas of calibrated posterior 0.5 or more, at most `most` of them (the task has
+    one or two to a document), and at least its main area. Texts without a known word, empty and NULL
+    texts get the area with the largest share in the mixture, which for no evidence is the first by name.
     """
-    return _classify(encode_table(documents, model.words), model, calibration, most)
-
-
-def _classify(encoded: DataFrame, model: Model, calibration: tuple[float, float], most: int = 2) -> DataFrame:
-    shared = encoded.sparkSession.sparkContext.broadcast((model.slim(), calibration))
+    shared = encoded.sparkSession.sparkContext.broadcast((model, calibration))
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, (a, b) = shared.value
+        by, curves = shared.value
         for batch in batches:
             ids = batch.column(0).to_pylist()
             shares, mix = by.shares_encoded(*_arrays(batch))
             order = np.argsort(-(shares + mix * 1e-6), axis=1, kind="stable")
+            posteriors = curves.posteriors(shares)
             out: list[tuple] = []
             for i, d in enumerate(ids):
                 for rank, j in enumerate(order[i, :most]):
-                    p = 1 / (1 + math.exp(-(a + b * min(shares[i, j], 0.5))))
-                    if rank == 0 or (p >= 0.5 and shares[i, j] > 0):
-                        out.append((d, by.areas[j], float(shares[i, j]), p, rank + 1))
+                    if rank == 0 or (posteriors[i, j] >= 0.5 and shares[i, j] > 0):
+                        out.append((d, by.areas[j], float(shares[i, j]), float(posteriors[i, j]), rank + 1))
             columns = list(zip(*out)) if out else [[]] * 5
             types = (pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.int32())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "subject", "share", "posterior", "rank"])
@@ -389,7 +405,24 @@ def _classify(encoded: DataFrame, model: Model, calibration: tuple[float, float]
 def subject_areas(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
     """Trains on all documents and labels and classifies all documents. An empty table of areas gives no rows."""
     documents, labels, areas = unambiguous(documents), unambiguous(labels), unambiguous(areas)
-    if not areas.select("subject").dropna().take(1):
+    if not area_names(areas):
         return documents.sparkSession.createDataFrame([], "doc_id bigint, subject string, share double, posterior double, rank int")
-    model, calibration, encoded = _train(documents, labels, areas, ROUNDS)
-    return _classify(encoded, model, calibration)
+    encoded = durable(encode_table(documents))
+    return classify(encoded, *train(encoded, labels, areas))
+
+
+def calibration_report(documents: DataFrame, labels: DataFrame, areas: DataFrame) -> DataFrame:
+    """Per area: subject, n_held_out, mean_posterior, label_share and gap, on one labelled document of HELD_OUT
+    that neither the training nor the curves have seen."""
+    documents, labels, areas = unambiguous(documents), unambiguous(labels), unambiguous(areas)
+    names, rows = area_names(areas), []
+    if names:
+        encoded = durable(encode_table(documents))
+        labelled = _labelled(encoded, labels, names)
+        held = [x for x in labelled if _held_out(x[0])]
+        if held:
+            model, calibration = _train(encoded, [x for x in labelled if not _held_out(x[0])], names, ROUNDS)
+            shares, y = _known_shares(model, held)
+            p = calibration.posteriors(shares)
+            rows = [(a, len(held), float(p[:, j].mean()), float(y[:, j].mean())) for j, a in enumerate(names)]
+    return documents.sparkSession.createDataFrame([(*r, abs(r[2] - r[3])) for r in rows], "subject string, n_held_out long, mean_posterior double, label_share double, gap double")

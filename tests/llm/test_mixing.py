@@ -42,6 +42,7 @@ def test_shares_are_met(spark):
     assert max(n for s, n in copies.values() if s == "web_page") == 1 and max(n for s, n in copies.values() if s == "rare") <= 4
     again = {r.doc_id: (r.source, r.copies) for r in M.mix(docs(spark, rows), targets(spark, [("web_page", 0.5, 1), ("docs", 0.2, 2), ("rare", 0.2, 4), ("absent", 0.1, 4)]))[0].collect()}
     assert again == copies
+    assert all(r.gap < 0.02 for r in got.values()) and abs(sum(r.reachable_share for r in got.values()) - 1) < 1e-9
     assert sum(r.mixed_tokens for r in got.values()) == sum(r.n_tokens * r.copies for r in sample.collect())
 
 

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pytest
+
 from tarnlight.llm import subjects as S
 
 AREAS = {"law": "court judge statute verdict tenant lease appeal clause", "food": "soup oven butter cheese whisk broth stew cream", "sport": "coach team match goal referee striker pitch trophy"}
@@ -47,11 +50,15 @@ def test_calibrated_and_ranked(spark):
     docs, truth = corpus(200)
     d = spark.createDataFrame(docs, "doc_id long, text string")
     labels = spark.createDataFrame([(i, s) for i in range(80) for s in truth[i]], "doc_id long, subject string")
-    model, (a, b) = S.train(d, labels, spark.createDataFrame([(x,) for x in AREAS], "subject string"))
-    assert 0 < -a / b < 0.45
-    rows = S.classify(d, model, (a, b)).collect()
+    areas = spark.createDataFrame([(x,) for x in AREAS], "subject string")
+    encoded = S.encode_table(d)
+    model, curves = S.train(encoded, labels, areas)
+    assert all(0 < -a / curves.slope < 0.45 for a in curves.intercepts)
+    rows = S.classify(encoded, model, curves).collect()
     assert all(0 <= r.posterior <= 1 and 0 <= r.share <= 1 for r in rows)
     assert sum(r["rank"] == 1 for r in rows) == 200
+    report = S.calibration_report(d, labels, areas).collect()
+    assert {r.subject for r in report} == set(AREAS) and all(r.n_held_out > 0 and r.gap < 0.15 for r in report)
 
 
 def test_nulls_empty_long_and_repeated_texts(spark):
@@ -68,11 +75,29 @@ def test_empty_tables(spark):
     assert set(run(spark, docs, [])) == set(truth)  # nothing learnt: the first area by name
 
 
-def test_words_are_counted_over_all_documents(spark):
+def test_words_keep_their_slots_and_none_is_left_out(spark):
     docs, _ = corpus(50)
-    words = S.vocabulary(spark.createDataFrame(docs, "doc_id long, text string"))
-    plain = {}
-    for _, t in docs:
-        for w in {lang + S._JOIN + w for lang, s in S.sentences(t) for w in s}:
-            plain[w] = plain.get(w, 0) + 1
-    assert set(words) == {w for w, n in plain.items() if n >= S.MIN_DOCUMENTS}
+    by = S.Encoder()
+    for r in S.encode_table(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        plain = S.sentences(docs[r.doc_id][1])
+        assert r.lens == [len(ws) for _, ws in plain]
+        assert r.words == [by.first[lang] + by.slot(w) for lang, ws in plain for w in ws]
+
+
+def test_soft_counts_agree_with_a_walk(spark):
+    docs, truth = corpus(60)
+    encoded = S.encode_table(spark.createDataFrame(docs, "doc_id long, text string"))
+    model = S.Model(sorted(AREAS), np.zeros((len(S.LANGUAGES) * S.SLOTS, 3)), np.zeros(len(S.LANGUAGES) * S.SLOTS, int))
+    counts, holders = S._expected_counts(encoded, model, {})
+    want = {}
+    for r in encoded.collect():
+        for w in set(r.words):
+            want[w] = want.get(w, 0) + 1
+    assert {int(i): int(holders[i]) for i in holders.nonzero()[0]} == want
+    assert abs(counts.sum() - sum(len(r.words) for r in encoded.collect())) < 1e-6
+
+
+def test_too_many_areas_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(S, "MAX_AREAS", 2)
+    with pytest.raises(ValueError):
+        run(spark, corpus(5)[0], [])
