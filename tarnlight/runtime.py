@@ -105,7 +105,7 @@ def _remove_written(spark: SparkSession) -> None:
 
 def estimated_bytes(df: DataFrame) -> int:
     """Spark's own size estimate of a plan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
