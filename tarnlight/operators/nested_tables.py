@@ -8,18 +8,21 @@ one node relation and are joined by containment or, for direct children, by pare
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.runtime import unambiguous
+from tarnlight.runtime import spread, unambiguous
 
 NODE_SCHEMA = (
     "origin string, record_id bigint, path string, name string, kind string, depth int, "
     "pre int, post int, parent_pre int, value string"
 )
+#: Characters of paths that one batch holds.
+FLUSH = 16_000_000
 PATH_SCHEMA = "record_id bigint, path string, pre int, post int"
 
 
@@ -33,16 +36,17 @@ _decode = json.JSONDecoder(parse_constant=_no_constant, strict=False).decode
 def parse_record(text: str | None):
     """The record in a text, or None.
 
-    White space and byte order marks around it do not matter; a JSON string that holds a record
-    counts as that record. Text that is no complete JSON, a bare scalar, NaN and Infinity, and
-    nesting beyond the parser's limit give None.
+    White space and byte order marks around it do not matter; a JSON string that holds a record, at
+    whatever remove, counts as that record. Text that is no complete JSON, a bare scalar, NaN and
+    Infinity give None. Nesting may be of any depth.
     """
-    for _ in range(8):
-        if text is None:
-            return None
+    while text is not None:
+        text = text.strip(" \t\r\n\f\v ﻿")
         try:
-            value = _decode(text.strip(" \t\r\n\f\v ﻿"))
-        except (ValueError, RecursionError):
+            value = _decode(text)
+        except RecursionError:
+            value = _decode_deep(text)
+        except ValueError:
             return None
         if not isinstance(value, str):
             return value if isinstance(value, (dict, list)) else None
@@ -50,6 +54,58 @@ def parse_record(text: str | None):
     return None
 
 
+_NEXT = re.compile(r'[ \t\r\n]*([{}\[\],:"]|-?[0-9][0-9.eE+-]*|true|false|null|)')
+
+
+def _decode_deep(text: str):
+    """The value of a JSON text, with a stack of its own in place of the interpreter's; None where it is no JSON."""
+    top: list = []
+    holders: list = [top]
+    keys: list = [None]
+    at, expects = 0, "value"  # value, item (value or end), key, name (key or end), colon, more (comma or end)
+    while True:
+        m = _NEXT.match(text, at)
+        token, at = m[1], m.end()
+        inside = holders[-1]
+        if token == "":
+            return top[0] if at == len(text) and expects == "more" and len(holders) == 1 else None
+        ends = (token == "}" and type(inside) is dict) or (token == "]" and type(inside) is list and len(holders) > 1)
+        if ends and expects in ("more", "item", "name"):
+            holders.pop()
+            keys.pop()
+            expects = "more"
+        elif expects == "more":
+            if token != "," or len(holders) == 1:
+                return None
+            expects = "key" if type(inside) is dict else "value"
+        elif expects == "colon":
+            if token != ":":
+                return None
+            expects = "value"
+        elif token in "}],:" or (expects in ("key", "name") and token != '"'):
+            return None
+        else:
+            try:
+                if token == '"':
+                    value, at = json.decoder.scanstring(text, at, False)
+                else:
+                    value = {} if token == "{" else [] if token == "[" else _decode(token)
+            except ValueError:
+                return None
+            if expects in ("key", "name"):
+                keys[-1], expects = value, "colon"
+                continue
+            if type(inside) is dict:
+                inside[keys[-1]] = value
+            else:
+                inside.append(value)
+            expects = "more"
+            if token in "{[":
+                holders.append(value)
+                keys.append(None)
+                expects = "name" if token == "{" else "item"
+
+
 def walk(root) -> Iterator[tuple]:
     """(path, name, kind, depth, pre, post, parent_pre, value) of every node; the root has pre 0 and path "".
 
@@ -127,12 +183,16 @@ def flatten(df: DataFrame, record_id: str, json_col: str, origin: str) -> DataFr
 def object_paths(df: DataFrame, record_id: str, json_col: str, origin: str) -> DataFrame:
     """The intervals of the objects below the root only: (origin, record_id, path, pre, post).
 
-    The same walk as flatten, kept to the nodes asked for before they leave the worker.
+    The numbers are those of flatten; the nodes are kept to the ones asked for before they leave the worker.
     """
 
     def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, found, pres, posts, size = [], [], [], [], 0
+
+        def full():
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(pres, pa.int32()), pa.array(posts, pa.int32())], names=["record_id", "path", "pre", "post"])
+
         for batch in batches:
-            ids, found, pres, posts = [], [], [], []
             for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 record = parse_record(text)
                 if record is None:
@@ -142,39 +202,46 @@ def object_paths(df: DataFrame, record_id: str, json_col: str, origin: str) -> D
                     found.append(_clean(path))
                     pres.append(pre)
                     posts.append(post)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(found, pa.string()), pa.array(pres, pa.int32()), pa.array(posts, pa.int32())],
-                names=["record_id", "path", "pre", "post"],
-            )
+                    size += len(path)
+                    if size > FLUSH:  # paths of deep records are long
+                        yield full()
+                        ids, found, pres, posts, size = [], [], [], [], 0
+        yield full()
 
     texts = unambiguous(df).select(F.col(record_id).cast("long"), F.col(json_col).cast("string")).filter(F.col(json_col).isNotNull())
-    return texts.mapInArrow(paths, PATH_SCHEMA).select(F.lit(origin).alias("origin"), "*")
+    return spread(texts).mapInArrow(paths, PATH_SCHEMA).select(F.lit(origin).alias("origin"), "*")
 
 
-def _objects(root) -> list[tuple[str, int, int]]:
-    """Objects below the root with the intervals of the object tree (arrays and scalars take no numbers)."""
-    out: list[tuple[str, int, int]] = []
+def _objects(root) -> Iterator[tuple[str, int, int]]:
+    """(path, pre, post) of the objects below the root, numbered as by walk; scalars are stepped over."""
     clock = 1
-
-    def visit(value, prefix: str) -> None:
-        nonlocal clock
-        for name, child in value.items() if type(value) is dict else enumerate(value):
-            if type(child) is dict:
+    stack: list = [["", 0, None, iter(root.items() if type(root) is dict else enumerate(root))]]
+    while stack:
+        top = stack[-1]
+        prefix = top[0]
+        for name, child in top[3]:
+            kind = type(child)
+            if kind is dict or kind is list:
                 path = f"{prefix}{name}"
-                pre = clock
-                clock += 1
-                if child:
-                    visit(child, path + "/")
-                out.append((path, pre, clock))
+                stack.append([path + "/", clock, path if kind is dict else None, iter(child.items() if kind is dict else enumerate(child))])
                 clock += 1
-            elif type(child) is list and child:
-                visit(child, f"{prefix}{name}/")
-
-    try:
-        visit(root, "")
-    except RecursionError:
-        return [(p, pre, post) for p, _, kind, depth, pre, post, _, _ in walk(root) if kind == "object" and depth]
-    return out
+                break
+            clock += 2
+        else:
+            stack.pop()
+            if top[2] is not None:
+                yield top[2], top[1], clock
+            clock += 1
+
+
+def parents(objects: DataFrame) -> DataFrame:
+    """objects (origin, record_id, path, pre, post) with parent_path, the nearest object that encloses them.
+
+    Of the enclosing intervals the nearest has the longest path; "" is the root's.
+    """
+    plain = objects.select("origin", "record_id", "path", "pre", "post").distinct()
+    linked = contained(plain, plain).groupBy("origin", "record_id", "path", "pre", "post").agg(F.max_by("ancestor_path", F.length("ancestor_path")).alias("parent_path"))
+    return plain.join(linked, ["origin", "record_id", "path", "pre", "post"], "left").withColumn("parent_path", F.coalesce("parent_path", F.lit("")))
 
 
 def type_name(nodes: DataFrame) -> DataFrame:

@@ -49,12 +49,46 @@ select entity, id, o as overall_score, c as content_score, ts as valid_from,
 from v"""
 
 
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         nested_tables.object_paths(table(spark, sf_dir, "products"), "listing_id", "schema_org", "products"),
         nested_tables.object_paths(table(spark, sf_dir, "audits"), "id", "report_json", "audits"),
     ]
-    return parts[0].unionByName(parts[1]).select("origin", "record_id", "path").distinct()
+    return parts[0].unionByName(parts[1])
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _objects(spark, sf_dir).select("origin", "record_id", "path").distinct()
+
+
+def p4_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every object with the nearest object that holds it, by interval containment."""
+    return nested_tables.parents(_objects(spark, sf_dir)).select("origin", "record_id", "path", "parent_path").distinct()
+
+
+# Records by recursion over the JSON functions of the SQL engine; texts that hold a record as a string are unpacked first.
+_NODES_SQL = r"""
+with recursive u(origin, record_id, body) as (
+  select 'products', listing_id, trim(schema_org, chr(65279) || chr(160) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') from products where schema_org is not null
+  union all select 'audits', id, trim(report_json, chr(65279) || chr(160) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') from audits where report_json is not null
+  union all
+  select origin, record_id, trim(json_extract_string(body, '$'), chr(65279) || chr(160) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') from u where case when json_valid(body) then json_type(body) = 'VARCHAR' else false end
+), roots as (
+  select distinct origin, record_id, body from u where case when json_valid(body) then json_type(body) in ('OBJECT', 'ARRAY') else false end
+), n(origin, record_id, path, parent_path, name, kind, value) as (
+  select origin, record_id, '', '', '', json_type(body), body::json from roots
+  union all
+  select n.origin, n.record_id, case when n.path = '' then e.key else n.path || '/' || e.key end, case when n.kind = 'OBJECT' then n.path else n.parent_path end, e.key, e.type, e.value
+  from n, json_each(n.value) e where n.kind in ('OBJECT', 'ARRAY')
+)
+"""
+P4_FOUND_SQL = _NODES_SQL + "select distinct origin, record_id, path from n where kind = 'OBJECT' and path <> ''"
+P4_PARENTS_SQL = _NODES_SQL + "select distinct origin, record_id, path, parent_path from n where kind = 'OBJECT' and path <> ''"
+P4_OFFERS_SQL = _NODES_SQL + """
+select distinct o.record_id, o.path, regexp_replace(o.path, '(^|/)[^/]*$', '') as parent_path,
+  max(f.value ->> '$') filter (where f.name = 'price') as price, max(f.value ->> '$') filter (where f.name = 'priceCurrency') as price_currency
+from n o left join n f on f.origin = o.origin and f.record_id = o.record_id and f.path = o.path || '/' || f.name and f.kind not in ('OBJECT', 'ARRAY')
+where o.origin = 'products' and o.kind = 'OBJECT' and regexp_matches(o.path, '(^|/)offers(/[0-9]+)?$') group by all"""
 
 
 def p4_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +116,8 @@ def p6_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"p2_found": p2_found, "p2_history": p2_history, "p4_found": p4_found, "p4_offers": p4_offers, "p6_found": p6_found, "p6_inferred": p6_inferred}
+    return {"p2_found": p2_found, "p2_history": p2_history, "p4_found": p4_found, "p4_parents": p4_parents, "p4_offers": p4_offers, "p6_found": p6_found, "p6_inferred": p6_inferred}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p2_found": P2_FOUND_SQL, "p2_history": P2_HISTORY_SQL}
+    return {"p2_found": P2_FOUND_SQL, "p2_history": P2_HISTORY_SQL, "p4_found": P4_FOUND_SQL, "p4_parents": P4_PARENTS_SQL, "p4_offers": P4_OFFERS_SQL}

@@ -31,6 +31,7 @@ def test_paths_and_intervals(value):
     if "''" not in repr(value):  # an empty key joins nothing at the root
         assert sorted(found) == plain
         assert sorted(p for p, *_ in N._objects(value)) == plain
+        assert {(p, pre, post) for p, pre, post in N._objects(value)} == {(n[0], n[4], n[5]) for n in nodes if n[2] == "object" and n[3]}
     spans = {n[4]: n[5] for n in nodes}
     for _, _, _, depth, pre, post, parent, _ in nodes:
         assert pre < post
@@ -68,6 +69,35 @@ def test_deep_and_long_records(spark):
     assert sum(r == 0 for r, _ in got) == 899 and sum(r == 1 for r, _ in got) == 5000 and (2, "a") in got
 
 
+@settings(max_examples=300, deadline=None)
+@given(JSON, st.integers(0, 40), st.sampled_from(["", "}", "]", ",", ":", '"', "x", "1", " "]))
+def test_deep_parser_agrees_with_the_plain_one(value, at, more):
+    text = json.dumps(value)
+    for t in (text, text[:at] + more + text[at:], json.dumps(value, indent=1), text[:at]):
+        try:
+            want = N._decode(t)
+        except ValueError:
+            want = None
+        assert N._decode_deep(t) == want
+
+
+def test_records_of_any_depth():
+    deep = '{"k":[' * 100_000 + "1" + "]}" * 100_000
+    record = N.parse_record(json.dumps(deep))
+    for _ in range(99_999):
+        record = record["k"][0]
+    assert record == {"k": [1]}
+    assert N.parse_record(deep + "]") is None
+    middle = '{"k":' * 5000 + "{}" + "}" * 5000
+    assert sum(1 for _ in N._objects(N.parse_record(middle))) == 5000
+
+
+def test_parents_by_containment(spark):
+    df = spark.createDataFrame([(1, '{"a": {"b": [{"c": {"d": {}}}, {}]}}'), (2, '[{"a": {}}]')], "id long, j string")
+    got = {(r.record_id, r.path, r.parent_path) for r in N.parents(N.object_paths(df, "id", "j", "x")).collect()}
+    assert got == {(1, "a", ""), (1, "a/b/0", "a"), (1, "a/b/0/c", "a/b/0"), (1, "a/b/0/c/d", "a/b/0/c"), (1, "a/b/1", "a"), (2, "0", ""), (2, "0/a", "0")}
+
+
 def test_tables_link_to_parents(spark):
     rows = [(1, '{"offers": [{"p": "1"}, {"p": "2", "q": {"z": 1}}]}'), (1, '{"offers": [{"p": "1"}, {"p": "2", "q": {"z": 1}}]}'), (None, '{"offers": [{"p": "9"}]}')]
     df = spark.createDataFrame(rows, "id long, j string")
