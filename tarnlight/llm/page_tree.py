@@ -30,7 +30,7 @@ _FURNITURE_TAGS = frozenset("nav footer aside form noscript button select header
 # Words of class, id and role that name furniture or the body.
 _FURNITURE_NAME = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adslot|advert\w*|banner\w*|bottom|breadcrumbs?|crumbs?|comments?|consent|cookies?|cc|gdpr|privacy|notice|disqus|footer|foot|langs?|language\w*|login|menu|menubar|modal|nav|navbar|navigation|"
-    r"newsletter|overlay|pager|pagination|popup|promo\w*|rail|related|recommend\w*|search|share|sharing|sidebar|side|signup|sign-up|social|sponsor\w*|subscribe|tags?|toolbar|top|topbar|widget|to|bo|ra|cr|sh)(?:$|[\s_-])",
+    r"newsletter|overlay|pager|pagination|popup|promo\w*|rail|related|recommend\w*|search|share|sharing|sidebar|side|signup|sign-up|social|sponsor\w*|subscribe|tags?|toolbar|top|topbar|widget)(?:$|[\s_-])",
     re.I,
 )
 _BODY_NAME = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|page|post|text|blog|story|col)(?:$|[\s_-]|\d)", re.I)
@@ -306,21 +306,20 @@ def furniture_line(line: str) -> bool:
 
 @lru_cache(maxsize=50_000)
 def _furniture_text(text: str) -> bool:
-    return len(text) <= 200 and _LINE_FURNITURE.match(text) is not None
+    return _LINE_FURNITURE.match(text) is not None
 
 
 def _furniture_labels(line: str, text: str) -> bool:
     """True for rows of labels, however they are set apart."""
-    if len(text) > 400 or not any(w in _LABEL_STARTS for w in (text.split(" ", 1)[0],)):
+    if text.split(" ", 1)[0] not in _LABEL_STARTS:
         return False
     labels = [x.strip(" [-").casefold() for x in _SPLIT_LABELS.split(line) if x.strip(" [-")]
     if len(labels) > 1 and sum(x in _LABELS for x in labels) * 2 > len(labels):
         return True
     words = text
-    if len(words) < 90:
-        for label in _LABELS_BY_LENGTH:
-            if label in words:
-                words = words.replace(label, " ")
+    for label in _LABELS_BY_LENGTH:
+        if label in words:
+            words = words.replace(label, " ")
     return not words.strip()
 
 
