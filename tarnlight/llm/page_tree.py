@@ -39,6 +39,8 @@ _SPACE = re.compile(r"\s+")
 
 _PARAGRAPHS = frozenset("p pre blockquote li td h1 h2".split())
 _MAY_HOLD = frozenset("td li blockquote".split())
+_TITLES = frozenset("h2 h3 h4 h5 h6".split())
+_BOXES = frozenset("table tr td div section ul ol article main".split())
 
 
 @dataclass(slots=True)
@@ -50,6 +52,7 @@ class Node:
     points: float = 0.0
     text: int = 0
     linked: int = 0
+    titles: int = 0
     furniture: bool = False
 
 
@@ -122,12 +125,15 @@ def measure(node: Node) -> None:
             if type(c) is Node:
                 n.text += c.text
                 n.linked += c.linked
+                n.titles += c.titles
             else:
                 size = len(c) if not c.isspace() else 0
                 n.text += size
                 if linked:
                     n.linked += size
                 commas += c.count(",") + c.count("、")
+        if n.tag in _TITLES:
+            n.titles = n.text
         leaf = n.tag in _PARAGRAPHS and not (n.tag in _MAY_HOLD and any(type(c) is Node and c.tag not in _INLINE for c in n.children))
         if leaf and n.text and not n.furniture:
             score = (1 + commas + min(n.text / 60, 4)) * (1 - n.linked / max(n.text, 1))
@@ -175,8 +181,13 @@ def body_nodes(root: Node) -> list[Node | str]:
     return keep
 
 
-def block_texts(nodes: list[Node | str], furniture: bool = False) -> list[str]:
-    """Texts of the blocks in order; furniture inside is left out unless asked for."""
+def _links_only(n: Node) -> bool:
+    """True for a box that holds links and their titles only."""
+    return n.tag in _BOXES and n.linked > 0 and n.text - n.titles <= n.linked * 1.1
+
+
+def block_texts(nodes: list[Node | str], furniture: bool = False, links: bool = True) -> list[str]:
+    """Texts of the blocks in order; furniture inside is left out unless asked for, boxes of links if told so."""
     out: list[str] = []
     run: list[str] = []
 
@@ -198,7 +209,7 @@ def block_texts(nodes: list[Node | str], furniture: bool = False) -> list[str]:
             run.append(n if n == "\n" or "\n" not in n else n.replace("\n", " "))
         elif n.tag == "#pre":
             run.append(n.name)
-        elif (n.furniture and not furniture) or n.tag in ("head", "title"):
+        elif (n.furniture and not furniture) or n.tag in ("head", "title") or (not links and _links_only(n)):
             flush()
         else:
             inline = n.tag in _INLINE
@@ -221,7 +232,7 @@ def block_texts(nodes: list[Node | str], furniture: bool = False) -> list[str]:
 
 
 def message_texts(root: Node) -> list[str]:
-    """Texts outside furniture, and those for browsers without scripts: what a page says when it has no body."""
+    """Texts outside furniture and boxes of links, and those for browsers without scripts: what a page says when it has no body."""
     out: list[str] = []
     stack: list[Node] = [root]
     quiet: list[Node] = []
@@ -233,7 +244,7 @@ def message_texts(root: Node) -> list[str]:
             stack.extend(c for c in reversed(n.children) if type(c) is Node)
     for n in quiet:
         out.extend(block_texts(list(n.children), True))
-    return block_texts([root]) + out
+    return [x for x in block_texts([root], links=False) if not _path_line(x)] + out
 
 
 def _strings(n: Node) -> list[str]:
@@ -399,14 +410,19 @@ def _as_node(text: str, parent: Node) -> Node:
 _CRUMBS = re.compile(r"^([^›/.!?]{1,40}) ([›/]) [^›/]{1,60} \2 .+")
 
 
+def _path_line(line: str) -> bool:
+    """True for the path of a page below a label of the site's menu."""
+    crumbs = _CRUMBS.match(line.strip())
+    return crumbs is not None and crumbs[1].strip(" [").casefold() in _LABELS
+
+
 def markdown_messages(lines: list[str]) -> list[str]:
     """Lines outside furniture where only the markdown is there: no lists under a heading of the site, no paths."""
     root, owner = markdown_tree(lines)
     measure(root)
     out = []
     for i in sorted(owner):
-        crumbs = _CRUMBS.match(lines[i].strip())
-        if not owner[i].furniture and not (crumbs and crumbs[1].strip().casefold() in _LABELS):
+        if not owner[i].furniture and not _path_line(lines[i]):
             out.append(lines[i])
     return out
 

@@ -201,7 +201,8 @@ def mine(said: DataFrame, usual: float, seeds: dict[str, str] | None = None) ->
     """Message templates: back (counted from the end), template, n, kind.
 
     said are records, usual is their usual_size. Pages are mined that have no heading or say less than
-    LITTLE of the usual; counting is done over all pages (matches).
+    LITTLE of the usual; counting is done over all pages (matches). A template of one line without seed
+    words can get no verdict and is not sent on.
     """
     seeds = SEEDS if seeds is None else seeds
     def drain(miners: tuple[TemplateMiner, TemplateMiner]) -> pa.RecordBatch:
@@ -234,7 +235,8 @@ def mine(said: DataFrame, usual: float, seeds: dict[str, str] | None = None) ->
     same = partial.groupBy("back", "key", "template").agg(F.sum("n").alias("n"), F.max("kind").alias("kind"))
     # All templates of one (direction, length, first words) meet in one task: distinct templates, not rows.
     together = same.repartition("key").sortWithinPartitions("key", F.desc("n"), "template").select("back", "template", "n", "kind")
-    return together.mapInArrow(merge, "back boolean, template array<string>, n bigint, kind string")
+    merged = together.mapInArrow(merge, "back boolean, template array<string>, n bigint, kind string")
+    return merged.filter("n > 1 or kind is not null")
 
 
 def collect_templates(templates: DataFrame) -> list[tuple[bool, list[str], str | None]]:

@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -120,30 +121,41 @@ class Encoder:
 
 
 class Model:
-    """Weights of slots by area: the log of a slot's share of its language's text over its share of the area's complement."""
+    """Weights of slots by area: the log of a slot's share of its language's text over its share of the area's complement.
 
-    def __init__(self, areas: list[str], counts: np.ndarray, holders: np.ndarray):
-        """counts: (slots of all languages, areas); holders: documents with the slot. Slots of fewer than MIN_DOCUMENTS weigh nothing."""
+    Only slots that weigh anything are held; place leads from a slot to its row, the last row weighs nothing.
+    """
+
+    def __init__(self, areas: list[str], at: np.ndarray, counts: np.ndarray, holders: np.ndarray):
+        """at: slots; counts: (slots, areas); holders: documents with the slot. Slots of fewer than MIN_DOCUMENTS weigh nothing."""
         self.areas = areas
         k = len(areas)
         known = holders >= MIN_DOCUMENTS
-        each = np.where(known[:, None], counts, 0.0).reshape(len(LANGUAGES), SLOTS, k)
-        total = each.sum(2)
-        by_area = each.sum(1)
+        self.at, each = at[known], counts[known]
+        of = self.at // SLOTS
+        by_area = np.zeros((len(LANGUAGES), k))
+        np.add.at(by_area, of, each)
+        total = each.sum(1)
         n = np.maximum(by_area.sum(1), 1e-9)
-        base = np.log((total + ALPHA * k) / n[:, None])
-        rest = np.log((total[:, :, None] - each + ALPHA * max(k - 1, 1)) / np.maximum(n[:, None] - by_area, 1e-9)[:, None, :])
-        self.weights = ((base[:, :, None] - rest).reshape(-1, k) * known[:, None]).astype(np.float32)
+        base = np.log((total + ALPHA * k) / n[of])
+        rest = np.log((total[:, None] - each + ALPHA * max(k - 1, 1)) / np.maximum((n[:, None] - by_area)[of], 1e-9))
+        self.rows = np.vstack([base[:, None] - rest, np.zeros((1, k))]).astype(np.float32)
+
+    @cached_property
+    def place(self) -> np.ndarray:
+        found = np.full(len(LANGUAGES) * SLOTS, len(self.at), np.int32)
+        found[self.at] = np.arange(len(self.at), dtype=np.int32)
+        return found
 
     def only_telling(self) -> Model:
         """Leaves out words that tell no area: in the refined model they only add up to noise."""
-        self.weights[self.weights.max(1, initial=0.0) < TELLING] = 0
+        self.rows[self.rows.max(1, initial=0.0) < TELLING] = 0
         return self
 
     def likelihoods(self, words: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Likelihood of every sentence per area, relative to text about no area."""
         total = np.zeros((len(words) + 1, len(self.areas)), np.float64)
-        np.cumsum(self.weights[words], axis=0, out=total[1:], dtype=np.float64)
+        np.cumsum(self.rows[self.place[words]], axis=0, out=total[1:], dtype=np.float64)
         return np.exp(np.clip(total[starts[1:]] - total[starts[:-1]], -20, 20))
 
     def posteriors(self, lik: np.ndarray, docs: np.ndarray, prior: np.ndarray | None = None, rounds: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -231,13 +243,14 @@ def train(encoded: DataFrame, labels: DataFrame, areas: DataFrame, rounds: int =
 
 def _train(encoded: DataFrame, labelled: list, names: list[str], rounds: int) -> tuple[Model, Calibration]:
     index = {a: j for j, a in enumerate(names)}
-    counts, holders = np.zeros((len(LANGUAGES) * SLOTS, len(names))), np.zeros(len(LANGUAGES) * SLOTS, np.int64)
+    at = np.unique(np.array([w for _, words, _, _ in labelled for w in words], np.int64))
+    counts, holders = np.zeros((len(at), len(names))), np.zeros(len(at), np.int64)
     for _, words, _, subjects in labelled:
-        at = np.array(words, np.int64)
+        rows = np.searchsorted(at, np.array(words, np.int64))
         for a in subjects:
-            np.add.at(counts[:, index[a]], at, 1 / len(subjects))
-        holders[np.unique(at)] += 1
-    model = Model(names, counts, holders)
+            np.add.at(counts[:, index[a]], rows, 1 / len(subjects))
+        holders[np.unique(rows)] += 1
+    model = Model(names, at, counts, holders)
     by_doc = {d: [index[a] for a in ls] for d, _, _, ls in labelled}
     for _ in range(rounds):
         model = Model(names, *_expected_counts(encoded, model, by_doc))
@@ -245,12 +258,12 @@ def _train(encoded: DataFrame, labelled: list, names: list[str], rounds: int) ->
     return model, _calibrate(model, labelled)
 
 
-def _expected_counts(encoded: DataFrame, model: Model, labelled: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    """One round over all documents: soft counts of the slots by area, and the documents that hold them.
+def _expected_counts(encoded: DataFrame, model: Model, labelled: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One round over all documents: the slots, their soft counts by area, and the documents that hold them.
 
     Text about no area counts for all areas alike.
     """
-    k, size = len(model.areas), len(model.weights)
+    k, size = len(model.areas), len(LANGUAGES) * SLOTS
     shared = encoded.sparkSession.sparkContext.broadcast((model, labelled))
 
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,13 +295,10 @@ def _expected_counts(encoded: DataFrame, model: Model, labelled: dict[int, list[
     columns = [f"c{j}" for j in range(k)]
     partial = encoded.mapInArrow(expect, ", ".join(["w int, n bigint", *(f"{c} double" for c in columns)]))
     rows = partial.groupBy("w").agg(*map(F.expr, ("sum(n) as n", *(f"sum({c}) as {c}" for c in columns)))).toArrow()
-    counts, holders = np.zeros((size, k)), np.zeros(size, np.int64)
-    at = rows.column("w").to_numpy()
-    holders[at] = rows.column("n").to_numpy()
-    for j, c in enumerate(columns):
-        counts[at, j] = rows.column(c).to_numpy()
     shared.unpersist()
-    return counts, holders
+    order = np.argsort(rows.column("w").to_numpy())
+    counts = np.array([rows.column(c).to_numpy()[order] for c in columns]).reshape(k, -1).T
+    return rows.column("w").to_numpy()[order].astype(np.int64), counts, rows.column("n").to_numpy()[order]
 
 
 @dataclass
