@@ -151,7 +151,7 @@ def recommendation_share(judged: DataFrame, models: DataFrame, brand: str) -> Da
             *[F.count_if(F.col("sentiment") == s).alias(f"n_{s}") for s in ("positive", "neutral", "negative")],
         )
 
-    rows = judged.withColumn("sentiment_", F.lit(1)).join(F.broadcast(models.select("model")), "model", "left_semi")
+    rows = judged.withColumn("sentiment_", F.lit(1)).join(models.select("model"), "model", "left_semi")
     per_model = metrics(rows.groupBy("model"))
     empty = models.select("model").join(per_model, "model", "left_anti").select(
         "model", F.lit(0).cast("long").alias("n_judged"), F.lit(0.0).alias("mention_rate"), F.lit(0.0).alias("recommendation_rate"), F.lit(None).cast("double").alias("avg_position"),

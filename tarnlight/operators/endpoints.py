@@ -57,7 +57,7 @@ def usage_flag(value: Column, name: str) -> Column:
 
 
 def site_checks(fetches: DataFrame) -> DataFrame:
-    """One row per site with every check and the agent score; conditional aggregates, one shuffle."""
+    """One row per site with every check and the score of the endpoints, to which agent_readiness adds that of the page; conditional aggregates, one shuffle."""
     f = fetches.withColumn("content_type", F.coalesce(header("content-type"), F.lit("")))
     f = f.withColumn("usage", F.when(_hit() & (F.col("method") == "HEAD"), F.nullif(F.trim(header("content-usage")), F.lit(""))))
     get = F.col("method") == "GET"
@@ -103,6 +103,17 @@ def is_html(content_type: Column) -> Column:
     return F.coalesce(F.lower(content_type).contains("text/html"), F.lit(False))
 
 
+def agent_readiness(checks: DataFrame, signals: DataFrame) -> DataFrame:
+    """checks (site_checks) with the agent score in full.
+
+    signals: site, semantic_score (0 to 3) and nlweb_schema (boolean) of the site's main page, one row per
+    site. Sites without such a page get no points for it; a score is at most 20.
+    """
+    page = signals.select("site", "semantic_score", "nlweb_schema")
+    more = F.coalesce("semantic_score", F.lit(0)) + F.when(F.coalesce("nlweb_schema", F.lit(False)), 0.5).otherwise(0.0)
+    return checks.join(page, "site", "left").withColumn("agent_score", F.least(F.lit(20.0), F.col("agent_score") + more))
+
+
 def check_totals(checks: DataFrame) -> DataFrame:
     """Sites that pass each agent check, as number and percentage: (check, n, pct); unpivoted before the sums."""
     flags = {

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.runtime import unambiguous
+from tarnlight.runtime import broadcast_if_small, spread, unambiguous
 
 # Exact conversion factors (international avoirdupois pound, inch, US gallon / 128).
 LB = Fraction(45359237, 100000)
@@ -269,7 +269,7 @@ def extract(products: DataFrame, rates: DataFrame) -> DataFrame:
         F.col("listing_id").cast("long"), F.col("seen_at").cast("timestamp_ntz"), "price", "currency",
         F.map_keys("specifications").alias("k"), F.map_values("specifications").alias("v"),
     )
-    return rows.mapInArrow(read, "listing_id bigint, seen_at timestamp_ntz, quantity string, amount double, rounded bigint, is_stated boolean, source string")
+    return spread(rows).mapInArrow(read, "listing_id bigint, seen_at timestamp_ntz, quantity string, amount double, rounded bigint, is_stated boolean, source string")
 
 
 def stated_amounts(products: DataFrame, rates: DataFrame) -> DataFrame:
@@ -349,7 +349,7 @@ def infer_units(amounts: DataFrame, model: dict, sure: float = 0.9) -> DataFrame
     spark = amounts.sparkSession
     table = spark.createDataFrame(choices, "quantity string, unit string, lw double, mu double, sigma double, factor double")
     per_quantity = table.groupBy("quantity").agg(F.collect_list(F.struct("unit", "lw", "mu", "sigma", "factor")).alias("choices"))
-    scored = rows.join(F.broadcast(per_quantity), "quantity").withColumn(
+    scored = rows.join(broadcast_if_small(per_quantity), "quantity").withColumn(
         "scores",
         F.transform("choices", lambda c: F.struct(
             (c["lw"] - F.pow((F.log(F.col("number") * c["factor"]) - c["mu"]) / c["sigma"], 2) / 2).alias("score"), c["unit"].alias("unit"), c["factor"].alias("factor"))),

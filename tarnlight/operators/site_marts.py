@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tarnlight.functions import urls
-from tarnlight.runtime import durable
+from tarnlight.runtime import broadcast_if_small, durable
 
 
 def aggregate_sites(pages: DataFrame, site: str = "site") -> DataFrame:
@@ -37,15 +37,16 @@ def aggregate_sites(pages: DataFrame, site: str = "site") -> DataFrame:
     )
 
 
-def ranked(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Adds 1..n in the given total order without one sorting task: rows are range-partitioned, ranked
+def ranked(df: DataFrame, order: list[Column], name: str = "rank", total: str | None = None) -> DataFrame:
+    """Adds 1..n (and, if named, the total n) in the given total order without one sorting task: rows are range-partitioned, ranked
     in their partition and shifted by the sizes of the partitions before."""
     parts = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
     local = parts.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
     local = durable(local)  # the partition numbers must not be computed anew
     sizes = local.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_off")
-    return local.join(F.broadcast(before), "_p").withColumn(name, F.col("_off") + F.col("_r")).drop("_p", "_r", "_off")
+    before = sizes.withColumn("_off", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    before = before.select("_p", "_off", F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("_all"))
+    return local.join(broadcast_if_small(before), "_p").withColumn(name, F.col("_off") + F.col("_r")).withColumns({total: F.col("_all")} if total else {}).drop("_p", "_r", "_off", "_all")
 
 
 def leaderboard(sites: DataFrame, waste: str = "waste_pct", key: str = "site") -> DataFrame:
@@ -53,6 +54,17 @@ def leaderboard(sites: DataFrame, waste: str = "waste_pct", key: str = "site") -
     return ranked(sites, [F.coalesce(F.col(waste), F.lit(100.0)).asc(), F.col(key).asc()])
 
 
+def overall(sites: DataFrame, pages: DataFrame, n: int = 5) -> DataFrame:
+    """Sites with robots, llms and overall score, their rank (best first, ties by site), and whether they are among the first or last n.
+
+    sites are those of aggregate_sites; robots and llms score are facts of the site and equal on its pages.
+    """
+    facts = pages.groupBy("site").agg(F.max("robots_score").alias("robots_score"), F.max("llms_score").alias("llms_score"))
+    scored = sites.join(facts, "site").withColumn("overall_score", F.bround(F.col("robots_score") + F.col("llms_score") + F.col("schema_score") + F.col("content_score"), 1))
+    rows = ranked(scored, [F.col("overall_score").desc(), F.col("site").asc()], total="_total")
+    return rows.withColumn("is_top", F.col("rank") <= n).withColumn("is_bottom", F.col("rank") > F.col("_total") - n).drop("_total")
+
+
 def rag_ready(llms_found: Column, bots: Column, robots_found: Column, waste: Column, threshold: float) -> Column:
     """llms.txt there, no known bot blocked, waste below the threshold."""
     return llms_found & (~robots_found | F.forall(bots, lambda b: b["allowed"])) & (waste < threshold)
@@ -60,7 +72,7 @@ def rag_ready(llms_found: Column, bots: Column, robots_found: Column, waste: Col
 
 def category_stats(df: DataFrame, category: str, score: str, key: str, words: str) -> DataFrame:
     """Count, mean score, mean words and the best member per category (ties: the smaller key)."""
-    best = F.max_by(F.col(key), F.struct(F.col(score), -F.xxhash64(F.col(key))))
+    best = F.min_by(F.col(key), F.struct(-F.col(score), F.col(key)))
     return df.groupBy(category).agg(
         F.count("*").alias("n"), F.bround(F.avg(score), 1).alias("avg_score"), F.bround(F.avg(words), 0).alias("avg_words"), F.max(score).alias("best_score"), best.alias("best")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +11,9 @@ from tarnlight.functions import html as H
 from tarnlight.functions import markdown as M
 from tarnlight.functions import readiness
 from tarnlight.functions import urls as U
-from tarnlight.operators import answer_analytics, discovery, endpoints, generated_texts, score_changes, site_marts
+from tarnlight.operators import answer_analytics, discovery, endpoints, generated_texts, score_changes, site_marts, structured_data
 from tarnlight.plans.content_queries import _QUIET, _VISIBLE, _WS, _metrics_sql
-from tarnlight.runtime import durable, table
+from tarnlight.runtime import broadcast_if_small, durable, table
 
 # Robots files by kind of site (length of the host modulo 4); the tables hold no robots files of their own.
 ROBOTS = {
@@ -30,7 +30,7 @@ def _sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _robots(spark: SparkSession, sf_dir: str) -> DataFrame:
     bodies = spark.createDataFrame(list(ROBOTS.items()), "kind int, body string")
-    return _sites(spark, sf_dir).join(F.broadcast(bodies), "kind").select("site", "kind", "body")
+    return _sites(spark, sf_dir).join(broadcast_if_small(bodies), "kind").select("site", "kind", "body")
 
 
 def bot_access(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -196,10 +196,42 @@ select site, waste_pct, row_number() over (order by coalesce(waste_pct, 100), si
 def category_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics of site scores by the top-level label of the host."""
     sites = _site_rows(spark, sf_dir).withColumn("category", F.substring_index("site", ".", -1)).withColumn("score", F.col("schema_score") + F.col("content_score"))
-    return site_marts.category_stats(sites, "category", "score", "site", "avg_words").drop("best")
+    return site_marts.category_stats(sites, "category", "score", "site", "avg_words")
 
 
-CATEGORY_SQL = f"""with {_SITE_ROWS_SQL} select regexp_extract(site, '[^.]*$') as category, count(*) as n, round_even(avg(schema_score + content_score), 1) as avg_score, round_even(avg(avg_words), 0) as avg_words, max(schema_score + content_score) as best_score from t group by 1"""
+CATEGORY_SQL = f"""with {_SITE_ROWS_SQL} select regexp_extract(site, '[^.]*$') as category, count(*) as n, round_even(avg(schema_score + content_score), 1) as avg_score, round_even(avg(avg_words), 0) as avg_words, max(schema_score + content_score) as best_score,
+  arg_min(site, (-(schema_score + content_score), site)) as best from t group by 1"""
+
+
+def site_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sites by overall score, the first and last five marked."""
+    pages = readiness.with_scores(_page_rows(spark, sf_dir)).filter("site is not null")
+    rows = site_marts.overall(site_marts.aggregate_sites(pages), pages)
+    return rows.select("site", "robots_score", "llms_score", "schema_score", "content_score", "overall_score", F.col("rank").cast("long").alias("rank"), "is_top", "is_bottom")
+
+
+OVERALL_SQL = f"""with {_SITE_ROWS_SQL}, f as (select site, max(robots_score) as robots_score, max(llms_score) as llms_score from s where site is not null group by 1),
+o as (select site, robots_score, llms_score, schema_score, content_score, round_even(robots_score + llms_score + schema_score + content_score, 1) as overall_score from t join f using (site))
+select *, row_number() over w as rank, row_number() over w <= 5 as is_top, row_number() over w > count(*) over () - 5 as is_bottom from o window w as (order by overall_score desc, site)"""
+
+
+def lint_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by check and verdict."""
+    return lint_results(spark, sf_dir).groupBy("name", "severity").agg(F.count("*").alias("n_pages"))
+
+
+VERDICTS_SQL = f"select name, severity, count(*) as n_pages from ({LINT_SQL}) group by all"
+
+
+def audit_page_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with the latest audit of their address beside their own statistics."""
+    audits = table(spark, sf_dir, "audits").filter("url is not null and ts is not null").groupBy("url").agg(F.max(F.struct("ts", "id", "overall_score")).alias("a"))
+    pages = _page_rows(spark, sf_dir).select("page_id", "url", "word_count", "raw_tokens", "clean_tokens", "waste_pct")
+    return pages.join(audits, "url").select("page_id", F.col("a.id").alias("audit_id"), F.col("a.overall_score").alias("audited_score"), "word_count", "raw_tokens", "clean_tokens", "waste_pct")
+
+
+AUDIT_PAGES_SQL = f"""with {_PAGE_ROWS_SQL}, a as (select url, arg_max(id, (ts, id)) as audit_id from audits where url is not null and ts is not null group by 1)
+select page_id, audit_id, overall_score as audited_score, word_count, raw_tokens, clean_tokens, waste_pct from p join a using (url) join (select distinct id as audit_id, overall_score from audits) using (audit_id)"""
 
 
 def category_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -422,7 +454,7 @@ _OBSERVED = [
 
 def _site_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     seen = spark.createDataFrame(_OBSERVED, "kind int, path string, method string, status int, ct string, usage string, pay string, body string")
-    fetches = _sites(spark, sf_dir).join(F.broadcast(seen), "kind").select(
+    fetches = _sites(spark, sf_dir).join(broadcast_if_small(seen), "kind").select(
         "site", "path", "method", "status", F.map_filter(F.create_map(F.lit("Content-Type"), "ct", F.lit("Content-Usage"), "usage", F.lit("X-Payment"), "pay"), lambda k, v: v.isNotNull()).alias("headers"), "body", F.lit(None).cast("string").alias("error")
     )
     return endpoints.site_checks(fetches)
@@ -438,6 +470,22 @@ ENDPOINTS_SQL = """with s as (select distinct site, length(site) % 4 as kind fro
  (2, null, null, '/AGENTS.md', true, 1.0, null, false, false, false, null, null, 11.0), (3, null, null, null, false, null, null, false, true, true, null, null, 1.5)) select k.* exclude (kind), site from s join k using (kind)"""
 
 
+def agent_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agent score of every site: its endpoints, and the semantics of its main page (the one with the shortest address)."""
+    pages = table(spark, sf_dir, "pages").filter("site is not null and url is not null")
+    main = pages.groupBy("site").agg(F.min_by("html", F.struct(F.length("url"), "url", "page_id")).alias("html"))
+    signals = main.select("site", H.semantic_score(F.col("html")).cast("long").alias("semantic_score"), structured_data.declares_endpoint(H.json_ld_texts(F.col("html"))).alias("nlweb_schema"))
+    return endpoints.agent_readiness(_site_checks(spark, sf_dir), signals).select("site", "semantic_score", "nlweb_schema", "agent_score")
+
+
+AGENT_SQL = rf"""with c as ({ENDPOINTS_SQL}), h as (select site, arg_min(coalesce(html, ''), (length(url), url, page_id)) as html from pages where site is not null and url is not null group by 1),
+q as (select site, {_QUIET} as q, regexp_extract_all(html, '(?is)<script[^>]*type\s*=\s*["'']application/ld\+json["''][^>]*>(.*?)</script\s*>', 1) as blocks from h),
+g as (select site, (regexp_matches(q, '(?i)<(main|article)[\s/>]'))::bigint + (regexp_matches(q, '(?i)<header[\s/>]') and regexp_matches(q, '(?i)<nav[\s/>]'))::int
+  + (len(list_filter(regexp_extract_all(q, '(?i)\srole\s*=\s*["'']?([a-zA-Z]+)', 1), lambda r: lower(r) in ('banner','complementary','contentinfo','form','main','navigation','region','search'))) >= 2)::int as semantic_score,
+  len(list_filter(blocks, lambda b: regexp_matches(b, '"@type"\s*:\s*"({'|'.join((*structured_data.ENDPOINT_TYPES, *structured_data.ENDPOINT_ACTIONS))})"'))) > 0 as nlweb_schema from q)
+select site, semantic_score, nlweb_schema, least(20.0, agent_score + coalesce(semantic_score, 0) + case when nlweb_schema then 0.5 else 0 end)::double as agent_score from c left join g using (site)"""
+
+
 def agent_check_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return endpoints.check_totals(_site_checks(spark, sf_dir))
 
@@ -489,7 +537,7 @@ def watch_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ensure_checkpoint_dir(spark)
     base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    name = tempfile.mktemp(prefix="watch-", dir="").lstrip("/")
+    name = f"watch-{uuid.uuid4().hex}"
     # A file stream reads a folder: the rows go there as a table first.
     folder = f"{base}/{name}"
     source = _audits(spark, sf_dir).select("url", F.col("ts").cast("timestamp").alias("ts"), F.col("overall_score").alias("score"))
@@ -508,7 +556,7 @@ def queries() -> dict:
         "headings_split": headings_split, "history_latest": history_latest, "score_regressions": score_regressions, "baseline_comparison": baseline_comparison, "threshold_failures": threshold_failures,
         "pairwise_comparison": pairwise_comparison, "report_flatten": report_flatten, "monthly_scores": monthly_scores, "citations": citations, "cited_domains": cited_domains,
         "text_brand_mentions": text_brand_mentions, "brand_totals": brand_totals, "response_sentiment": response_sentiment, "recommendation_share": recommendation_share, "prompt_plan": prompt_plan,
-        "endpoint_checks": endpoint_checks, "watch_regressions": watch_regressions, "agent_check_totals": agent_check_totals, "site_insights": site_insights,
+        "endpoint_checks": endpoint_checks, "watch_regressions": watch_regressions, "agent_check_totals": agent_check_totals, "site_insights": site_insights, "site_overall": site_overall, "lint_verdicts": lint_verdicts, "audit_page_statistics": audit_page_statistics, "agent_readiness": agent_readiness,
         "site_owner_lookup": site_owner_lookup, "report_slugs": report_slugs, "page_prompts": page_prompts,
     }
 
@@ -520,5 +568,5 @@ def oracle_sql() -> dict[str, str]:
         "headings_split": SPLIT_SQL, "history_latest": HISTORY_SQL, "score_regressions": REGRESSIONS_SQL, "baseline_comparison": BASELINE_SQL, "threshold_failures": THRESHOLD_SQL,
         "pairwise_comparison": PAIRWISE_SQL, "report_flatten": FLATTEN_SQL, "monthly_scores": MONTHLY_SQL, "citations": CITATIONS_SQL, "cited_domains": DOMAINS_SQL,
         "text_brand_mentions": MENTIONS_SQL, "brand_totals": BRAND_TOTALS_SQL, "response_sentiment": SENTIMENT_SQL, "recommendation_share": SHARE_SQL, "prompt_plan": PLAN_SQL, "endpoint_checks": ENDPOINTS_SQL, "agent_check_totals": TOTALS_SQL,
-        "site_insights": INSIGHTS_SQL, "site_owner_lookup": OWNERS_SQL, "report_slugs": SLUGS_SQL, "page_prompts": PROMPTS_SQL,
+        "site_insights": INSIGHTS_SQL, "site_overall": OVERALL_SQL, "lint_verdicts": VERDICTS_SQL, "audit_page_statistics": AUDIT_PAGES_SQL, "agent_readiness": AGENT_SQL, "site_owner_lookup": OWNERS_SQL, "report_slugs": SLUGS_SQL, "page_prompts": PROMPTS_SQL,
     }

@@ -64,11 +64,13 @@ def unambiguous(df: DataFrame) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; make one only where none is set (tests)."""
+    """Use the shared folder that the session names; make one only where none is set and all runs in one process (tests)."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
     sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tarnlight-checkpoint-"))
 
 
