@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tarnlight.functions import urls
 from tarnlight.llm import page_tree as tree
-from tarnlight.runtime import durable, unambiguous
+from tarnlight.runtime import durable, spread, unambiguous
 
 #: Templates that may be sent to the tasks; templates are few, as numbers and names are masked.
 MAX_TEMPLATES = 500_000
@@ -188,7 +188,7 @@ def records(pages: DataFrame, bodies: bool = False) -> DataFrame:
 
     plain = unambiguous(pages)
     rows = plain.select(F.col("page_id").cast("long"), F.coalesce(urls.entity_key(F.col("url")), F.lit("")).alias("url"), "html", "markdown")
-    return rows.mapInArrow(read, "page_id bigint, url string, headed boolean, n_words int, lines array<string>, body array<bigint>")
+    return spread(rows).mapInArrow(read, "page_id bigint, url string, headed boolean, n_words int, lines array<string>, body array<bigint>")
 
 
 def usual_size(said: DataFrame) -> float:
