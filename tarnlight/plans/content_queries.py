@@ -9,7 +9,7 @@ from tarnlight.functions import html as H
 from tarnlight.functions import markdown as M
 from tarnlight.functions import urls as U
 from tarnlight.operators import discovery, listing_quality, page_markdown, structured_data
-from tarnlight.runtime import table
+from tarnlight.runtime import spread, table
 
 # ---- SQL fragments shared by the oracles -------------------------------------------------------
 _WS = r"\s\p{Z}\x{85}\x1c-\x1f"
@@ -92,11 +92,11 @@ from c"""
 
 
 def content_metrics_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics(table(spark, sf_dir, "pages"), "page_id", "markdown")
+    return _metrics(spread(table(spark, sf_dir, "pages").select("page_id", "markdown")), "page_id", "markdown")
 
 
 def content_metrics_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _metrics(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return _metrics(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 _QUIET = r"""regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<!--.*?-->', ' ', 'g'), '(?is)<script\b[^>]*>.*?</script\s*>', ' ', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', ' ', 'g')"""
@@ -107,7 +107,7 @@ _VISIBLE = (
 
 def page_token_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw, clean = M.token_estimate(F.col("html")), M.token_estimate(F.col("text"))
-    rows = table(spark, sf_dir, "pages").select("page_id", "html", H.visible_text(F.col("html")).alias("text"))
+    rows = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "html", H.visible_text(F.col("html")).alias("text"))
     return rows.select("page_id", raw.alias("raw_tokens"), clean.alias("clean_tokens"), M.waste_pct(raw, clean).alias("waste_pct"), M.word_count(F.col("text")).cast("long").alias("words"))
 
 
@@ -120,7 +120,7 @@ select page_id, raw as raw_tokens, length(t) // 4 as clean_tokens, case when raw
 def html_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = F.col("html")
     q = H.quiet(h)
-    return table(spark, sf_dir, "pages").select(
+    return spread(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
         "page_id", H.title(h).alias("title"), *[H.has_tag(q, t).alias(f"has_{t}") for t in ("main", "article", "header", "footer", "nav")],
         H.semantic_score(h).cast("long").alias("semantic_score"), F.size(H.hrefs(h)).cast("long").alias("n_links"), H.has_date(h).alias("has_date"), H.has_author(h).alias("has_author"),
         H.any_link(H.hrefs(h), r"(?i)/about(-us)?(/|$)").alias("has_about"), H.any_link(H.hrefs(h), r"(?i)mailto:|tel:|/contact(-us)?(/|$)").alias("has_contact"),

@@ -13,7 +13,7 @@ from tarnlight.functions import readiness
 from tarnlight.functions import urls as U
 from tarnlight.operators import answer_analytics, discovery, endpoints, generated_texts, score_changes, site_marts, structured_data
 from tarnlight.plans.content_queries import _QUIET, _VISIBLE, _WS, _metrics_sql
-from tarnlight.runtime import broadcast_if_small, durable, table
+from tarnlight.runtime import broadcast_if_small, durable, spread, table
 
 # Robots files by kind of site (length of the host modulo 4); the tables hold no robots files of their own.
 ROBOTS = {
@@ -77,7 +77,7 @@ def _bots_column():
 def _page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide page rows: content metrics, token waste, site facts by kind of site, types of the markup in use."""
     raw, clean = M.token_estimate(F.col("html")), M.token_estimate(F.col("text"))
-    rows = table(spark, sf_dir, "pages").select("page_id", "url", "site", "error", "markdown", "html", H.visible_text(F.col("html")).alias("text"))
+    rows = spread(table(spark, sf_dir, "pages").select("page_id", "url", "site", "error", "markdown", "html")).select("page_id", "url", "site", "error", "markdown", "html", H.visible_text(F.col("html")).alias("text"))
     metrics = {n: c for n, c in M.content_metrics(F.col("markdown")).items()}
     kind = F.pmod(F.length("site"), F.lit(4))
     types = F.array_compact(F.array(F.when(F.col("html").contains("<article"), "Article"), F.when(F.col("html").contains("<pre"), "HowTo"), F.when(F.col("html").contains("<table><"), "Dataset")))

@@ -122,7 +122,9 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     have at least that many splits, pass unchanged, so nothing is shuffled at scale.
     """
     sc = df.sparkSession.sparkContext
-    want = sc.defaultParallelism * per_core
-    if df.rdd.getNumPartitions() >= sc.defaultParallelism:
+    plan = df._jdf.queryExecution().executedPlan()
+    if "AdaptiveSparkPlan" in plan.nodeName():  # not a scan: counting its partitions would run it
         return df
-    return df.repartition(want)
+    if plan.execute().getNumPartitions() >= sc.defaultParallelism:
+        return df
+    return df.repartition(sc.defaultParallelism * per_core)
