@@ -261,7 +261,7 @@ def resolve(values: DataFrame, value: str, reference: DataFrame, entry_id: str,
     distinct = values.select(F.col(value).cast("string").alias("value")).filter(F.col("value").rlike(r"[^\s\p{Z}]")).distinct()
     # Few bytes but much work: adaptive execution must not merge the values into few tasks.
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    distinct = distinct.repartition(tasks, "value")
+    distinct = distinct.repartition(tasks)
     if shards > 1:
         distinct = durable(distinct)
     ranks = None
