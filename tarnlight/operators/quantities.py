@@ -1,26 +1,29 @@
 """Prices, masses, volumes, lengths and powers in common units.
 
 Stated amounts (a unit stands in the key or value) are converted with exact fractions. Amounts
-without a unit are given one by a log-scale mixture: per quantity a component for every unit,
-all of one shape and shifted against each other by the logarithm of the known conversion factor;
-expectation-maximisation fits the shape, the centre and the weights, and every amount gets the
-unit of the highest posterior, flagged uncertain below a threshold. The fit sees counts per
-logarithmic bin of all rows, never a sample, so its input is bounded at every size of table.
+without a unit are given one by a log-scale mixture: per quantity a component for every unit (for
+prices every currency of the rates), all of one shape and shifted against each other by the
+logarithm of the known conversion factor; expectation-maximisation fits the centre, the spread and
+the weights, first of all amounts, then of each seller, and every amount gets the unit of the
+highest posterior, flagged uncertain below a threshold. The fit sees the exact amounts of all rows,
+equal ones of a seller once with their count, and its rounds run on the executors until nothing moves.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
+from dataclasses import dataclass, replace
 from decimal import Decimal, InvalidOperation
 from fractions import Fraction
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnlight.runtime import broadcast_if_small, spread, unambiguous
+from tarnlight.runtime import broadcast_if_small, durable, spread, unambiguous
 
 # Exact conversion factors (international avoirdupois pound, inch, US gallon / 128).
 LB = Fraction(45359237, 100000)
@@ -187,6 +190,18 @@ def unstated(key: str, value: str | None) -> tuple[str, float] | None:
     return (quantity, float(amount)) if amount else None
 
 
+def unstated_price(price: str | None, currency: str | None) -> float | None:
+    """The number of a price that is a number alone, where no currency is named in its column either."""
+    if not price or (currency and currency.strip()):
+        return None
+    bare = _BARE.fullmatch(_AFTER.sub("", _ABOUT.sub("", price)))
+    amount = number(bare[1]) if bare else None
+    try:
+        return float(amount) if amount else None
+    except OverflowError:
+        return None
+
+
 class Prices:
     """Reads prices against a table of rates: currency code to (US dollars per unit, sign)."""
 
@@ -224,30 +239,37 @@ class Prices:
         return value * self.usd[code] * 100
 
 
-def extract(products: DataFrame, rates: DataFrame) -> DataFrame:
-    """Every amount of every listing: listing_id, seen_at, quantity, amount (common unit), is_stated, source.
-
-    products: listing_id, seen_at, price, currency, specifications. rates (currency, usd_per_unit,
-    symbol) is the table of currencies of the world and is read to the driver: at most 1,000 rows,
-    else an error. NULL and empty prices and specifications, unknown currencies and unreadable
-    numbers give no row. Amounts without unit keep their number, is_stated false. Where several
-    entries state one quantity, the one whose key comes first by alphabet counts.
-    """
+def _rate_rows(rates: DataFrame) -> list[tuple[str, float, str | None]]:
     known = rates.select("currency", "usd_per_unit", "symbol").dropna(subset=["currency", "usd_per_unit"]).limit(1001).collect()
     if len(known) > 1000:
         raise ValueError("more than 1,000 currencies")
-    rate_rows = [tuple(r) for r in known]
-    schema = pa.schema([("listing_id", pa.int64()), ("seen_at", pa.timestamp("us")), ("quantity", pa.string()), ("amount", pa.float64()), ("rounded", pa.int64()), ("is_stated", pa.bool_()), ("source", pa.string())])
+    return [tuple(r) for r in known]
+
+
+def extract(products: DataFrame, rates: DataFrame) -> DataFrame:
+    """Every amount of every listing: listing_id, seen_at, quantity, amount (common unit), is_stated, source, seller.
+
+    products: listing_id, seen_at, price, currency, specifications, and seller_id where there is
+    one. rates (currency, usd_per_unit, symbol) is the table of currencies of the world and is read
+    to the driver: at most 1,000 rows, else an error. NULL and empty prices and specifications,
+    unknown currencies and unreadable numbers give no row. Amounts without unit, and prices without
+    any currency, keep their number, is_stated false. Where several entries state one quantity, the
+    one whose key comes first by alphabet counts.
+    """
+    rate_rows = _rate_rows(rates)
+    schema = pa.schema([("listing_id", pa.int64()), ("seen_at", pa.timestamp("us")), ("quantity", pa.string()), ("amount", pa.float64()), ("rounded", pa.int64()), ("is_stated", pa.bool_()), ("source", pa.string()), ("seller", pa.string())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prices = Prices(rate_rows)
         seen: dict[tuple[str, str | None], list] = {}
         for batch in batches:
             out: list[tuple] = []
-            for lid, at, price, currency, keys, values in zip(*(c.to_pylist() for c in batch.columns)):
+            for lid, at, price, currency, keys, values, seller in zip(*(c.to_pylist() for c in batch.columns)):
                 cents = prices.cents(price, currency)
                 if cents is not None:
-                    out.append((lid, at, "price", float(cents), nearest(cents), True, "price"))
+                    out.append((lid, at, "price", float(cents), nearest(cents), True, "price", seller))
+                elif (bare_price := unstated_price(price, currency)) is not None:
+                    out.append((lid, at, "price", bare_price, None, False, "price", seller))
                 done = set()
                 for key, value in sorted(zip(keys or (), values or ())):
                     entry = seen.get((key, value))
@@ -261,15 +283,17 @@ def extract(products: DataFrame, rates: DataFrame) -> DataFrame:
                     for quantity, amount, whole, is_stated in entry:
                         if (quantity, is_stated) not in done:
                             done.add((quantity, is_stated))
-                            out.append((lid, at, quantity, amount, whole, is_stated, key))
+                            out.append((lid, at, quantity, amount, whole, is_stated, key, seller))
             columns = list(zip(*out)) if out else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    rows = unambiguous(products).select(
+    plain = unambiguous(products)
+    rows = plain.select(
         F.col("listing_id").cast("long"), F.col("seen_at").cast("timestamp_ntz"), "price", "currency",
         F.map_keys("specifications").alias("k"), F.map_values("specifications").alias("v"),
+        (F.col("seller_id") if "seller_id" in (c.lower() for c in plain.columns) else F.lit(None)).cast("string").alias("seller"),
     )
-    return spread(rows).mapInArrow(read, "listing_id bigint, seen_at timestamp_ntz, quantity string, amount double, rounded bigint, is_stated boolean, source string")
+    return spread(rows).mapInArrow(read, "listing_id bigint, seen_at timestamp_ntz, quantity string, amount double, rounded bigint, is_stated boolean, source string, seller string")
 
 
 def stated_amounts(products: DataFrame, rates: DataFrame) -> DataFrame:
@@ -279,84 +303,255 @@ def stated_amounts(products: DataFrame, rates: DataFrame) -> DataFrame:
     return rows.groupBy("listing_id", "quantity").agg(latest.alias("m")).select("listing_id", "quantity", F.col("m.rounded").alias("amount"))
 
 
-BIN = 0.05
+# Fixed value: in the weights of a seller the weights of all count as much as this many amounts of its own.
+SELLER_PRIOR = 10.0
+# Fixed value: the rounds end when no centre, spread or weight moves by more than this.
+TOLERANCE = 1e-6
+_CELLS = 1 << 20  # posteriors held at once
+
+
+@dataclass(frozen=True)
+class Shape:
+    """The fitted amounts of one quantity on the log scale; anchored: there are stated amounts, which fix the centre."""
 
+    units: tuple[str, ...]
+    factors: tuple[float, ...]
+    centre: float
+    spread: float
+    weights: tuple[float, ...]
+    anchored: bool
 
-def fit_unit_mixture(amounts: DataFrame, units: dict[str, tuple[str, ...]] | None = None, rounds: int = 60) -> dict:
-    """Fits the mixtures of the amounts without unit: {quantity: (centre, spread, {unit: weight})}.
 
-    Centre and spread start from the stated amounts of the quantity. The driver receives counts
-    per bin of width BIN of the logarithm: at most a few thousand rows, whatever the table's size.
+@dataclass(frozen=True)
+class UnitMixture:
+    """Shapes by quantity, and the weights of each seller (quantity, seller, weights in the order of the units)."""
+
+    shapes: dict[str, Shape]
+    habits: DataFrame
+
+
+def every_unit() -> dict[str, tuple[str, ...]]:
+    """The units of each quantity, one word for each conversion factor."""
+    words: dict[str, dict[Fraction, str]] = {q: {} for q in UNITS}
+    for quantity, units in UNITS.items():
+        for word, factor in units.items():
+            words[quantity].setdefault(factor, word)
+    return {q: tuple(by_factor.values()) for q, by_factor in words.items()}
+
+
+def fit_unit_mixture(amounts: DataFrame, units: dict[str, tuple[str, ...]] | None = None, rates: DataFrame | None = None) -> UnitMixture:
+    """Fits the mixtures of the amounts without unit.
+
+    Centre and spread start from the stated amounts of the quantity and keep them in every round; one
+    pseudo-amount of spread 1 keeps the spread from 0. The weights are fitted on all amounts first;
+    then each seller has its own, drawn to those of all, and centre and spread are fitted again with
+    them. Amounts without seller have the weights of all. Without stated amounts nothing tells
+    the units of a quantity from one another but their weights: the centre starts from the numbers as
+    if in the common unit, and the shape is not anchored. rates adds the prices without currency. The
+    driver receives sums per task, never amounts.
     """
-    units = units or {"mass": ("g", "kg", "oz", "lb"), "volume": ("ml", "cl", "l", "fl oz"), "length": ("mm", "cm", "m", "in", "ft"), "power": ("w", "kw")}
-    positive = amounts.filter("amount > 0 and quantity <> 'price'")
-    bins = positive.groupBy("quantity", "is_stated", F.floor(F.log("amount") / BIN).alias("b")).count().collect()
-    model: dict = {}
-    for quantity, names in units.items():
-        known = [((r.b + 0.5) * BIN, r["count"]) for r in bins if r.quantity == quantity and r.is_stated]
-        free = [((r.b + 0.5) * BIN, r["count"]) for r in bins if r.quantity == quantity and not r.is_stated]
-        base = known or free
-        if not base:
-            continue
-        n = sum(c for _, c in base)
-        mu = sum(x * c for x, c in base) / n
-        sigma = max(0.2, math.sqrt(sum((x - mu) ** 2 * c for x, c in base) / n))
-        shift = {u: math.log(float(_BY_UNIT[u][1])) for u in names}
-        weight = {u: 1 / len(names) for u in names}
-        for _ in range(rounds if free else 0):
-            total = dict.fromkeys(names, 0.0)
-            moment = [0.0, 0.0]
-            for x, c in free:
-                post = _posterior(x, mu, sigma, weight, shift)
-                for u, p in post.items():
-                    total[u] += p * c
-                    moment[0] += p * c * (x + shift[u])
-                    moment[1] += p * c * (x + shift[u]) ** 2
-            m = sum(total.values())
-            weight = {u: (t + 1) / (m + len(names)) for u, t in total.items()}
-            # The stated amounts keep their say in centre and spread.
-            kn = sum(c for _, c in known)
-            mu_new = (moment[0] + sum(x * c for x, c in known)) / (m + kn)
-            var = (moment[1] + sum(x * x * c for x, c in known)) / (m + kn) - mu_new**2
-            done = abs(mu_new - mu) < 1e-9
-            mu, sigma = mu_new, max(0.2, math.sqrt(max(var, 0)))
-            if done:
-                break
-        model[quantity] = (mu, sigma, weight)
-    return model
-
-
-def _posterior(x: float, mu: float, sigma: float, weight: dict[str, float], shift: dict[str, float]) -> dict[str, float]:
-    logs = {u: math.log(w) - ((x + shift[u] - mu) / sigma) ** 2 / 2 for u, w in weight.items()}
-    top = max(logs.values())
-    raw = {u: math.exp(v - top) for u, v in logs.items()}
-    total = sum(raw.values())
-    return {u: v / total for u, v in raw.items()}
-
-
-def infer_units(amounts: DataFrame, model: dict, sure: float = 0.9) -> DataFrame:
+    factors = {q: {u: float(_BY_UNIT[u][1]) for u in names} for q, names in (units or every_unit()).items()}
+    if rates is not None:
+        # The prices' common unit is the US cent.
+        factors["price"] = {code: rate * 100 for code, rate, _ in sorted(_rate_rows(rates), key=lambda r: r[0]) if rate > 0}
+    factors = {q: f for q, f in factors.items() if f}
+    bare = ~F.col("is_stated")
+    # Stated amounts come down to one row a quantity, others to one per seller and number. Those of no seller need no common row.
+    counted = (
+        amounts.filter("amount > 0").filter(F.col("quantity").isin(list(factors))).withColumn("log", F.log("amount"))
+        .groupBy("quantity", "is_stated", F.when(bare, F.col("seller")).alias("seller"), F.when(bare, F.col("log")).alias("x"))
+        .agg(F.count("*").cast("double").alias("n"), F.sum("log").alias("s"), F.sum(F.col("log") * F.col("log")).alias("ss"))
+        .groupBy("quantity", "is_stated", "seller", F.when(F.col("seller").isNull(), F.pmod(F.hash("x"), F.lit(64))).alias("part"))
+        .agg(F.sort_array(F.collect_list(F.struct("x", "n"))).alias("v"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+    )
+    counted = durable(counted.select("quantity", "is_stated", "seller", F.col("v.x").alias("xs"), F.col("v.n").alias("ns"), "n", "s", "ss"))
+    totals = {(r.quantity, r.is_stated): (r.n, r.s, r.ss) for r in counted.groupBy("quantity", "is_stated").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss"))).collect()}
+    free = counted.filter(bare).select("quantity", "seller", "xs", "ns")
+    shapes, known = {}, {}
+    for quantity, by_unit in factors.items():
+        known[quantity] = totals.get((quantity, True), (0.0, 0.0, 0.0))
+        n, s, ss = known[quantity] if known[quantity][0] else totals.get((quantity, False), (0.0, 0.0, 0.0))
+        if n:
+            shapes[quantity] = Shape(
+                tuple(by_unit), tuple(by_unit.values()), s / n, math.sqrt((max(0.0, ss - s * s / n) + 1) / (n + 1)),
+                (1 / len(by_unit),) * len(by_unit), known[quantity][0] > 0,
+            )
+    waiting = {q for q, is_stated in totals if not is_stated}
+    shapes = _rounds(free, shapes, known, waiting, False)
+    shapes = _rounds(free, shapes, known, waiting, True)
+    return UnitMixture(shapes, durable(_habits(free, shapes)))
+
+
+def _rounds(free: DataFrame, shapes: dict[str, Shape], known: dict[str, tuple], waiting: set[str], by_seller: bool) -> dict[str, Shape]:
+    """Expectation-maximisation until nothing moves; by_seller: with each seller's weights, those of all stay."""
+    shapes = dict(shapes)
+    climbs = {q: _climb(_vector(shapes[q], by_seller), 0 if by_seller else len(shapes[q].units), TOLERANCE) for q in sorted(waiting)}
+    for quantity, climb in climbs.items():
+        shapes[quantity] = _with_vector(shapes[quantity], next(climb))
+    while climbs:
+        sums: dict[str, list] = {}
+        for r in _expected(free.filter(F.col("quantity").isin(list(climbs))), shapes, by_seller).collect():
+            sums.setdefault(r.quantity, []).append((r.counts, r.first, r.second, r.fit))
+        for quantity, climb in list(climbs.items()):
+            old, (kn, ks, kss) = shapes[quantity], known[quantity]
+            counts = [math.fsum(c) for c in zip(*(c for c, _, _, _ in sums[quantity]))]
+            m = math.fsum(counts)
+            # Moments about the old centre; the stated amounts keep their say.
+            known_second = kss - 2 * old.centre * ks + kn * old.centre**2
+            first = math.fsum(f for _, f, _, _ in sums[quantity]) + ks - kn * old.centre
+            second = math.fsum(s for _, _, s, _ in sums[quantity]) + known_second
+            moved = first / (m + kn)
+            spread_ = math.sqrt((max(0.0, second - (m + kn) * moved**2) + 1) / (m + kn + 1))
+            fit = math.fsum(f for _, _, _, f in sums[quantity]) - (kn + 1) * math.log(old.spread) - (known_second + 1) / (2 * old.spread**2)
+            after = replace(old, centre=old.centre + moved, spread=spread_)
+            if not by_seller:
+                fit += math.fsum(math.log(w) for w in old.weights)
+                after = replace(after, weights=tuple((c + 1) / (m + len(counts)) for c in counts))
+            try:
+                shapes[quantity] = _with_vector(old, climb.send((fit, _vector(after, by_seller))))
+            except StopIteration as end:
+                shapes[quantity] = _with_vector(old, end.value)
+                del climbs[quantity]
+    return shapes
+
+
+def _vector(shape: Shape, by_seller: bool) -> np.ndarray:
+    return np.array([shape.centre, math.log(shape.spread), *(() if by_seller else np.log(shape.weights))])
+
+
+def _with_vector(shape: Shape, vector: np.ndarray) -> Shape:
+    weights = tuple(np.exp(vector[2:]).tolist()) or shape.weights
+    return replace(shape, centre=float(vector[0]), spread=math.exp(vector[1]), weights=weights)
+
+
+def _climb(now: np.ndarray, weights: int, tolerance: float) -> Generator[np.ndarray, tuple[float, np.ndarray], np.ndarray]:
+    """Rounds of expectation-maximisation of which every third starts from an extrapolation (SQUAREM), kept only if the fit is no worse.
+
+    Yields points, is sent their fit and the point one round on, returns the end. The last entries
+    of a point, as many as weights, are logarithms of weights.
+    """
+    cut = len(now) - weights
+
+    def near(a: np.ndarray, b: np.ndarray) -> bool:
+        return np.abs(np.r_[a[:cut] - b[:cut], np.exp(a[cut:]) - np.exp(b[cut:])]).max() < tolerance
+
+    while True:
+        _, one = yield now
+        if near(now, one):
+            return one
+        fit, two = yield one
+        if near(one, two):
+            return two
+        step = one - now
+        bend = two - one - step
+        length = min(64.0, max(1.0, float(np.linalg.norm(step) / max(np.linalg.norm(bend), 1e-300))))
+        ahead = now + 2 * length * step + length**2 * bend
+        if weights:
+            share = np.maximum(np.exp(ahead[cut:] - ahead[cut:].max()), 1e-300)
+            ahead[cut:] = np.log(share / share.sum())
+        ahead_fit, after = yield ahead
+        if ahead_fit >= fit:
+            if near(ahead, after):
+                return after
+            now = after
+        else:
+            now = two
+
+
+def _expect(x: np.ndarray, n: np.ndarray, shape: Shape, weights: np.ndarray) -> tuple[np.ndarray, float, float, float]:
+    """Expected number of amounts in each unit, sums of their distances from the centre and of the squares, log-likelihood."""
+    shift = np.log(shape.factors) - shape.centre
+    counts, first, second, fit = np.zeros(len(shift)), 0.0, 0.0, -float(n.sum()) * math.log(shape.spread)
+    step = max(1, _CELLS // len(shift))
+    for i in range(0, len(x), step):
+        off, times = x[i : i + step, None] + shift, n[i : i + step]
+        logs = np.log(weights) - (off / shape.spread) ** 2 / 2
+        top = logs.max(axis=1)
+        post = np.exp(logs - top[:, None])
+        total = post.sum(axis=1)
+        fit += float((times * (np.log(total) + top)).sum())
+        post *= (times / total)[:, None]
+        counts += post.sum(axis=0)
+        first += float((post * off).sum())
+        second += float((post * off * off).sum())
+    return counts, first, second, fit
+
+
+def _own_weights(x: np.ndarray, n: np.ndarray, shape: Shape) -> np.ndarray:
+    """The weights of one seller under a given shape: one optimum, as the problem is concave."""
+    prior = SELLER_PRIOR * np.array(shape.weights)
+    climb = _climb(np.log(shape.weights), len(prior), TOLERANCE / 100)
+    point = next(climb)
+    while True:
+        counts, _, _, fit = _expect(x, n, shape, np.exp(point))
+        try:
+            point = climb.send((fit + float(prior @ point), np.log((counts + prior) / (n.sum() + SELLER_PRIOR))))
+        except StopIteration as end:
+            return np.exp(end.value)
+
+
+def _groups(batch: pa.RecordBatch, shapes: dict[str, Shape]) -> Iterator[tuple]:
+    """(quantity, seller, logarithms, counts, shape) of the rows of a batch."""
+    for i in range(batch.num_rows):
+        quantity, seller, xs, ns = (c[i] for c in batch.columns)
+        yield quantity.as_py(), seller.as_py(), xs.values.to_numpy(), ns.values.to_numpy(), shapes[quantity.as_py()]
+
+
+def _expected(free: DataFrame, shapes: dict[str, Shape], by_seller: bool) -> DataFrame:
+    """Sums of the expectations per task and quantity."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, list] = {}
+        for batch in batches:
+            for quantity, seller, x, n, shape in _groups(batch, shapes):
+                common = np.array(shape.weights)
+                weights = _own_weights(x, n, shape) if by_seller and seller is not None else common
+                *moments, fit = _expect(x, n, shape, weights)
+                if by_seller and seller is not None:
+                    fit += SELLER_PRIOR * float(common @ np.log(weights))
+                found = (*moments, fit)
+                sums[quantity] = [a + b for a, b in zip(sums[quantity], found)] if quantity in sums else list(found)
+        schema = pa.schema([("quantity", pa.string()), ("counts", pa.list_(pa.float64())), ("first", pa.float64()), ("second", pa.float64()), ("fit", pa.float64())])
+        rows = [(q, counts.tolist(), *rest) for q, (counts, *rest) in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 5, schema)], schema=schema)
+
+    return free.mapInArrow(add, "quantity string, counts array<double>, first double, second double, fit double")
+
+
+def _habits(free: DataFrame, shapes: dict[str, Shape]) -> DataFrame:
+    """Weights of each seller: quantity, seller, own."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("quantity", pa.string()), ("seller", pa.string()), ("own", pa.list_(pa.float64()))])
+        for batch in batches:
+            rows = [(q, seller, _own_weights(x, n, shape).tolist()) for q, seller, x, n, shape in _groups(batch, shapes)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * 3, schema)], schema=schema)
+
+    return free.filter("seller is not null").mapInArrow(weigh, "quantity string, seller string, own array<double>")
+
+
+def infer_units(amounts: DataFrame, model: UnitMixture, sure: float = 0.9) -> DataFrame:
     """Gives the amounts without unit the unit of the highest posterior (native expressions, no Python).
 
-    Result: listing_id, seen_at, quantity, source, number, unit, amount, posterior, is_uncertain.
+    Result: listing_id, seen_at, quantity, source, number, unit, amount, posterior, is_uncertain. All
+    amounts of a quantity of which none is stated are uncertain.
     """
     rows = amounts.filter("not is_stated and amount > 0").withColumnRenamed("amount", "number")
-    choices = [
-        (q, u, math.log(w), mu, sigma, float(_BY_UNIT[u][1]))
-        for q, (mu, sigma, weight) in sorted(model.items()) for u, w in sorted(weight.items())
-    ]
-    if not choices:
-        choices = [("none", "g", 0.0, 0.0, 1.0, 1.0)]
-    spark = amounts.sparkSession
-    table = spark.createDataFrame(choices, "quantity string, unit string, lw double, mu double, sigma double, factor double")
-    per_quantity = table.groupBy("quantity").agg(F.collect_list(F.struct("unit", "lw", "mu", "sigma", "factor")).alias("choices"))
-    scored = rows.join(broadcast_if_small(per_quantity), "quantity").withColumn(
+    unit = pa.struct([("unit", pa.string()), ("factor", pa.float64()), ("weight", pa.float64())])
+    schema = pa.schema([("quantity", pa.string()), ("mu", pa.float64()), ("sigma", pa.float64()), ("anchored", pa.bool_()), ("choices", pa.list_(unit))])
+    table = amounts.sparkSession.createDataFrame(pa.Table.from_pylist([
+        {"quantity": q, "mu": s.centre, "sigma": s.spread, "anchored": s.anchored, "choices": [dict(zip(("unit", "factor", "weight"), c)) for c in zip(s.units, s.factors, s.weights)]}
+        for q, s in sorted(model.shapes.items())
+    ], schema=schema))
+    own = F.coalesce(F.col("own"), F.col("choices.weight"))
+    scored = rows.join(broadcast_if_small(table), "quantity").join(broadcast_if_small(model.habits), ["quantity", "seller"], "left").withColumn(
         "scores",
-        F.transform("choices", lambda c: F.struct(
-            (c["lw"] - F.pow((F.log(F.col("number") * c["factor"]) - c["mu"]) / c["sigma"], 2) / 2).alias("score"), c["unit"].alias("unit"), c["factor"].alias("factor"))),
+        F.zip_with("choices", own, lambda c, w: F.struct(
+            (F.log(w) - F.pow((F.log(F.col("number")) + F.log(c["factor"]) - F.col("mu")) / F.col("sigma"), 2) / 2).alias("score"), c["unit"].alias("unit"), c["factor"].alias("factor"))),
     )
     best = F.array_max("scores")
     total = F.aggregate("scores", F.lit(0.0), lambda a, s: a + F.exp(s["score"] - F.col("best.score")))
     return scored.withColumn("best", best).withColumn("posterior", 1 / total).select(
         "listing_id", "seen_at", "quantity", "source", "number", F.col("best.unit").alias("unit"),
-        (F.col("number") * F.col("best.factor")).alias("amount"), "posterior", (F.col("posterior") < sure).alias("is_uncertain"),
+        (F.col("number") * F.col("best.factor")).alias("amount"), "posterior", ((F.col("posterior") < sure) | ~F.col("anchored")).alias("is_uncertain"),
     )

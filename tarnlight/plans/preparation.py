@@ -110,8 +110,9 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_inferred(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts without unit with the unit of the highest posterior."""
-    amounts = quantities.extract(table(spark, sf_dir, "products"), table(spark, sf_dir, "fx_rates"))
-    model = quantities.fit_unit_mixture(amounts)
+    rates = table(spark, sf_dir, "fx_rates")
+    amounts = quantities.extract(table(spark, sf_dir, "products"), rates)
+    model = quantities.fit_unit_mixture(amounts, rates=rates)
     return quantities.infer_units(amounts, model).select("listing_id", "quantity", "source", "number", "unit", "amount", "posterior", "is_uncertain").distinct()
 
 
