@@ -364,7 +364,9 @@ def fit_unit_mixture(amounts: DataFrame, units: dict[str, tuple[str, ...]] | Non
         .groupBy("quantity", "is_stated", "seller", F.when(F.col("seller").isNull(), F.pmod(F.hash("x"), F.lit(64))).alias("part"))
         .agg(F.sort_array(F.collect_list(F.struct("x", "n"))).alias("v"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
     )
-    counted = durable(counted.select("quantity", "is_stated", "seller", F.col("v.x").alias("xs"), F.col("v.n").alias("ns"), "n", "s", "ss"))
+    counted = counted.select("quantity", "is_stated", "seller", F.col("v.x").alias("xs"), F.col("v.n").alias("ns"), "n", "s", "ss")
+    # A small table of long work: dealt out over the cores once, not in every round.
+    counted = durable(counted.repartition(amounts.sparkSession.sparkContext.defaultParallelism * 2))
     totals = {(r.quantity, r.is_stated): (r.n, r.s, r.ss) for r in counted.groupBy("quantity", "is_stated").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss"))).collect()}
     free = counted.filter(bare).select("quantity", "seller", "xs", "ns")
     shapes, known = {}, {}
@@ -480,12 +482,25 @@ def _expect(x: np.ndarray, n: np.ndarray, shape: Shape, weights: np.ndarray) ->
 def _own_weights(x: np.ndarray, n: np.ndarray, shape: Shape) -> np.ndarray:
     """The weights of one seller under a given shape: one optimum, as the problem is concave."""
     prior = SELLER_PRIOR * np.array(shape.weights)
+    shift = np.log(shape.factors) - shape.centre
+    step = max(1, _CELLS // len(shift))
+
+    def likelihoods(i: int) -> np.ndarray:
+        logs = -(((x[i : i + step, None] + shift) / shape.spread) ** 2) / 2
+        return np.exp(logs - logs.max(axis=1, keepdims=True))
+
+    held = likelihoods(0) if len(x) <= step else None  # larger ones are computed again in every round
     climb = _climb(np.log(shape.weights), len(prior), TOLERANCE / 100)
     point = next(climb)
     while True:
-        counts, _, _, fit = _expect(x, n, shape, np.exp(point))
+        weights, counts, fit = np.exp(point), np.zeros(len(prior)), float(prior @ point)
+        for i in range(0, len(x), step):
+            each, times = likelihoods(i) if held is None else held, n[i : i + step]
+            total = np.maximum(each @ weights, 1e-300)
+            counts += weights * ((times / total) @ each)
+            fit += float(times @ np.log(total))
         try:
-            point = climb.send((fit + float(prior @ point), np.log((counts + prior) / (n.sum() + SELLER_PRIOR))))
+            point = climb.send((fit, np.log((counts + prior) / (counts.sum() + SELLER_PRIOR))))
         except StopIteration as end:
             return np.exp(end.value)
 
